@@ -19,9 +19,9 @@ def unescape(col: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in the inside of a tag, null when absent or blank."""
-    pattern = rf"""(?is)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.concat(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)])
-    return text.non_blank(unescape(value))
+    pattern = rf"""(?is)(?:^|\s){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    raw = F.regexp_extract(tag, pattern, 1)
+    return text.non_blank(unescape(F.regexp_replace(raw, r"""^["']|["']$""", "")))
 
 
 def has_class(tag: Column, name: str) -> Column:

@@ -87,9 +87,10 @@ def has_type(node: Column, name: str) -> Column:
 
 def find_vehicle(found: Column) -> Column:
     """First block of the best type: Vehicle, then Car, then Product."""
-    return F.coalesce(*[
-        F.get(F.filter(found, lambda b, name=name: has_type(b, name)), F.lit(0))
-        for name in K.VEHICLE_TYPES])
+    def first(name: str) -> Column:
+        return F.get(F.filter(found, lambda block: has_type(block, name)), F.lit(0))
+
+    return F.coalesce(*[first(name) for name in K.VEHICLE_TYPES])
 
 
 def image_urls(node: Column) -> Column:

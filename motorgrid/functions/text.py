@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WS = r"[\s\x1c-\x1f]"
@@ -15,6 +15,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Like ``withColumns``, but later filters never get copies of the expressions.
+
+    Catalyst pushes a filter through a projection by inlining what it refers to, which multiplies
+    long parsing expressions. A generator with exactly one row stops that.
+    """
+    made = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.drop(*columns).select("*", F.inline(F.array(made)))
+
+
 def strip(col: Column) -> Column:
     """Remove white space of every Unicode kind at both ends (``trim`` only removes blanks)."""
     return F.regexp_replace(col, rf"(?U)^{_WS}+|{_WS}+\z", "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motorgrid import constants as K
@@ -89,12 +89,12 @@ def seed_rows(ranked: DataFrame, sites: Iterable[str],
               cities: tuple[str, ...] = K.CRAIGSLIST_CITIES) -> DataFrame:
     """Search URLs of every ranked class on every site (and city)."""
     args = (F.col("make"), F.col("model"), F.col("year_min"), F.col("year_max"))
-    per_site = [
-        F.transform(urls.search_urls(site, *args, cities=cities),
-                    lambda u, site=site: F.struct(u.alias("url"), F.lit(site).alias("source")))
-        for site in sites
-    ]
-    seeds = ranked.select("*", F.explode(F.concat(*per_site)).alias("_s"))
+
+    def rows(site: str) -> Column:
+        found = urls.search_urls(site, *args, cities=cities)
+        return F.transform(found, lambda u: F.struct(u.alias("url"), F.lit(site).alias("source")))
+
+    seeds = ranked.select("*", F.explode(F.concat(*[rows(site) for site in sites])).alias("_s"))
     return seeds.select(
         "_s.url", "_s.source", F.lit("search").alias("kind"),
         F.col("year_min").alias("target_year"), F.col("make").alias("target_make"),

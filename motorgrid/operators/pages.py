@@ -31,30 +31,36 @@ def page_links(pages: DataFrame) -> DataFrame:
     hrefs = F.filter(
         F.transform(H.tags(F.col("html"), "a"), lambda t: H.attribute(t, "href")),
         lambda h: h.isNotNull())
-    links = pages.withColumn("_links", _normalized(F.col("url"), hrefs))
+    links = text.with_once(pages, {"_links": _normalized(F.col("url"), hrefs)})
     keep = [c for c in pages.columns if c != "html"]
     return links.select(*keep, F.posexplode("_links").alias("position", "link"))
 
 
 def _listing_links(page_url: Column, html: Column, source: Column) -> Column:
     """Listing URLs of a search page by the source's own pattern."""
-    def hrefs(found: Column, pattern: str, name: str = "href") -> Column:
-        return F.filter(F.transform(found, lambda t: H.attribute(t, name)),
-                        lambda h: h.rlike(pattern))
-
     cards = K.LISTING_HREF_PATTERNS["cars_com"]
-    ids = F.array_distinct(F.transform(
-        F.concat(
-            hrefs(H.tags(html, "a|fuse-button|spark-link-button"), cards),
-            hrefs(H.tags(html, "card-gallery"), cards, "card-href")),
-        lambda h: F.regexp_extract(h, K.NATIVE_ID_PATTERNS["cars_com"], 1)))
-    picked = F.when(source == "cars_com", _normalized(page_url, F.transform(
-        ids, lambda i: F.concat(F.lit("/vehicledetail/"), i, F.lit("/")))))
-    for name, pattern in K.LISTING_HREF_PATTERNS.items():
-        if name != "cars_com":
-            picked = picked.when(
-                source == name, _normalized(page_url, hrefs(H.tags(html, "a"), pattern)))
-    return picked
+
+    def hrefs(names: str, attr: str = "href") -> Column:
+        return F.transform(H.tags(html, names), lambda t: H.attribute(t, attr))
+
+    def is_listing(href: Column) -> Column:
+        hit = None
+        for name, pattern in K.LISTING_HREF_PATTERNS.items():
+            if name != "cars_com":
+                test = href.rlike(pattern)
+                hit = F.when(source == name, test) if hit is None \
+                    else hit.when(source == name, test)
+        return hit
+
+    ids = F.transform(
+        F.filter(F.concat(hrefs("a|fuse-button|spark-link-button"),
+                          hrefs("card-gallery", "card-href")), lambda h: h.rlike(cards)),
+        lambda h: F.regexp_extract(h, K.NATIVE_ID_PATTERNS["cars_com"], 1))
+    own = F.transform(
+        F.array_distinct(ids), lambda i: F.concat(F.lit("/vehicledetail/"), i, F.lit("/")))
+    matched = F.when(source == "cars_com", own).when(
+        source.isin(*K.QUEUE_SOURCES), F.filter(hrefs("a"), is_listing))
+    return _normalized(page_url, matched)
 
 
 def next_page(page_url: Column, html: Column, source: Column | None = None) -> Column:
@@ -98,9 +104,8 @@ def next_page(page_url: Column, html: Column, source: Column | None = None) -> C
 def search_results(pages: DataFrame) -> DataFrame:
     """Search pages with ``listing_urls``, ``next_url`` and ``note``."""
     src, url, html = F.col("source"), F.col("url"), F.col("html")
-    found = pages.where("kind = 'search'").withColumn(
-        "listing_urls", _listing_links(url, html, src)).withColumn(
-        "next_url", next_page(url, html, src))
+    found = text.with_once(pages.where("kind = 'search'"), {
+        "listing_urls": _listing_links(url, html, src), "next_url": next_page(url, html, src)})
     return found.withColumn("note", F.when(
         F.coalesce(F.size("listing_urls"), F.lit(0)) <= 0, "no listing cards found"))
 
@@ -140,7 +145,7 @@ def classified_fields(url: Column, html: Column, current_year: int) -> Column:
         F.lit(1))
     spans = F.flatten(F.transform(groups, lambda g: F.transform(
         F.regexp_extract_all(g, F.lit(r"(?is)<span\b[^>]*>(.*?)</span>"), F.lit(1)),
-        H.inner_text)))
+        lambda span: H.inner_text(span))))
     attrs = F.lower(F.array_join(spans, " | "))
     body = F.coalesce(H.inner_text(H.element_by_id(html, "section", "postingbody")), F.lit(""))
     thumbs = F.transform(
@@ -184,20 +189,22 @@ def parse_listings(pages: DataFrame, current_year: int) -> DataFrame:
     """
     src, url, html = F.col("source"), F.col("url"), F.col("html")
     classified = src == "craigslist"
-    staged = (
-        pages.where("kind = 'listing'")
-        .withColumn("_node", F.when(~classified, jsonld.find_vehicle(jsonld.blocks(html))))
-        .withColumn("_ld", F.when(F.col("_node").isNotNull(), jsonld.vehicle_fields(
-            F.col("_node"), current_year)))
-        .withColumn("_state", F.when(src == "cars_com", jsonld.page_state(html)))
-        .withColumn("_st", F.when(
-            F.col("_state").isNotNull(), jsonld.state_fields(F.col("_state"))))
-        .withColumn("_cl", F.when(classified, classified_fields(url, html, current_year)))
-        .withColumn("_head", F.when(
-            src == "cars_com", titles.page_title(page_heading(html), current_year)))
-        .withColumn("_auction", F.when(src == "bat", titles.auction_name(F.col("_ld.name"))))
-        .withColumn("_id", F.coalesce(urls.native_id(url, src), F.col("_cl.post_id")))
-    )
+    staged = text.with_once(pages.where("kind = 'listing'"), {
+        "_node": F.when(~classified, jsonld.find_vehicle(jsonld.blocks(html))),
+        "_state": F.when(src == "cars_com", jsonld.page_state(html)),
+        "_cl": F.when(classified, classified_fields(url, html, current_year)),
+        "_head": F.when(
+            src == "cars_com", titles.page_title(page_heading(html), current_year)),
+        "_photos": F.when(src == "cars_com", gallery_images(html)),
+    })
+    staged = text.with_once(staged, {
+        "_ld": F.when(F.col("_node").isNotNull(), jsonld.vehicle_fields(
+            F.col("_node"), current_year)),
+        "_st": F.when(F.col("_state").isNotNull(), jsonld.state_fields(F.col("_state"))),
+        "_id": F.coalesce(urls.native_id(url, src), F.col("_cl.post_id")),
+    })
+    staged = text.with_once(staged, {
+        "_auction": F.when(src == "bat", titles.auction_name(F.col("_ld.name")))})
     hint_year, hint_make, hint_model = (F.col(h) for h in HINTS)
     hinted = src.isin("bat", "hemmings", "carsandbids")
     named_year = F.when(hinted, text.parse_year(F.col("_ld.name"), current_year))
@@ -246,12 +253,11 @@ def parse_listings(pages: DataFrame, current_year: int) -> DataFrame:
     images = (
         F.when(classified, F.col("_cl.image_urls"))
         .when((src == "cars_com") & (F.coalesce(F.size("_ld.image_urls"), F.lit(0)) <= 0),
-              gallery_images(html))
+              F.col("_photos"))
         .otherwise(F.coalesce(F.col("_ld.image_urls"), F.array().cast("array<string>")))
     )
-    filled = staged
-    for name, value in fields.items():
-        filled = filled.withColumn(f"_{name}", value)
+    filled = text.with_once(
+        staged, {**{f"_{name}": value for name, value in fields.items()}, "_images": images})
     no_vehicle = F.when(
         src == "cars_com",
         F.col("_node").isNull() & F.col("_state").isNull()
@@ -268,18 +274,19 @@ def parse_listings(pages: DataFrame, current_year: int) -> DataFrame:
         .when(classified & F.col("_make").isNull() & F.col("_model").isNull(),
               "no make or model in the title")
     )
-    filled = filled.withColumn("_failure", failure)
-    good = F.col("_failure").isNull()
+    good = failure.isNull()
 
     def only_good(value: Column) -> Column:
         return F.when(good, value)
 
-    return filled.select(
-        only_good(F.concat(src, F.lit(":"), F.col("_id"))).alias("listing_id"), "source", "url",
-        *[only_good(F.col(f"_{name}")).alias(name) for name in fields],
-        only_good(text.text_hash(html)).alias("raw_html_sha256"),
-        only_good(images).alias("image_urls"),
-        F.coalesce("_failure", remark).alias("note"))
+    done = text.with_once(filled, {
+        "listing_id": only_good(F.concat(src, F.lit(":"), F.col("_id"))),
+        **{name: only_good(F.col(f"_{name}")) for name in fields},
+        "raw_html_sha256": only_good(text.text_hash(html)),
+        "image_urls": only_good(F.col("_images")),
+        "note": F.coalesce(failure, remark)})
+    return done.select(
+        "listing_id", "source", "url", *fields, "raw_html_sha256", "image_urls", "note")
 
 
 def image_items(listings: DataFrame) -> DataFrame:
@@ -306,7 +313,7 @@ def block_tags(pages: DataFrame) -> DataFrame:
         picked = F.when(src == name, value) if picked is None else picked.when(src == name, value)
     hits = F.coalesce(picked, F.array().cast("array<string>"))
     shell = (status == 200) & (F.octet_length(html) < K.SHELL_BYTES)
-    staged = pages.withColumn("_hits", hits)
+    staged = text.with_once(pages, {"_hits": hits})
     has_hits = F.size("_hits") > 0
     content = F.concat(F.lit("content_markers:"), F.array_join(F.slice("_hits", 1, 3), ","))
     tags = F.array_compact(F.array(

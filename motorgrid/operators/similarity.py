@@ -141,7 +141,8 @@ def _blocked_scores(queries: DataFrame, protos: DataFrame, k: int, query_id: str
     right = protos.select(
         "class_id", "prototype", *([by] if by else []),
         F.pmod(F.xxhash64("class_id"), F.lit(p_blocks)).cast("int").alias("_p"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint").alias("_q"))
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint")))
+        .alias("_q"))
 
     def score(q: pa.Table, p: pa.Table) -> pa.Table:
         groups = _grouped(p, by)

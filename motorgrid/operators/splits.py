@@ -78,10 +78,13 @@ def cell_sizes(rows: DataFrame, min_group: int = 10) -> DataFrame:
 
 def split_summary(assigned: DataFrame) -> DataFrame:
     """Long report (metric, view, split, n): totals, view × split with zeros, small cells, p10."""
-    grid = (
-        assigned.groupBy("view").pivot("split", list(K.SPLITS)).count()
-        .select("view", *[F.coalesce(s, F.lit(0)).alias(s) for s in K.SPLITS])
-    )
+    # Every line of the report comes from these counts, so their shuffle is done once.
+    counts = assigned.groupBy(*CELL, "split", "small_cell").agg(F.count("*").alias("n"))
+
+    def n(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    grid = counts.groupBy("view").agg(*[n(F.col("split") == s).alias(s) for s in K.SPLITS])
     views = assigned.sparkSession.createDataFrame([(v,) for v in K.EXTERIOR_VIEWS], "view string")
     cells = views.join(grid, "view", "left").select(
         F.lit("view_split").alias("metric"), "view",
@@ -89,15 +92,15 @@ def split_summary(assigned: DataFrame) -> DataFrame:
             F.struct(F.lit(s).alias("split"), F.coalesce(s, F.lit(0)).alias("n"))
             for s in K.SPLITS])).alias("_c"),
     ).select("metric", "view", "_c.split", "_c.n")
-    totals = assigned.agg(
-        F.count("*").alias("eligible"),
-        *[F.count_if(F.col("split") == s).alias(s) for s in K.SPLITS],
-        F.count_if("small_cell").alias("small_group"),
+    totals = counts.agg(
+        n(F.lit(True)).alias("eligible"),
+        *[n(F.col("split") == s).alias(s) for s in K.SPLITS],
+        n(F.col("small_cell")).alias("small_group"),
     )
     scalars = totals.select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("metric"), F.col(name).alias("n"))
         for name in ("eligible", *K.SPLITS, "small_group")])).alias("_c"))
-    p10 = class_coverage(assigned).select(
+    p10 = class_coverage(counts, F.sum("n")).select(
         F.lit("class_p10").alias("metric"), F.col("p10").alias("n"))
     flat = scalars.select("_c.metric", "_c.n").unionByName(p10).select(
         "metric", F.lit(None).cast("string").alias("view"),
@@ -105,9 +108,10 @@ def split_summary(assigned: DataFrame) -> DataFrame:
     return flat.unionByName(cells)
 
 
-def class_coverage(assigned: DataFrame, pct: float = 0.1) -> DataFrame:
+def class_coverage(rows: DataFrame, size: Column | None = None, pct: float = 0.1) -> DataFrame:
     """Nearest-rank percentile of the per-class image counts; 0 without classes."""
-    counts = assigned.groupBy(*CELL[:3]).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(*CELL[:3]).agg(
+        (F.count("*") if size is None else size).alias("n"))
     return counts.agg(F.coalesce(
         F.expr(f"percentile_disc({pct}) within group (order by n)").cast("bigint"),
         F.lit(0)).alias("p10"))

@@ -92,15 +92,11 @@ def dedupe_within(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame
 def ingest_stream(stream: DataFrame, folder: str, key: str, order: list[str],
                   continuous: str | None = None) -> StreamingQuery:
     """Exact dedupe against everything written before, under ``folder/out``."""
-    schema = stream.schema
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # Versions from this batch on are left-overs of a replay.
-        known = spark.read.schema(f"{key} {schema[key].dataType.simpleString()}, v int").option(
-            "basePath", f"{folder}/out").parquet(
-            *[f"{folder}/out/v={i}" for i in range(batch_id)]) if batch_id else \
-            spark.createDataFrame([], f"{key} {schema[key].dataType.simpleString()}")
+        known = batch.limit(0)
+        if batch_id:
+            # Versions from this batch on are left-overs of a replay.
+            known = batch.sparkSession.read.parquet(f"{folder}/out").where(F.col("v") < batch_id)
         insert_new(known.select(key), batch, key, order).write.mode("overwrite").parquet(
             f"{folder}/out/v={batch_id}")
 
