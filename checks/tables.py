@@ -19,11 +19,11 @@ _EXT = "(" + ", ".join(f"'{v}'" for v in K.EXTERIOR_VIEWS) + ")"
 
 @query("list_by_class", over("v_listings", """
     SELECT listing_id, source, year::BIGINT AS year, model FROM v_listings
-    WHERE source = 'PROMO' AND model = 'bolt' AND year = 2012
+    WHERE source = 'PROMO' AND year = 2012
     ORDER BY scraped_at DESC, listing_id LIMIT 50"""))
 def _(spark, sf):
     found = filters.list_by_class(
-        listings(spark, sf), year=2012, model="bolt", source="PROMO", limit=50)
+        listings(spark, sf), year=2012, source="PROMO", limit=50)
     return found.select("listing_id", "source", big("year"), "model")
 
 
