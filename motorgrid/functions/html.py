@@ -20,8 +20,13 @@ def unescape(col: Column) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in the inside of a tag, null when absent or blank."""
     pattern = rf"""(?is)(?:^|\s){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    raw = F.regexp_extract(tag, pattern, 1)
-    return text.non_blank(unescape(F.regexp_replace(raw, r"""^["']|["']$""", "")))
+
+    def unquoted(raw: Column) -> Column:
+        bare = F.when(raw.startswith('"'), F.btrim(raw, F.lit('"'))).otherwise(
+            F.btrim(raw, F.lit("'")))
+        return text.non_blank(F.when(raw.contains("&"), unescape(bare)).otherwise(bare))
+
+    return text.let(F.regexp_extract(tag, pattern, 1), unquoted)
 
 
 def has_class(tag: Column, name: str) -> Column:

@@ -30,12 +30,13 @@ def _elements(node: Column) -> Column:
     return F.try_variant_get(node, "$", "array<variant>")
 
 
+# Casts look one level deep; schema_of_variant would walk the whole tree.
 def _is_list(node: Column) -> Column:
-    return _kind(node).startswith("ARRAY")
+    return _elements(node).isNotNull()
 
 
 def _is_object(node: Column) -> Column:
-    return _kind(node).startswith("OBJECT")
+    return F.try_variant_get(node, "$", "map<string,variant>").isNotNull()
 
 
 def truthy(node: Column) -> Column:
@@ -77,20 +78,23 @@ def blocks(html: Column) -> Column:
     return F.filter(parsed, _is_object)
 
 
-def has_type(node: Column, name: str) -> Column:
-    """``@type`` equals the name, or contains it as a list; case does not matter."""
+def _types(node: Column) -> Column:
+    """Lower-case ``@type`` names; a single name is a list of one."""
     kind = child(node, '$["@type"]')
-    names = F.when(_is_list(kind), F.try_variant_get(kind, "$", "array<string>")).otherwise(
-        F.array(as_text(kind)))
-    return F.exists(names, lambda n: F.coalesce(F.lower(n) == name, F.lit(False)))
+    names = F.coalesce(
+        F.try_variant_get(kind, "$", "array<string>"), F.array(_raw(kind)))
+    return F.transform(names, lambda name: F.lower(name))
 
 
 def find_vehicle(found: Column) -> Column:
     """First block of the best type: Vehicle, then Car, then Product."""
-    def first(name: str) -> Column:
-        return F.get(F.filter(found, lambda block: has_type(block, name)), F.lit(0))
+    typed = F.transform(found, lambda b: F.struct(b.alias("node"), _types(b).alias("types")))
 
-    return F.coalesce(*[first(name) for name in K.VEHICLE_TYPES])
+    def first(blocks_: Column, name: str) -> Column:
+        return F.get(F.filter(
+            blocks_, lambda t: F.array_contains(t["types"], name)), F.lit(0))["node"]
+
+    return let(typed, lambda t: F.coalesce(*[first(t, name) for name in K.VEHICLE_TYPES]))
 
 
 def image_urls(node: Column) -> Column:

@@ -131,8 +131,14 @@ def normalize_url(base: Column, href: Column) -> Column:
             _part(url, 3).alias("path"), _part(url, 4).alias("query"),
         )
 
-    # Most links are absolute or rooted without dots or queries; the general case is lazy.
-    return let(F.struct(pieces(base).alias("b"), pieces(href).alias("r")), resolve)
+    # Most links are absolute, or rooted without dots: those need no general resolution.
+    return (
+        F.when(href.rlike(r"^https?://[^/?#;]+(/[^?#;]*)?$"), href)
+        .when(href.rlike(r"^/[^/?#;][^?#;]*$") & ~href.contains("/.")
+              & base.rlike(r"^https?://[^/?#]"),
+              F.concat(F.regexp_extract(base, r"^(https?://[^/?#]+)", 1), href))
+        .otherwise(let(F.struct(pieces(base).alias("b"), pieces(href).alias("r")), resolve))
+    )
 
 
 def form_encode(col: Column) -> Column:

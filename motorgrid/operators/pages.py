@@ -69,35 +69,31 @@ def next_page(page_url: Column, html: Column, source: Column | None = None) -> C
     First anchor with rel=next, or an aria-label with ``next``, or a text with ``next`` but not
     ``prev``. cars_com tries the three signals one after the other and wants exact words.
     """
-    def rel(a: Column) -> Column:
-        return F.coalesce(H.attribute(a["attrs"], "rel"), F.lit(""))
-
-    def is_rel(a: Column) -> Column:
-        return F.lower(rel(a)).rlike(r"(^|\s)next(\s|$)")
-
-    def aria(a: Column) -> Column:
-        return F.lower(F.coalesce(H.attribute(a["attrs"], "aria-label"), F.lit("")))
-
-    def words(a: Column) -> Column:
-        return F.lower(H.inner_text(a["body"], ""))
+    def described(a: Column) -> Column:
+        return F.struct(
+            _href(a).alias("href"),
+            F.lower(F.coalesce(H.attribute(a["attrs"], "rel"), F.lit("")))
+            .rlike(r"(^|\s)next(\s|$)").alias("rel"),
+            F.lower(F.coalesce(H.attribute(a["attrs"], "aria-label"), F.lit(""))).alias("aria"),
+            F.lower(H.inner_text(a["body"], "")).alias("words"))
 
     def lenient(a: Column) -> Column:
-        return is_rel(a) | aria(a).contains("next") | (
-            words(a).contains("next") & ~words(a).contains("prev"))
+        return a["rel"] | a["aria"].contains("next") | (
+            a["words"].contains("next") & ~a["words"].contains("prev"))
 
     def first(found: Column, test) -> Column:
-        return _href(F.get(F.filter(found, test), F.lit(0)))
+        return F.get(F.filter(found, test), F.lit(0))["href"]
 
     def pick(found: Column) -> Column:
         anywhere = first(found, lenient)
         if source is None:
             return anywhere
         staged = F.coalesce(
-            first(found, is_rel), first(found, lambda a: aria(a) == "next"),
-            first(found, lambda a: words(a) == "next"))
+            first(found, lambda a: a["rel"]), first(found, lambda a: a["aria"] == "next"),
+            first(found, lambda a: a["words"] == "next"))
         return F.when(source == "cars_com", staged).otherwise(anywhere)
 
-    return let(H.anchors(html), lambda found: let(
+    return let(F.transform(H.anchors(html), described), lambda found: let(
         pick(found), lambda h: F.when(h.isNotNull(), urls.normalize_url(page_url, h))))
 
 
