@@ -148,11 +148,11 @@ def fold_events(queue: DataFrame, events: DataFrame) -> DataFrame:
     def when(*actions: str) -> Column:
         return F.when(F.col("action").isin(*actions), at)
 
-    births = counted.where("action = 'enqueue'").groupBy("url").agg(
-        F.min(at).alias("_born"),
-        F.min_by(F.struct("source", "kind", "_fails_before"), at).alias("_birth"))
-    # Bucket totals keep the join small: one row per URL and action kind.
+    # Combined inside every task: one row per URL and task reaches the shuffle.
+    born_at = when("enqueue")
     lasts = counted.groupBy("url").agg(
+        F.min(born_at).alias("_born"),
+        F.min_by(F.struct("source", "kind", "_fails_before"), born_at).alias("_birth"),
         F.max(when("done", "failed", "dead", "requeue")).alias("_last_at"),
         F.max_by("action", when("done", "failed", "dead", "requeue")).alias("_last"),
         F.max(when("requeue")).alias("_reset_at"),
@@ -169,7 +169,7 @@ def fold_events(queue: DataFrame, events: DataFrame) -> DataFrame:
         .alias("_error"),
     )
     state = queue.join(
-        lasts.join(births, "url", "left").join(known, "url", "left")
+        lasts.join(known, "url", "left")
         .where("_known or _born is not null").drop("_known"), "url", "full_outer")
     fresh = F.col("status").isNull()
     # Events of a new URL count from its birth on.

@@ -73,8 +73,11 @@ def top_pairs(pairs: DataFrame, limit: int) -> DataFrame:
 
 def confusions(marked: DataFrame, limit: int = K.CONFUSION_LIMIT) -> DataFrame:
     """Most frequent wrong pairs and their share of all top-1 misses."""
-    misses = marked.agg(F.count_if(~F.col("hit_1")).alias("m"))
-    top = top_pairs(pair_counts(marked), limit)
+    # Pairs and total come from one aggregation, whose shuffle Spark reuses.
+    counts = marked.groupBy("true_class", "pred_class").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("hit_1")).alias("_missed"))
+    misses = counts.agg(F.sum("_missed").alias("m"))
+    top = top_pairs(counts.where("pred_class <> true_class").drop("_missed"), limit)
     return top.withColumn("rate", F.col("n") / misses.scalar()).withColumn(
         "true_name", display_name(F.col("true_class"))).withColumn(
         "pred_name", display_name(F.col("pred_class")))
@@ -83,13 +86,14 @@ def confusions(marked: DataFrame, limit: int = K.CONFUSION_LIMIT) -> DataFrame:
 def make_confusions(marked: DataFrame, min_rows: int = K.PER_MAKE_MIN_ROWS,
                     limit: int = K.PER_MAKE_LIMIT) -> DataFrame:
     """Top wrong pairs of every make with enough test rows; share of the make's wrong pairs."""
-    wrong = F.col("pred_class").isNotNull() & (F.col("pred_class") != F.col("true_class"))
-    totals = marked.groupBy("make").agg(
-        F.count("*").alias("_n"), F.count_if(wrong).alias("_wrong")).where(F.col("_n") >= min_rows)
-    pairs = marked.where(wrong).groupBy("make", "true_class", "pred_class").agg(
-        F.count("*").alias("n"))
+    counts = marked.groupBy("make", "true_class", "pred_class").agg(F.count("*").alias("n"))
+    wrong = F.col("pred_class") != F.col("true_class")
+    totals = counts.groupBy("make").agg(
+        F.sum("n").alias("_n"), F.sum(F.when(wrong, F.col("n"))).alias("_wrong")
+    ).where(F.col("_n") >= min_rows)
     order = Window.partitionBy("make").orderBy(F.col("n").desc(), "true_class", "pred_class")
-    top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    top = counts.where(wrong).withColumn("rank", F.row_number().over(order)).where(
+        F.col("rank") <= limit)
     return top.join(totals, "make").select(
         "make", "true_class", "pred_class", "n", "rank", (F.col("n") / F.col("_wrong")).alias("rate"))
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 32_768
 BROADCAST_BYTES = 256 * 2**20
 QUERY_BLOCK_ROWS = 20_000
+_PROBE_ROWS = 1_000
 # Scores held at once per task, as float64.
 _SCORE_CELLS = 4_000_000
 
@@ -51,23 +52,24 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
     return best
 
 
-def _score_block(vectors: np.ndarray, names: np.ndarray, protos: np.ndarray, k: int,
-                 scale: float | None):
-    """Per query: best names, best scores and log-sum-exp of all scaled scores."""
+def _score_block(vectors: np.ndarray, protos: np.ndarray, k: int, scale: float | None):
+    """Best prototype rows, their scores and the log-sum-exp of all scaled scores, per query."""
     if vectors.shape[0] and vectors.shape[1] != protos.shape[1]:
         raise ValueError(f"query dimension {vectors.shape[1]} != {protos.shape[1]}")
-    step = max(1, _SCORE_CELLS // max(1, len(names)))
+    step = max(1, _SCORE_CELLS // max(1, len(protos)))
+    best, kept, lse = [], [], []
     for start in range(0, vectors.shape[0], step):
         scores = vectors[start:start + step] @ protos.T
-        best = _top(scores, k)
-        kept = np.take_along_axis(scores, best, axis=1)
-        lse = np.full(len(scores), np.nan)
-        if scale is not None:
+        chosen = _top(scores, k)
+        best.append(chosen)
+        kept.append(np.take_along_axis(scores, chosen, axis=1))
+        if scale is None:
+            lse.append(np.full(len(scores), np.nan))
+        else:
             scaled = scores * scale
             high = scaled.max(axis=1)
-            lse = high + np.log(np.exp(scaled - high[:, None]).sum(axis=1))
-        for i in range(len(scores)):
-            yield names[best[i]], kept[i], lse[i]
+            lse.append(high + np.log(np.exp(scaled - high[:, None]).sum(axis=1)))
+    return np.concatenate(best), np.concatenate(kept), np.concatenate(lse)
 
 
 _RESULT = T.StructType([
@@ -75,18 +77,36 @@ _RESULT = T.StructType([
     T.StructField("top_scores", T.ArrayType(T.DoubleType())),
     T.StructField("lse", T.DoubleType()),
 ])
-_RESULT_ARROW = [("top_classes", pa.list_(pa.string())), ("top_scores", pa.list_(pa.float64())),
-                 ("lse", pa.float64())]
 
 
-def _result_batch(results: list, passthrough: list, names: list[str]) -> pa.RecordBatch:
-    columns = [
-        pa.array([list(r[0]) for r in results], pa.list_(pa.string())),
-        pa.array([r[1].tolist() for r in results], pa.list_(pa.float64())),
-        pa.array([float(r[2]) for r in results], pa.float64()),
-    ]
-    return pa.RecordBatch.from_arrays(
-        passthrough + columns, names=names + [name for name, _ in _RESULT_ARROW])
+def _lists(values: pa.Array, rows: int) -> pa.ListArray:
+    """Flat values of equally long rows → list column."""
+    width = len(values) // rows if rows else 0
+    return pa.ListArray.from_arrays(
+        pa.array(np.arange(rows + 1, dtype=np.int32) * width, pa.int32()), values)
+
+
+def _scored_batches(batch: pa.RecordBatch, keep: list[str], groups: dict, k: int, vector: str,
+                    by: str | None, scale: float | None) -> Iterator[pa.RecordBatch]:
+    """One batch per view: kept columns and the three result columns. Row order is free."""
+    vectors = _matrix(batch.column(vector))
+    views = batch.column(by).to_pylist() if by else [None] * batch.num_rows
+    kept = batch.select(keep)
+    for view in dict.fromkeys(views):
+        rows = np.array([i for i, v in enumerate(views) if v == view], dtype=np.int64)
+        some = kept if len(rows) == batch.num_rows else kept.take(pa.array(rows))
+        if view in groups:
+            names, matrix = groups[view]
+            best, scores, lse = _score_block(vectors[rows], matrix, k, scale)
+            classes = _lists(pa.array(names, pa.string()).take(pa.array(best.ravel())), len(rows))
+            values = _lists(pa.array(scores.ravel(), pa.float64()), len(rows))
+        else:
+            classes = _lists(pa.array([], pa.string()), len(rows))
+            values = _lists(pa.array([], pa.float64()), len(rows))
+            lse = np.full(len(rows), np.nan)
+        yield pa.RecordBatch.from_arrays(
+            [*some.columns, classes, values, pa.array(lse, pa.float64())],
+            names=[*keep, *_RESULT.names])
 
 
 def _grouped(table: pa.Table, by: str | None) -> dict:
@@ -108,21 +128,9 @@ def _broadcast_scores(queries: DataFrame, protos: pa.Table, k: int, vector: str,
     keep = [c for c in queries.columns if c != vector]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = _matrix(batch.column(vector))
-            views = batch.column(by).to_pylist() if by else [None] * batch.num_rows
-            results: list = [((), np.empty(0), math.nan)] * batch.num_rows
-            for view in set(views):
-                if view not in groups:
-                    continue
-                rows = [i for i, v in enumerate(views) if v == view]
-                names, matrix = groups[view]
-                for i, result in zip(rows, _score_block(vectors[rows], names, matrix, k, scale)):
-                    results[i] = result
-            yield _result_batch(results, [batch.column(c) for c in keep], keep)
+            if batch.num_rows:
+                yield from _scored_batches(batch, keep, shared.value, k, vector, by, scale)
 
     schema = T.StructType([queries.schema[c] for c in keep] + _RESULT.fields)
     return queries.mapInArrow(score, schema)
@@ -146,20 +154,10 @@ def _blocked_scores(queries: DataFrame, protos: DataFrame, k: int, query_id: str
 
     def score(q: pa.Table, p: pa.Table) -> pa.Table:
         groups = _grouped(p, by)
-        views = q[by].to_pylist() if by else [None] * q.num_rows
-        vectors = _matrix(q[vector])
-        rows_out: list[int] = []
-        results: list = []
-        for view in set(views):
-            if view not in groups:
-                continue
-            rows = [i for i, v in enumerate(views) if v == view]
-            names, matrix = groups[view]
-            rows_out += rows
-            results += list(_score_block(vectors[rows], names, matrix, k, scale))
-        taken = q.select([query_id]).take(pa.array(rows_out, pa.int64()))
-        batch = _result_batch(results, [taken[query_id].combine_chunks()], [query_id])
-        return pa.Table.from_batches([batch])
+        batches = [
+            out for batch in q.combine_chunks().to_batches()
+            for out in _scored_batches(batch, [query_id], groups, k, vector, by, scale)]
+        return pa.Table.from_batches(batches)
 
     schema = T.StructType([queries.schema[query_id]] + _RESULT.fields)
     partial = left.groupBy("_q", "_p").cogroup(right.groupBy("_q", "_p")).applyInArrow(
@@ -193,17 +191,23 @@ def score_top_k(queries: DataFrame, prototypes: DataFrame, k: int, query_id: str
 
     Scores are dot products in double precision, best first, ties by class id. ``by`` limits a
     query to prototypes of the same view. ``scale`` fills ``lse``, the log-sum-exp over all
-    classes that a softmax needs. ``query_id`` must be unique.
+    classes that a softmax needs. ``query_id`` must be unique. Prototypes are read twice at most
+    before the scoring, so pass a stored table when building them is dear.
     """
     queries = queries.where(F.col(vector).isNotNull())
     wanted = prototypes.select("class_id", "prototype", *([by] if by else []))
-    head = wanted.limit(broadcast_rows + 1).toArrow()
+    head = wanted.limit(min(_PROBE_ROWS, broadcast_rows) + 1).toArrow()
     if head.num_rows == 0:
         return queries.drop(vector).select(
             "*", F.array().cast("array<string>").alias("top_classes"),
             F.array().cast("array<double>").alias("top_scores"),
             F.lit(None).cast("double").alias("lse"))
-    if head.num_rows <= broadcast_rows and head.nbytes <= BROADCAST_BYTES:
+    # The probe gives the bytes per row, hence how many rows may come to the driver at all.
+    per_row = max(1, head.nbytes // head.num_rows)
+    limit = min(broadcast_rows, BROADCAST_BYTES // per_row)
+    if head.num_rows > _PROBE_ROWS and limit > _PROBE_ROWS:
+        head = wanted.limit(limit + 1).toArrow()
+    if head.num_rows <= limit:
         return _broadcast_scores(queries, head, k, vector, by, scale)
     return _blocked_scores(queries, wanted, k, query_id, vector, by, scale, broadcast_rows)
 

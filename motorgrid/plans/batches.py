@@ -11,6 +11,7 @@ from motorgrid import constants as K
 from motorgrid import schemas
 from motorgrid.operators import crawlqueue, pages
 from motorgrid.operators.lookups import upsert_new
+from motorgrid.session import cut_lineage
 
 
 def cap_per_group(df: DataFrame, group: str, order: Iterable, n: int) -> DataFrame:
@@ -31,7 +32,8 @@ def apply_page_results(queue: DataFrame, listings: DataFrame, fetched: DataFrame
         F.col("url").alias("queue_url"), "source", "kind", *pages.HINTS)
     batch = fetched.join(claimed, "queue_url")
     readable = batch.where("html is not null")
-    parsed = pages.parse_listings(readable, current_year)
+    # Both results need the parsed pages; parse them once.
+    parsed = cut_lineage(pages.parse_listings(readable, current_year))
     rows = parsed.where("listing_id is not null")
     # A URL already held by another listing is no new row either.
     new_rows = upsert_columns(rows, listings.columns, now).join(

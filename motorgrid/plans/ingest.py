@@ -51,6 +51,17 @@ def synthetic_url(source: str) -> Column:
     return media.synthetic_url(source, F.col("class_slug"), F.col("image_id"))
 
 
+def _new_ids(rows: DataFrame, order: list[str], known_images: DataFrame) -> DataFrame:
+    """First row of every unknown image, marked ``_new``.
+
+    Copies are reduced before the look-up, and the result joins back on id and path, so many
+    copies of one image never meet in one task.
+    """
+    first = first_per_key(rows.select("image_id", *order), ["image_id"], order)
+    return first.join(known_images.select("image_id"), "image_id", "left_anti").withColumn(
+        "_new", F.lit(True))
+
+
 def ingest_labelled_images(files: DataFrame, source: str, known_images: DataFrame, split: str,
                            now: Column, root: str = "images") -> dict[str, DataFrame]:
     """Labelled files → new listings and images, and the audit of all files.
@@ -60,12 +71,9 @@ def ingest_labelled_images(files: DataFrame, source: str, known_images: DataFram
     """
     hashed = files.withColumn("image_id", F.sha2("content", 256)).drop("content")
     parsed = hashed.where("reason is null")
-    first = first_per_key(parsed.select("image_id", "path"), ["image_id"], ["path"]).withColumn(
-        "_first", F.lit(True))
-    marked = hashed.join(first, ["image_id", "path"], "left").join(
-        known_images.select("image_id", F.lit(True).alias("_known")), "image_id", "left"
-    ).withColumn("outcome", F.when(F.col("reason").isNotNull(), F.col("reason")).when(
-        F.col("_known") | F.col("_first").isNull(), "existing"))
+    fresh_ids = _new_ids(parsed, ["path"], known_images)
+    marked = hashed.join(fresh_ids, ["image_id", "path"], "left").withColumn("outcome", F.when(
+        F.col("reason").isNotNull(), F.col("reason")).when(F.col("_new").isNull(), "existing"))
     fresh = marked.where("outcome is null").withColumn(
         "listing_id", labels.listing_key(F.lit(source), F.col("image_id"))).withColumn(
         "url", synthetic_url(source))
@@ -108,13 +116,9 @@ def ingest_category_files(files: DataFrame, known_images: DataFrame, now: Column
         .when(F.col("_ext").isNull(), "unsupported type")
     )
     staged = staged.withColumn("_reason", reason)
-    first = first_per_key(
-        staged.where("_reason is null").select("image_id", "title"), ["image_id"], ["title"]
-    ).withColumn("_first", F.lit(True))
-    marked = staged.join(first, ["image_id", "title"], "left").join(
-        known_images.select("image_id", F.lit(True).alias("_known")), "image_id", "left"
-    ).withColumn("outcome", F.when(F.col("_reason").isNotNull(), F.col("_reason")).when(
-        F.col("_known") | F.col("_first").isNull(), "existing"))
+    fresh_ids = _new_ids(staged.where("_reason is null"), ["title"], known_images)
+    marked = staged.join(fresh_ids, ["image_id", "title"], "left").withColumn("outcome", F.when(
+        F.col("_reason").isNotNull(), F.col("_reason")).when(F.col("_new").isNull(), "existing"))
     source = F.lit("wikimedia_commons")
     fresh = marked.where("outcome is null").withColumn(
         "listing_id", labels.listing_key(source, F.col("image_id")))

@@ -10,6 +10,7 @@ from motorgrid.functions.calc import generation_year
 from motorgrid.operators import filters, splits
 from motorgrid.operators.lookups import keep_existing
 from motorgrid.operators.similarity import score_top_k
+from motorgrid.session import cut_lineage
 
 
 def canonicalize(listings: DataFrame, source: str | None = None,
@@ -62,10 +63,12 @@ def check_fractions(train_frac: float, val_frac: float, min_group: int) -> None:
 
 def make_splits(images: DataFrame, listings: DataFrame, source: str, seed: int = 42,
                 train_frac: float = 0.8, val_frac: float = 0.1, min_group: int = 10,
-                coherent: bool = True, rebuild: bool = False) -> dict[str, DataFrame]:
+                coherent: bool = True, rebuild: bool = False,
+                share: bool = False) -> dict[str, DataFrame]:
     """Assignment, report and the images table with its new splits.
 
-    Use only the frames you need: without ``images`` it is a dry run. With train + val = 1 the
+    Use only the frames you need: without ``images`` it is a dry run. ``share`` writes the
+    assignment to the checkpoint folder first, for when report and table are both wanted. With train + val = 1 the
     last listings of a cell may still become test, as the walk checks counts before adding.
     """
     check_fractions(train_frac, val_frac, min_group)
@@ -74,6 +77,8 @@ def make_splits(images: DataFrame, listings: DataFrame, source: str, seed: int =
         "image_id", "listing_id", *splits.CELL)
     assign = splits.assign_by_listing if coherent else splits.assign_by_image
     assigned = assign(eligible, seed, train_frac, val_frac, min_group)
+    if share:
+        assigned = cut_lineage(assigned)
     excluded = every.agg(F.count_if(~F.col("eligible")).alias("n")).select(
         F.lit("excluded").alias("metric"), F.lit(None).cast("string").alias("view"),
         F.lit(None).cast("string").alias("split"), "n")

@@ -10,6 +10,7 @@ from motorgrid.functions.calc import era_bucket
 from motorgrid.functions.labels import display_name
 from motorgrid.operators import evaluation, filters, lookups, prototypes, summaries
 from motorgrid.operators.similarity import score_top_k, top_k_rows
+from motorgrid.session import cut_lineage
 
 
 def train_prototypes(images: DataFrame, listings: DataFrame, vectors: DataFrame, sources,
@@ -41,7 +42,8 @@ def score_queries(queries: DataFrame, protos: DataFrame, ks=K.TOP_KS, **options)
 
 def evaluate(queries: DataFrame, protos: DataFrame, ks=K.TOP_KS, **options) -> dict[str, DataFrame]:
     """Overall, per make / view / era, confusions and per-make confusions."""
-    marked = score_queries(queries, protos, ks, **options)
+    # All reports read the predictions: score once, without the vectors.
+    marked = cut_lineage(score_queries(queries, protos, ks, **options))
     return {
         "predictions": marked, "overall": evaluation.overall(marked, ks),
         "breakdown": evaluation.breakdown(marked, ks),
@@ -55,7 +57,7 @@ def evaluate_baseline(queries: DataFrame, protos: DataFrame, train_counts: DataF
     """Overall accuracy, worst and best classes, most frequent wrong pairs."""
     if per_class_top < 0:
         raise ValueError("per_class_top must not be negative")
-    marked = score_queries(queries, protos, ks, **options)
+    marked = cut_lineage(score_queries(queries, protos, ks, **options))
     metrics = evaluation.per_class(marked, train_counts)
     return {
         "overall": evaluation.overall(marked, ks),

@@ -30,6 +30,15 @@ def build_session(app: str = "motorgrid", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def shuffle_partitions(shuffle_bytes: int, target_bytes: int = 256 * 2**20) -> int:
+    """Partition count for the largest shuffle of a job, at least 200.
+
+    Give it as ``spark__sql__adaptive__coalescePartitions__initialPartitionNum``: AQE merges small
+    partitions but never makes more than it started with.
+    """
+    return max(200, -(-shuffle_bytes // target_bytes))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one only on a local master without any."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

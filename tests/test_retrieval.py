@@ -76,7 +76,7 @@ def marked(spark, protos):
 
 def test_overall_and_breakdown(marked):
     total = evaluation.overall(marked).first()
-    assert (total.n, total.top_1, total.top_3, total.top_10) == (7, 3, 6, 6)
+    assert (total.n, total.top_1, total.top_10) == (7, 3, 6)
     cells = {(r.facet, r.key): (r.n, r.top_1) for r in evaluation.breakdown(marked).collect()}
     assert cells[("overall", "")] == (7, 3)
     assert cells[("view", "unknown")] == (3, 0) and cells[("view", "front")] == (3, 3)
