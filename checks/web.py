@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import RAW_MAKES, big, canonical, listings, now, over, pick, query, queue, sql_list, table
+from checks.base import RAW_MAKES, big, canonical, listings, now, over, pick, query, queue, r6, sql_list, table
 from motorgrid import constants as K
 from motorgrid.functions import html as H
 from motorgrid.functions import jsonld, text, urls
@@ -42,15 +42,15 @@ def _(spark, sf):
         urls.is_auction_listing(url).alias("auction"))
 
 
+# Listing URL of a numbered part: text before and after the number.
 _LISTING_URLS = {
     "cars_com": ("https://www.cars.com/vehicledetail/id-", "/?x=1"),
     "autotrader": ("https://www.autotrader.com/cars-for-sale/vehicle/", ""),
     "craigslist": ("https://sfbay.craigslist.org/eby/cto/d/red-car/", ".html"),
     "bat": ("https://bringatrailer.com/listing/lot-", "/"),
-    "hemmings": ("https://www.hemmings.com/classifieds/cars-for-sale/x/", ".html"),
+    "hemmings": ("https://www.hemmings.com/classifieds/cars-for-sale/x/", "/"),
     "carsandbids": ("https://carsandbids.com/auctions/lot-", ""),
 }
-_LISTING_URLS["hemmings"] = ("https://www.hemmings.com/classifieds/cars-for-sale/x/", "/")
 
 
 def _listing_url(source, number):
@@ -367,7 +367,7 @@ def _(spark, sf):
 
 @query("apply_page_results", over("v_listings", f"""
     , p AS (SELECT p_partkey, {_SRC_SQL} AS source, p_partkey % 7 = 3 AS failed FROM part),
-    found AS (SELECT DISTINCT kind, CASE WHEN source = 'cars_com' THEN url ELSE url END AS url FROM (
+    found AS (SELECT DISTINCT kind, url FROM (
       SELECT f.kind, f.url, f.source FROM ({_FOUND}) f JOIN p USING (p_partkey)
       WHERE f.url IS NOT NULL AND NOT failed))
     SELECT 'search' AS kind, CASE WHEN failed THEN 'failed' ELSE 'done' END AS status, count(*) AS n FROM p
@@ -438,13 +438,7 @@ _RANKED = f"""(SELECT *, (CASE make {_WEIGHTS} ELSE 0.3 END)::DOUBLE * CASE WHEN
       AS score FROM {_RANKED}"""))
 def _(spark, sf):
     ranked = catalog.rank_models(catalog.model_years(_catalog_rows(spark, sf)), 2020, 30)
-    return ranked.select("make", "model", big("year_min"), big("year_max"), r6_score())
-
-
-def r6_score():
-    from checks.base import r6
-
-    return r6("score").alias("score")
+    return ranked.select("make", "model", big("year_min"), big("year_max"), r6("score").alias("score"))
 
 
 @query("seed_rows", over("v_canonical", f"""
@@ -532,7 +526,11 @@ def _(spark, sf):
         "page_id", F.col("link").alias("first_link"))
 
 
-@query("inner_text_hash", None)
+@query("page_text_hash", r"""
+    SELECT page_id, sha256(array_to_string(list_filter(list_transform(string_split_regex(html, '<[^>]*>'),
+      lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'),
+      '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '^\s+|\s+$', '', 'g')),
+      lambda p: p <> ''), ' ')) AS digest FROM pages""")
 def _(spark, sf):
     return table(spark, sf, "pages").select(
         "page_id", text.text_hash(H.inner_text(F.col("html"))).alias("digest"))

@@ -73,11 +73,13 @@ def top_pairs(pairs: DataFrame, limit: int) -> DataFrame:
 
 def confusions(marked: DataFrame, limit: int = K.CONFUSION_LIMIT) -> DataFrame:
     """Most frequent wrong pairs and their share of all top-1 misses."""
-    # Pairs and total come from one aggregation, whose shuffle Spark reuses.
+    # Pairs and total come from one aggregation, whose shuffle Spark reuses. Wrong pairs are told
+    # by a count: a filter on the keys would be pushed below and make two aggregations of it.
+    wrong = F.col("pred_class") != F.col("true_class")
     counts = marked.groupBy("true_class", "pred_class").agg(
-        F.count("*").alias("n"), F.count_if(~F.col("hit_1")).alias("_missed"))
+        F.count_if(wrong).alias("n"), F.count_if(~F.col("hit_1")).alias("_missed"))
     misses = counts.agg(F.sum("_missed").alias("m"))
-    top = top_pairs(counts.where("pred_class <> true_class").drop("_missed"), limit)
+    top = top_pairs(counts.where("n > 0").drop("_missed"), limit)
     return top.withColumn("rate", F.col("n") / misses.scalar()).withColumn(
         "true_name", display_name(F.col("true_class"))).withColumn(
         "pred_name", display_name(F.col("pred_class")))
@@ -86,13 +88,13 @@ def confusions(marked: DataFrame, limit: int = K.CONFUSION_LIMIT) -> DataFrame:
 def make_confusions(marked: DataFrame, min_rows: int = K.PER_MAKE_MIN_ROWS,
                     limit: int = K.PER_MAKE_LIMIT) -> DataFrame:
     """Top wrong pairs of every make with enough test rows; share of the make's wrong pairs."""
-    counts = marked.groupBy("make", "true_class", "pred_class").agg(F.count("*").alias("n"))
     wrong = F.col("pred_class") != F.col("true_class")
+    counts = marked.groupBy("make", "true_class", "pred_class").agg(
+        F.count("*").alias("_rows"), F.count_if(wrong).alias("n"))
     totals = counts.groupBy("make").agg(
-        F.sum("n").alias("_n"), F.sum(F.when(wrong, F.col("n"))).alias("_wrong")
-    ).where(F.col("_n") >= min_rows)
+        F.sum("_rows").alias("_n"), F.sum("n").alias("_wrong")).where(F.col("_n") >= min_rows)
     order = Window.partitionBy("make").orderBy(F.col("n").desc(), "true_class", "pred_class")
-    top = counts.where(wrong).withColumn("rank", F.row_number().over(order)).where(
+    top = counts.where("n > 0").withColumn("rank", F.row_number().over(order)).where(
         F.col("rank") <= limit)
     return top.join(totals, "make").select(
         "make", "true_class", "pred_class", "n", "rank", (F.col("n") / F.col("_wrong")).alias("rate"))
