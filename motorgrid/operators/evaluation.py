@@ -71,15 +71,24 @@ def top_pairs(pairs: DataFrame, limit: int) -> DataFrame:
     return pairs.orderBy(F.col("n").desc(), "true_class", "pred_class").limit(limit)
 
 
+def _class_pairs(marked: DataFrame, *keys: str) -> DataFrame:
+    """Rows per true and predicted class. Pairs and totals are both taken from it: as long as
+    they use the same column, Spark runs the scoring below once and reuses its shuffle."""
+    return marked.groupBy(*keys, "true_class", "pred_class").agg(F.count("*").alias("_rows"))
+
+
+def _wrong_rows() -> Column:
+    # Built on the count, as a filter on the keys alone would be pushed below the aggregation.
+    return F.when(F.col("pred_class") != F.col("true_class"), F.col("_rows"))
+
+
 def confusions(marked: DataFrame, limit: int = K.CONFUSION_LIMIT) -> DataFrame:
     """Most frequent wrong pairs and their share of all top-1 misses."""
-    # Pairs and total come from one aggregation, whose shuffle Spark reuses. Wrong pairs are told
-    # by a count: a filter on the keys would be pushed below and make two aggregations of it.
-    wrong = F.col("pred_class") != F.col("true_class")
-    counts = marked.groupBy("true_class", "pred_class").agg(
-        F.count_if(wrong).alias("n"), F.count_if(~F.col("hit_1")).alias("_missed"))
-    misses = counts.agg(F.sum("_missed").alias("m"))
-    top = top_pairs(counts.where("n > 0").drop("_missed"), limit)
+    counts = _class_pairs(marked)
+    # The first prediction misses unless it is the true class.
+    missed = F.coalesce(F.col("pred_class") != F.col("true_class"), F.lit(True))
+    misses = counts.agg(F.sum(F.when(missed, F.col("_rows"))).alias("m"))
+    top = top_pairs(counts.withColumn("n", _wrong_rows()).where("n > 0").drop("_rows"), limit)
     return top.withColumn("rate", F.col("n") / misses.scalar()).withColumn(
         "true_name", display_name(F.col("true_class"))).withColumn(
         "pred_name", display_name(F.col("pred_class")))
@@ -88,14 +97,13 @@ def confusions(marked: DataFrame, limit: int = K.CONFUSION_LIMIT) -> DataFrame:
 def make_confusions(marked: DataFrame, min_rows: int = K.PER_MAKE_MIN_ROWS,
                     limit: int = K.PER_MAKE_LIMIT) -> DataFrame:
     """Top wrong pairs of every make with enough test rows; share of the make's wrong pairs."""
-    wrong = F.col("pred_class") != F.col("true_class")
-    counts = marked.groupBy("make", "true_class", "pred_class").agg(
-        F.count("*").alias("_rows"), F.count_if(wrong).alias("n"))
+    counts = _class_pairs(marked, "make")
     totals = counts.groupBy("make").agg(
-        F.sum("_rows").alias("_n"), F.sum("n").alias("_wrong")).where(F.col("_n") >= min_rows)
+        F.sum("_rows").alias("_n"), F.sum(_wrong_rows()).alias("_wrong")
+    ).where(F.col("_n") >= min_rows)
     order = Window.partitionBy("make").orderBy(F.col("n").desc(), "true_class", "pred_class")
-    top = counts.where("n > 0").withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= limit)
+    top = counts.withColumn("n", _wrong_rows()).where("n > 0").withColumn(
+        "rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return top.join(totals, "make").select(
         "make", "true_class", "pred_class", "n", "rank", (F.col("n") / F.col("_wrong")).alias("rate"))
 
