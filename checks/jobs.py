@@ -31,6 +31,8 @@ def _scratch(spark, name):
 # ---- smoothing and detections -------------------------------------------------
 
 _LABELS = ("civic", "accord", "camry", "f-150")
+# Confidences are multiples of 1/128, so that sums and ties do not depend on the order of adding;
+# their means have at most ten digits or no tie in the tenth.
 
 
 def predictions(spark, sf):
@@ -50,13 +52,13 @@ _SMOOTHED = f"""
     h AS (SELECT a.seq, b.label, count(*) AS k, avg(b.confidence) AS m FROM n a JOIN n b
       ON a.slot = b.slot AND b.i BETWEEN a.i - 7 AND a.i GROUP BY ALL)
     SELECT seq, label AS smoothed_label, 'c' || (list_position({sql_list(_LABELS)}, label) - 1)
-        AS smoothed_class_id, round(m, 6) AS smoothed_confidence FROM h
+        AS smoothed_class_id, round(m, 10) AS smoothed_confidence FROM h
     QUALIFY row_number() OVER (PARTITION BY seq ORDER BY k DESC, m DESC, label) = 1)"""
 
 
 def _voted(df):
     return df.select("seq", "smoothed_label", "smoothed_class_id",
-                     r6("smoothed_confidence").alias("smoothed_confidence"))
+                     F.round("smoothed_confidence", 10).alias("smoothed_confidence"))
 
 
 @query("smooth_predictions", f"SELECT * FROM {_SMOOTHED}")

@@ -11,6 +11,7 @@ from motorgrid.functions import jsonld, text, urls
 from motorgrid.operators import catalog, crawlqueue, pages, sitemaps
 from motorgrid.plans.batches import apply_page_results
 from motorgrid.sources.sitemaps import sitemap_links
+from motorgrid.sources.tables import spread_rows
 
 _HOST = r"lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 
@@ -102,7 +103,8 @@ _LINKS = rf"""
 
 @query("page_links", _LINKS)
 def _(spark, sf):
-    return pages.page_links(table(spark, sf, "pages")).select("page_id", "link", big("position"))
+    stored = spread_rows(table(spark, sf, "pages"), "page_id")
+    return pages.page_links(stored).select("page_id", "link", big("position"))
 
 
 @query("page_titles", r"""
@@ -115,6 +117,7 @@ def _(spark, sf):
 
 # One page per part with two listing links (one of them twice), noise and a next link.
 def _search_pages(spark, sf):
+    part = spread_rows(table(spark, sf, "part"), "p_partkey")
     source = pick(K.QUEUE_SOURCES, F.col("p_partkey") % 6)
     first = _listing_url(source, F.col("p_partkey") + 1000000)
     second = _listing_url(source, F.col("p_partkey") + 2000000)
@@ -126,7 +129,7 @@ def _search_pages(spark, sf):
         F.lit('<html><body><a href="/about">About</a><a class="c" href="'), first, F.lit('">A</a>'),
         F.lit("<p><a href='"), second, F.lit("'><b>B</b></a> <a href=\""), first, tail,
         F.lit("\">again</a><a name=\"x\">no link</a>"), nexts, F.lit("</body></html>"))
-    return table(spark, sf, "part").select(
+    return part.select(
         F.concat(F.lit("https://site.example/s/"), F.col("p_partkey"), F.lit("/list")).alias("url"),
         source.alias("source"), F.lit("search").alias("kind"), shown.alias("html"),
         F.lit(2010).alias("target_year"), F.col("p_brand").alias("target_make"),
@@ -190,7 +193,7 @@ def _script(body, attrs='type="application/ld+json"'):
 
 def listing_pages(spark, sf):
     """One listing page per part, in the source's own style."""
-    part = table(spark, sf, "part")
+    part = spread_rows(table(spark, sf, "part"), "p_partkey")
     key, source = F.col("p_partkey"), pick(K.QUEUE_SOURCES, F.col("p_partkey") % 6)
     year = (2008 + F.col("p_size") % 8).cast("string")
     trim, model = F.split("p_name", " ")[0], F.split("p_name", " ")[1]

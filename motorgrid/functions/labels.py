@@ -17,7 +17,13 @@ __all__ = [
 
 
 def literal_map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(item) for pair in pairs.items() for item in pair])
+    """Constant map of text to text or numbers, built in one call."""
+    def sql(value) -> str:
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{float(value)!r}D"
+
+    return F.expr("map(" + ", ".join(sql(x) for pair in pairs.items() for x in pair) + ")")
 
 
 def normalize_make(col: Column) -> Column:

@@ -21,11 +21,13 @@ def mode_vote(history: Column) -> Column:
     """
 
     def tally(label: Column) -> Column:
-        own = F.filter(history, lambda h: h["label"] == label)
-        mean = F.aggregate(own, F.lit(0.0), lambda acc, h: acc + h["confidence"]) / F.size(own)
-        return F.struct(
-            (-F.size(own)).alias("a"), (-mean).alias("b"), label.alias("label"),
-            F.get(own, F.lit(0))["class_id"].alias("class_id"))
+        def entry(own: Column) -> Column:
+            total = F.aggregate(own, F.lit(0.0), lambda acc, h: acc + h["confidence"])
+            return F.struct(
+                (-F.size(own)).alias("a"), (-total / F.size(own)).alias("b"),
+                label.alias("label"), F.get(own, F.lit(0))["class_id"].alias("class_id"))
+
+        return let(F.filter(history, lambda h: h["label"] == label), entry)
 
     labels = F.array_distinct(F.transform(history, lambda h: h["label"]))
     return let(F.array_min(F.transform(labels, tally)), lambda w: F.struct(

@@ -27,9 +27,11 @@ def running_total(df: DataFrame, group: Iterable[str], order: Iterable, bucket:
     ``order`` must be total within the group and ``bucket`` must not decrease along it. Adds the
     key columns ``_cell`` and ``_bucket``; rows stay partitioned by them.
     """
+    # Structs are never null: null keys stay in (and sort first), and no branch gets a null filter
+    # of its own, so the shuffle of ``df`` is done once and reused.
     staged = (
-        df.withColumn("_cell", F.struct(*group)).withColumn("_bucket", bucket)
-        .withColumn("_value", value)
+        df.withColumn("_cell", F.struct(*group))
+        .withColumn("_bucket", F.struct(bucket.alias("b"))).withColumn("_value", value)
     )
     per_bucket = staged.groupBy("_cell", "_bucket").agg(F.sum("_value").alias("_sum"))
     earlier = Window.partitionBy("_cell").orderBy("_bucket").rowsBetween(

@@ -92,6 +92,13 @@ def test_running_total_is_exact(spark):
         assert {r.total for r in members} == {seen}
 
 
+def test_running_total_keeps_null_buckets(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("a", None, 3), ("b", None, 4)],
+                               "g string, o int, n int")
+    out = running_total(df, ["g"], ["o", "n"], F.col("o"), F.lit(1), "before")
+    assert {r.n: r.before for r in out.collect()} == {1: 0, 3: 1, 2: 2, 4: 0}
+
+
 def test_class_positions(spark):
     names = [f"{y}|make{m}|x" for y in (1999, 2000, 2012) for m in range(40)]
     got = class_positions(spark.createDataFrame([(n,) for n in names], "c string"), "c", "i").collect()
