@@ -268,22 +268,20 @@ def _(spark, sf):
 
 
 @query("vin_extract", r"""
-    SELECT doc_id, coalesce(nullif(regexp_extract(upper(text || ' ' || v), '\b([A-HJ-NPR-Z0-9]{17})\b',
-      1), ''), 'none') AS vin FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN
-      upper(sha256(text)[:17]) ELSE '' END AS v FROM documents WHERE lang = 'en')""")
+    SELECT doc_id, coalesce(nullif(regexp_extract(upper(replace(text, 'ß', 'ss') || ' ' || v),
+      '(?:^|[^\p{L}\p{N}_])([A-HJ-NPR-Z0-9]{17})(?:[^\p{L}\p{N}_]|$)', 1), ''), 'none') AS vin
+    FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN upper(sha256(text)[:17]) ELSE '' END AS v
+      FROM documents)""")
 def _(spark, sf):
     vin = F.when(F.col("doc_id") % 3 == 0, F.upper(F.substring(F.sha2("text", 256), 1, 17))).otherwise("")
-    docs = table(spark, sf, "documents").where("lang = 'en'")
-    return docs.select("doc_id", F.coalesce(titles.vin(
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(titles.vin(
         F.lit("no label"), F.concat_ws(" ", "text", vin)), F.lit("none")).alias("vin"))
 
 
-@query("vin_attribute", r"""
-    SELECT doc_id, upper(sha256(text)[:17]) AS vin FROM documents WHERE doc_id % 2 = 0""")
+@query("vin_attribute", "SELECT doc_id, upper(sha256(text)[:17]) AS vin FROM documents")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").where("doc_id % 2 = 0")
     attrs = F.concat(F.lit("type: suv | vin: "), F.substring(F.sha2("text", 256), 1, 17), F.lit(" | x"))
-    return docs.select("doc_id", titles.vin(attrs, F.col("text")).alias("vin"))
+    return table(spark, sf, "documents").select("doc_id", titles.vin(attrs, F.col("text")).alias("vin"))
 
 
 @query("key_value_extract", r"""

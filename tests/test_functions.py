@@ -1,6 +1,5 @@
 from urllib.parse import quote_plus, urljoin, urlparse, urlunparse
 
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from motorgrid.functions import calc, labels, media, text, titles, urls, vectors
@@ -206,4 +205,3 @@ def test_media_and_vectors(evaluate):
     assert evaluate(vectors.l2_normalize(V), [[3.0, 4.0], [0.0, 0.0]], "v array<double>") == [
         [0.6, 0.8], [0.0, 0.0]]
     assert abs(evaluate(vectors.cosine(V, V), [[1.0, 2.0]], "v array<float>")[0] - 1) < 1e-9
-    assert Row(a=1).a == 1

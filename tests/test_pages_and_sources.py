@@ -299,3 +299,17 @@ def test_idempotent_insert(spark):
     once = lookups.upsert_new(target, incoming, "k", ["n"])
     twice = lookups.upsert_new(once, incoming, "k", ["n"])
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [("a", 0), ("b", 2)]
+
+
+def test_orderings(spark):
+    images = spark.createDataFrame(
+        [("c", "l", None, "2024-01-01"), ("b", "l", 2, "2024-01-02"), ("a", "l", 2, "2024-01-01"), ("x", "m", 1, "2024-01-01")],
+        "image_id string, listing_id string, position int, downloaded_at string")
+    assert [r.image_id for r in filters.images_for_listing(images, "l").collect()] == ["a", "b", "c"]
+    listings = spark.createDataFrame(
+        [("1", "s", 2010, "Kia", "Rio", "2024-01-01"), ("2", "s", 2010, "Kia", "Rio", "2024-01-03"),
+         ("3", "t", 2011, "Kia", "Ceed", "2024-01-02")],
+        "listing_id string, source string, year int, make string, model string, scraped_at string")
+    assert [r.listing_id for r in filters.list_by_class(listings).collect()] == ["2", "3", "1"]
+    assert [r.listing_id for r in filters.list_by_class(listings, make="Kia", model="Rio", limit=1).collect()] == ["2"]
+    assert filters.list_by_class(listings, year=1).count() == 0
