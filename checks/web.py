@@ -108,8 +108,9 @@ def _(spark, sf):
 
 
 @query("page_titles", r"""
-    SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'),
-      '&lt;', '<')) AS title FROM pages""")
+    SELECT page_id, trim(replace(replace(replace(replace(replace(replace(
+      regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+      '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS title FROM pages""")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.coalesce(
         pages.unescaped_title(F.col("html")), F.lit("")).alias("title"))
