@@ -18,10 +18,15 @@ BATCH_ROWS = 512
 BATCH_BYTES = 32 * 2**20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; sets the batch size that the Python operators rely on."""
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the Python operators in rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
