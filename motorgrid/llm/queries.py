@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motorgrid.llm import bpe, exact_dedup, mixing, quality_rules, simhash
+from motorgrid.llm import bpe, exact_dedup, mixing, quality_rules, simhash, warc
 from motorgrid.llm.common import LOWER, UPPER, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n
+           FROM pages),
+k AS (SELECT html, max(page_id) AS first_id FROM p WHERE n >= {warc.LEAST_REVISIT} GROUP BY html)
+SELECT p.page_id, p.n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+    CASE WHEN k.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN k.first_id <> p.page_id THEN k.first_id END AS refers_to
+FROM p LEFT JOIN k ON p.html = k.html AND p.n >= {warc.LEAST_REVISIT}
+""")
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op2_simhash_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
