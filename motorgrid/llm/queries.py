@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motorgrid.llm import bpe, exact_dedup, mixing, quality_rules, simhash, warc
+from motorgrid.llm import (
+    bpe, exact_dedup, mixing, ordinal, page_text, quality_rules, simhash, tool_calls, warc,
+)
 from motorgrid.llm.common import LOWER, UPPER, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +57,16 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_scores(table(spark, sf_dir, "documents"))
 
 
+@query("op6_page_text")
+def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op7_tool_calls", tool_calls.SQL)
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 @query("op8_bpe")
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
@@ -69,3 +81,12 @@ FROM d JOIN g USING (norm)
 """)
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_ordinal")
+def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    grades = labels.select(
+        "doc_id", ordinal.grade(labels["quality"], labels["toxic"]).alias("grade"))
+    return ordinal.rate(docs, ordinal.fit_on(docs, grades))
