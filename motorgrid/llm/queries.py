@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from motorgrid.llm import (
-    bpe, exact_dedup, mixing, ordinal, page_text, quality_rules, simhash, tool_calls, warc,
+    bpe, exact_dedup, id_files, mixing, ordinal, page_text, quality_rules, simhash, tool_calls, warc,
 )
 from motorgrid.llm.common import LOWER, UPPER, table
 
@@ -52,6 +52,12 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+@query("op4_id_files")
+def id_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return id_files.read_documents(id_files.write_ids(docs, VOCABULARY))
+
+
 @query("op5_quality_rules")
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_scores(table(spark, sf_dir, "documents"))
