@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,7 +28,8 @@ def main() -> None:
     spark = build_session(
         "bench", master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus,
         spark__ui__enabled="false", spark__driver__memory="16g",
-        spark__ui__showConsoleProgress="false")
+        spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     spark.sparkContext.setLogLevel("ERROR")
     from checks import QUERIES
 

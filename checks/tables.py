@@ -586,23 +586,21 @@ def _(spark, sf):
 
 @query("hard_class_weights", """
     SELECT c::VARCHAR AS class_id, CASE WHEN c IN (SELECT l_suppkey % 40 FROM lineitem
-        WHERE l_quantity = 7 AND l_linenumber = 1) OR c IN (SELECT l_partkey % 40 FROM lineitem
-        WHERE l_quantity = 7 AND l_linenumber = 1) THEN 2.5::DOUBLE ELSE 1::DOUBLE END AS weight
+        ) OR c IN (SELECT l_partkey % 40 FROM lineitem) THEN 2.5::DOUBLE ELSE 1::DOUBLE END AS weight
     FROM (SELECT DISTINCT o_custkey % 50 AS c FROM orders)""")
 def _(spark, sf):
     classes = table(spark, sf, "orders").select(
         (F.col("o_custkey") % 50).cast("string").alias("class_id")).distinct()
-    pairs = table(spark, sf, "lineitem").where("l_quantity = 7 and l_linenumber = 1").select(
+    pairs = table(spark, sf, "lineitem").select(
         (F.col("l_suppkey") % 40).cast("string").alias("true_class"),
         (F.col("l_partkey") % 40).cast("string").alias("pred_class"))
     return training.hard_class_weights(classes, pairs, 2.5)
 
 
 @query("hard_classes", """
-    SELECT DISTINCT unnest([l_suppkey % 40, l_partkey % 40])::VARCHAR AS class_id FROM lineitem
-    WHERE l_quantity = 7""")
+    SELECT DISTINCT unnest([l_suppkey % 40, l_partkey % 40])::VARCHAR AS class_id FROM lineitem""")
 def _(spark, sf):
-    pairs = table(spark, sf, "lineitem").where("l_quantity = 7").select(
+    pairs = table(spark, sf, "lineitem").select(
         (F.col("l_suppkey") % 40).cast("string").alias("true_class"),
         (F.col("l_partkey") % 40).cast("string").alias("pred_class"))
     return lookups.hard_classes(pairs)

@@ -11,7 +11,6 @@ from motorgrid.functions import jsonld, text, urls
 from motorgrid.operators import catalog, crawlqueue, pages, sitemaps
 from motorgrid.plans.batches import apply_page_results
 from motorgrid.sources.sitemaps import sitemap_links
-from motorgrid.sources.tables import spread_rows
 
 _HOST = r"lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 
@@ -103,8 +102,7 @@ _LINKS = rf"""
 
 @query("page_links", _LINKS)
 def _(spark, sf):
-    stored = spread_rows(table(spark, sf, "pages"), "page_id")
-    return pages.page_links(stored).select("page_id", "link", big("position"))
+    return pages.page_links(table(spark, sf, "pages")).select("page_id", "link", big("position"))
 
 
 @query("page_titles", r"""
@@ -118,7 +116,7 @@ def _(spark, sf):
 
 # One page per part with two listing links (one of them twice), noise and a next link.
 def _search_pages(spark, sf):
-    part = spread_rows(table(spark, sf, "part"), "p_partkey")
+    part = table(spark, sf, "part")
     source = pick(K.QUEUE_SOURCES, F.col("p_partkey") % 6)
     first = _listing_url(source, F.col("p_partkey") + 1000000)
     second = _listing_url(source, F.col("p_partkey") + 2000000)
@@ -194,7 +192,7 @@ def _script(body, attrs='type="application/ld+json"'):
 
 def listing_pages(spark, sf):
     """One listing page per part, in the source's own style."""
-    part = spread_rows(table(spark, sf, "part"), "p_partkey")
+    part = table(spark, sf, "part")
     key, source = F.col("p_partkey"), pick(K.QUEUE_SOURCES, F.col("p_partkey") % 6)
     year = (2008 + F.col("p_size") % 8).cast("string")
     trim, model = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
@@ -507,27 +505,45 @@ def _(spark, sf):
     return sitemap_links(docs).select("document", big("position"), "loc")
 
 
-@query("sitemap_seed_stats", """
-    SELECT 'carsandbids' AS source, count(*) AS walked, count(*) FILTER (o_orderkey % 3 < 2) AS matched,
-      count(DISTINCT o_custkey) FILTER (o_orderkey % 3 < 2 AND o_custkey % 4 <> 0) AS inserted,
-      count(*) FILTER (o_orderkey % 3 < 2) - count(DISTINCT o_custkey) FILTER (o_orderkey % 3 < 2
-        AND o_custkey % 4 <> 0) AS duplicates FROM orders""")
+_SEEDS = """
+    WITH m AS (SELECT * FROM orders WHERE o_orderkey % 3 < 2 ORDER BY o_orderkey{limit})
+    SELECT 'carsandbids' AS source, ({walked}) AS walked, count(*) AS matched,
+      count(DISTINCT o_custkey) FILTER (o_custkey % 4 <> 0) AS inserted,
+      count(*) - count(DISTINCT o_custkey) FILTER (o_custkey % 4 <> 0) AS duplicates,
+      (SELECT string_agg('https://carsandbids.com/auctions/lot-' || o_custkey, ' ' ORDER BY o_orderkey)
+        FROM (SELECT * FROM m ORDER BY o_orderkey LIMIT 5)) AS examples FROM m"""
+
+
+@query("sitemap_seed_stats_limited", _SEEDS.format(
+    limit=" LIMIT 400", walked="SELECT count(*) FROM orders WHERE o_orderkey <= (SELECT max(o_orderkey) FROM m)"))
 def _(spark, sf):
+    return _seed_stats(spark, sf, 400)
+
+
+@query("sitemap_seed_stats", _SEEDS.format(limit="", walked="SELECT count(*) FROM orders"))
+def _(spark, sf):
+    return _seed_stats(spark, sf, None)
+
+
+def _seed_stats(spark, sf, max_listings):
     def link(key):
         return F.concat(F.lit("https://carsandbids.com/auctions/lot-"), key)
 
-    rows = table(spark, sf, "orders").select(F.when(
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("position"), F.when(
         F.col("o_orderkey") % 3 < 2, link(F.col("o_custkey"))).otherwise("https://carsandbids.com/x")
         .alias("url"))
     held = table(spark, sf, "customer").where("c_custkey % 4 = 0").select(link(F.col("c_custkey")).alias("url"))
-    return crawlqueue.sitemap_stats(rows, held, "carsandbids", urls.SITEMAP_FILTERS["carsandbids"](F.col("url")))
+    return crawlqueue.sitemap_stats(
+        rows, held, "carsandbids", urls.SITEMAP_FILTERS["carsandbids"](F.col("url")), max_listings
+    ).withColumn("examples", F.array_join("examples", " "))
 
 
-@query("url_dedupe_in_order", _LINKS.replace("SELECT page_id, link, row_number", "SELECT page_id, link AS first_link, row_number", 1)
-       .join(("SELECT page_id, first_link FROM (", ") WHERE position = 0")))
+@query("url_dedupe_in_order", f"""
+    SELECT page_id, string_agg(link, ' ' ORDER BY position) AS links FROM ({_LINKS}) GROUP BY page_id""")
 def _(spark, sf):
-    return pages.page_links(table(spark, sf, "pages")).where("position = 0").select(
-        "page_id", F.col("link").alias("first_link"))
+    rows = pages.page_links(table(spark, sf, "pages")).groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.struct("position", "link"))).alias("all"))
+    return rows.select("page_id", F.array_join(F.transform("all", lambda x: x["link"]), " ").alias("links"))
 
 
 @query("page_text_hash", r"""

@@ -60,13 +60,13 @@ def build_catalog(rows: DataFrame, source: str, generated_at: str,
     )
 
 
-def rank_models(models: DataFrame, current_year: int, top_n: int = 2000,
+def rank_models(models: DataFrame, current_year: int, top_n: int | None = None,
                 ignore_case: bool = False) -> DataFrame:
     """Score = make weight × recency of the last year; best first, then make and model.
 
     The weight table has its own spellings and the look-up is exact unless ``ignore_case``.
     """
-    if top_n < 0:
+    if top_n is not None and top_n < 0:
         raise ValueError("top_n must not be negative")
     if ignore_case:
         weights = literal_map({k.lower(): v for k, v in K.MAKE_POPULARITY.items()})
@@ -75,14 +75,15 @@ def rank_models(models: DataFrame, current_year: int, top_n: int = 2000,
         weights, key = literal_map(K.MAKE_POPULARITY), F.col("make_name")
     weight = F.coalesce(F.try_element_at(weights, key), F.lit(K.DEFAULT_MAKE_WEIGHT))
     last = F.array_max("years")
-    return (
+    ranked = (
         models.where(F.size("years") > 0)
         .select(
             F.col("make_name").alias("make"), F.col("model_name").alias("model"), "make_id",
             "model_id", F.array_min("years").alias("year_min"), last.alias("year_max"),
             (weight * recency_weight(last, current_year)).alias("score"))
-        .orderBy(F.col("score").desc(), "make", "model", "model_id").limit(top_n)
+        .orderBy(F.col("score").desc(), "make", "model", "model_id")
     )
+    return ranked if top_n is None else ranked.limit(top_n)
 
 
 def seed_rows(ranked: DataFrame, sites: Iterable[str],

@@ -221,24 +221,35 @@ def seed_stats(queue: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def sitemap_stats(links: DataFrame, queue: DataFrame, source: str, is_listing: Column,
-                  max_listings: int | None = None) -> DataFrame:
-    """Walked, matched, inserted and duplicate URLs of one sitemap; ``links`` has a column url."""
-    walked = links.agg(F.count("*").alias("walked"))
+                  max_listings: int | None = None, n_examples: int = 5) -> DataFrame:
+    """Walked, matched, inserted and duplicate URLs of one sitemap, and its first matches.
+
+    ``links`` has url and position, the order of the walk. With ``max_listings`` the walk ends at
+    the link that reaches that number.
+    """
     matched = links.where(is_listing)
+    first = matched.orderBy("position", "url").limit(n_examples).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("position", "url"))), lambda x: x["url"])
+        .alias("examples"))
+    walked = links
     if max_listings is not None:
-        matched = matched.orderBy("position").limit(max_listings)
+        matched = matched.orderBy("position", "url").limit(max_listings)
+        end = matched.agg(F.when(F.count("*") >= max_listings, F.max("position")).alias("end"))
+        last = end.scalar()
+        walked = links.where(last.isNull() | (F.col("position") <= last))
     found = matched.groupBy("url").agg(F.count("*").alias("_n")).join(
         queue.select("url", F.lit(1).alias("_old")), "url", "left")
     inserted = F.count_if(F.col("_old").isNull())
     return found.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("matched"), inserted.alias("inserted"),
     ).select(
-        F.lit(source).alias("source"), walked.scalar().alias("walked"), "matched", "inserted",
-        (F.col("matched") - F.col("inserted")).alias("duplicates"))
+        F.lit(source).alias("source"), walked.agg(F.count("*")).scalar().alias("walked"),
+        "matched", "inserted", (F.col("matched") - F.col("inserted")).alias("duplicates"),
+        first.scalar().alias("examples"))
 
 
-def source_report(queue: DataFrame, listings: DataFrame) -> DataFrame:
-    """Per source: URLs by kind and status, listing rows and up to three failed examples."""
+def source_report(queue: DataFrame, listings: DataFrame, n_examples: int = 3) -> DataFrame:
+    """Per source: URLs by kind and status, listing rows and the first failed examples."""
     def n(condition: Column, name: str) -> Column:
         return F.count_if(condition).alias(name)
 
@@ -252,7 +263,7 @@ def source_report(queue: DataFrame, listings: DataFrame) -> DataFrame:
     rows = listings.groupBy("source").agg(F.count("*").alias("_rows"))
     order = Window.partitionBy("source").orderBy("enqueued_at", "url")
     examples = queue.where(status.isin("failed", "dead")).withColumn(
-        "_rn", F.row_number().over(order)).where("_rn <= 3").groupBy("source").agg(
+        "_rn", F.row_number().over(order)).where(F.col("_rn") <= n_examples).groupBy("source").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rn", "url"))), lambda x: x["url"])
         .alias("_ex"))
     empty = F.array().cast("array<string>")

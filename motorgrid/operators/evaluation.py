@@ -119,18 +119,22 @@ def per_class(marked: DataFrame, train_counts: DataFrame) -> DataFrame:
 
 
 def worst_and_best(metrics: DataFrame, m: int) -> DataFrame:
-    """The m worst and m best classes by (top_1, class_id), or all when there are at most 2m.
+    """The m worst and m best classes by (top_1, class_id), with ``end`` and ``rank`` from that end.
 
-    Each end is a bounded top-m of Spark; no global ranking of the class table.
+    Of at most 2 m classes every one is there once, in the worst half if both ends reach it. Each
+    end is a bounded top-m of Spark; no global ranking of the class table.
     """
     if m < 0:
         raise ValueError("m must not be negative")
-    if m == 0:
-        return metrics
-    up = (F.col("top_1"), F.col("class_id"))
-    down = (F.col("top_1").desc(), F.col("class_id").desc())
-    # With at most 2m classes both ends together are everything; overlaps drop out.
-    return metrics.orderBy(*up).limit(m).union(metrics.orderBy(*down).limit(m)).distinct()
+
+    def end(name: str, *order: Column) -> DataFrame:
+        # Only m rows are numbered.
+        return metrics.orderBy(*order).limit(m).withColumns({
+            "end": F.lit(name), "rank": F.row_number().over(Window.orderBy(*order))})
+
+    worst = end("worst", F.col("top_1"), F.col("class_id"))
+    best = end("best", F.col("top_1").desc(), F.col("class_id").desc())
+    return worst.unionByName(best.join(worst.select("class_id"), "class_id", "left_anti"))
 
 
 def parity(pairs: DataFrame, k: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,15 +13,13 @@ from motorgrid.functions.labels import class_id
 
 
 def source_list(value: str | Iterable[str]) -> list[str]:
-    """Sources from one name, a comma-separated string or a list; blanks in a list are errors."""
-    if isinstance(value, str):
-        names = [name.strip() for name in value.split(",") if name.strip()]
-    else:
-        names = [str(name).strip() for name in value]
-        if not all(names):
-            raise ValueError("source entries must be non-empty strings")
+    """Names of sources, stripped. A comma-separated string may have gaps, a list may not."""
+    given = value.split(",") if isinstance(value, str) else [str(v) for v in value]
+    names = [n for n in map(str.strip, given) if n]
+    if not isinstance(value, str) and len(names) < len(given):
+        raise ValueError(f"blank source in {given}")
     if not names:
-        raise ValueError("at least one source is needed")
+        raise ValueError("no source given")
     return names
 
 
@@ -57,17 +55,22 @@ def join_listings(images: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def select_labelled_rows(images: DataFrame, listings: DataFrame, sources: str | Iterable[str],
-                         split: str, keep: Iterable[str] = ()) -> DataFrame:
-    """image_id, class_id, view, local_path of the split's images that have a class and a file."""
+                         split: str, keep: Iterable[str] = (),
+                         context: Mapping[str, Column] | None = None) -> DataFrame:
+    """image_id, class_id, view, local_path of the split's images that have a class and a file.
+
+    ``keep`` adds image columns, ``context`` columns of the listing, by name.
+    """
+    context = context or {}
     chosen = from_sources(listings, sources).select(
         "listing_id",
         class_id(F.col("generation_year"), F.col("canonical_make"), F.col("canonical_model"))
-        .alias("class_id"),
+        .alias("class_id"), *[c.alias(n) for n, c in context.items()],
     ).where("class_id is not null")
     return (
         images.where((F.col("split") == split) & (F.col("local_path") != ""))
         .join(chosen, "listing_id")
-        .select("image_id", "class_id", "view", "local_path", *keep)
+        .select("image_id", "class_id", "view", "local_path", *keep, *context)
     )
 
 

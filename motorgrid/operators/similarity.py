@@ -1,26 +1,32 @@
 """Top-k retrieval of query vectors against prototypes.
 
-Two physical forms with the same result. Prototypes within ``broadcast_rows`` (checked by reading
-at most one row more) are shipped to the tasks once and multiplied per Arrow batch, so queries are
-never shuffled. Larger tables are cut into blocks: every (query block, prototype block) is one
-bounded task, and the block winners are merged per query.
+Prototypes are written once to the shared folder, in class order. Every task keeps its queries where
+they are and streams the prototypes past them in blocks of bounded bytes, with a running top-k and a
+running log-sum-exp per query. Queries are never shuffled, nothing is broadcast, and the result does
+not depend on the block size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BROADCAST_ROWS = 32_768
-BROADCAST_BYTES = 256 * 2**20
-QUERY_BLOCK_ROWS = 20_000
-_PROBE_ROWS = 1_000
+from motorgrid.session import shared_path
+
+# Prototypes multiplied at once, and queries that one pass over the prototypes serves, in bytes of
+# their float64 vectors.
+BLOCK_BYTES = 32 * 2**20
+QUERY_BYTES = 64 * 2**20
+# Blocks of one table are kept between passes while all of them fit.
+CACHE_BYTES = 256 * 2**20
 # Scores held at once per task, as float64.
 _SCORE_CELLS = 4_000_000
 
@@ -52,26 +58,6 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
     return best
 
 
-def _score_block(vectors: np.ndarray, protos: np.ndarray, k: int, scale: float | None):
-    """Best prototype rows, their scores and the log-sum-exp of all scaled scores, per query."""
-    if vectors.shape[0] and vectors.shape[1] != protos.shape[1]:
-        raise ValueError(f"query dimension {vectors.shape[1]} != {protos.shape[1]}")
-    step = max(1, _SCORE_CELLS // max(1, len(protos)))
-    best, kept, lse = [], [], []
-    for start in range(0, vectors.shape[0], step):
-        scores = vectors[start:start + step] @ protos.T
-        chosen = _top(scores, k)
-        best.append(chosen)
-        kept.append(np.take_along_axis(scores, chosen, axis=1))
-        if scale is None:
-            lse.append(np.full(len(scores), np.nan))
-        else:
-            scaled = scores * scale
-            high = scaled.max(axis=1)
-            lse.append(high + np.log(np.exp(scaled - high[:, None]).sum(axis=1)))
-    return np.concatenate(best), np.concatenate(kept), np.concatenate(lse)
-
-
 _RESULT = T.StructType([
     T.StructField("top_classes", T.ArrayType(T.StringType())),
     T.StructField("top_scores", T.ArrayType(T.DoubleType())),
@@ -79,143 +65,182 @@ _RESULT = T.StructType([
 ])
 
 
-def _lists(values: pa.Array, rows: int) -> pa.ListArray:
-    """Flat values of equally long rows → list column."""
-    width = len(values) // rows if rows else 0
-    return pa.ListArray.from_arrays(
-        pa.array(np.arange(rows + 1, dtype=np.int32) * width, pa.int32()), values)
-
-
-def _scored_batches(batch: pa.RecordBatch, keep: list[str], groups: dict, k: int, vector: str,
-                    by: str | None, scale: float | None) -> Iterator[pa.RecordBatch]:
-    """One batch per view: kept columns and the three result columns. Row order is free."""
+@dataclass(frozen=True)
+class StoredPrototypes:
+    """Prototypes in the shared folder: class_id, prototype and, if they are per view, view."""
+
+    path: str
+    by: str | None
+    rows: int
+
+
+def store_prototypes(prototypes: DataFrame, by: str | None = None) -> StoredPrototypes:
+    """Write the table once, sorted by class, for any number of scorings."""
+    spark = prototypes.sparkSession
+    path = shared_path(spark, "prototypes")
+    prototypes.where("class_id is not null and prototype is not null").select(
+        "class_id", F.col("prototype").cast("array<double>").alias("prototype"),
+        *([by] if by else [])).orderBy("class_id").write.parquet(path)
+    return StoredPrototypes(path, by, spark.read.parquet(path).count())
+
+
+@dataclass(frozen=True)
+class _Block:
+    names: np.ndarray
+    matrix: np.ndarray
+    views: dict  # view (None without views) → rows of the block
+
+
+def _read_blocks(stored: StoredPrototypes, block_bytes: int) -> Iterator[_Block]:
+    """The stored table in class order, each block of at most ``block_bytes`` (one row at least)."""
+    store, base = fs.FileSystem.from_uri(stored.path)
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(base))
+                   if f.path.endswith(".parquet"))
+    for name in files:
+        with store.open_input_file(name) as source:
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=1024):
+                matrix = _matrix(batch.column("prototype"))
+                step = max(1, block_bytes // max(8, 8 * matrix.shape[1]))
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
+                    views: dict = {None: np.arange(part.num_rows)}
+                    if stored.by:
+                        codes = part.column(stored.by).dictionary_encode()
+                        index = codes.indices.to_numpy(zero_copy_only=False)
+                        views = {v: np.flatnonzero(index == i)
+                                 for i, v in enumerate(codes.dictionary.to_pylist())}
+                    yield _Block(
+                        np.asarray(part.column("class_id").to_pylist(), dtype=object),
+                        matrix[start:start + step], views)
+
+
+_CACHE: dict[tuple[str, int], list[_Block]] = {}
+
+
+def _blocks(stored: StoredPrototypes, block_bytes: int) -> Iterator[_Block]:
+    key = (stored.path, block_bytes)
+    if key in _CACHE:
+        yield from _CACHE[key]
+        return
+    held: list[_Block] | None = []
+    size = 0
+    for block in _read_blocks(stored, block_bytes):
+        size += block.matrix.nbytes
+        if held is not None:
+            held = [*held, block] if size <= CACHE_BYTES else None
+        yield block
+    if held is not None:
+        _CACHE.clear()
+        _CACHE[key] = held
+
+
+class _Running:
+    """Best k classes, their scores and the log-sum-exp of all scaled scores, per query."""
+
+    def __init__(self, queries: int, k: int, scale: float | None) -> None:
+        self.k, self.scale = k, scale
+        self.scores = np.full((queries, k), -np.inf)
+        self.names = np.full((queries, k), None, dtype=object)
+        self.seen = np.zeros(queries, np.int64)
+        self.high = np.full(queries, -np.inf)
+        self.total = np.zeros(queries)
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, names: np.ndarray) -> None:
+        """Scores (rows, classes) of a block; blocks come in class order, so ties keep the first."""
+        best = _top(scores, self.k)
+        both = np.concatenate((self.scores[rows], np.take_along_axis(scores, best, axis=1)), axis=1)
+        labels = np.concatenate((self.names[rows], names[best]), axis=1)
+        order = np.argsort(-both, axis=1, kind="stable")[:, :self.k]
+        self.scores[rows] = np.take_along_axis(both, order, axis=1)
+        self.names[rows] = np.take_along_axis(labels, order, axis=1)
+        self.seen[rows] += scores.shape[1]
+        if self.scale is not None:
+            scaled = scores * self.scale
+            high = np.maximum(self.high[rows], scaled.max(axis=1))
+            self.total[rows] = self.total[rows] * np.exp(self.high[rows] - high) + np.exp(
+                scaled - high[:, None]).sum(axis=1)
+            self.high[rows] = high
+
+    def columns(self) -> list[pa.Array]:
+        counts = np.minimum(self.seen, self.k)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+        filled = np.arange(self.k)[None, :] < counts[:, None]
+        known = self.seen > 0 if self.scale is not None else np.zeros(len(counts), bool)
+        lse = self.high + np.log(np.where(known, self.total, 1.0))
+        return [
+            pa.ListArray.from_arrays(offsets, pa.array(self.names[filled].tolist(), pa.string())),
+            pa.ListArray.from_arrays(offsets, pa.array(self.scores[filled], pa.float64())),
+            pa.array(np.where(known, lse, 0.0), pa.float64(), mask=~known)]
+
+
+def _score(batch: pa.RecordBatch, stored: StoredPrototypes, k: int, vector: str,
+           scale: float | None, block_bytes: int) -> _Running:
     vectors = _matrix(batch.column(vector))
-    views = batch.column(by).to_pylist() if by else [None] * batch.num_rows
-    kept = batch.select(keep)
-    for view in dict.fromkeys(views):
-        rows = np.array([i for i, v in enumerate(views) if v == view], dtype=np.int64)
-        some = kept if len(rows) == batch.num_rows else kept.take(pa.array(rows))
-        if view in groups:
-            names, matrix = groups[view]
-            best, scores, lse = _score_block(vectors[rows], matrix, k, scale)
-            classes = _lists(pa.array(names, pa.string()).take(pa.array(best.ravel())), len(rows))
-            values = _lists(pa.array(scores.ravel(), pa.float64()), len(rows))
-        else:
-            classes = _lists(pa.array([], pa.string()), len(rows))
-            values = _lists(pa.array([], pa.float64()), len(rows))
-            lse = np.full(len(rows), np.nan)
-        yield pa.RecordBatch.from_arrays(
-            [*some.columns, classes, values, pa.array(lse, pa.float64())],
-            names=[*keep, *_RESULT.names])
-
-
-def _grouped(table: pa.Table, by: str | None) -> dict:
-    """view (or None) → (class names in order, matrix)."""
-    names = np.asarray(table["class_id"].to_pylist(), dtype=object)
-    matrix = _matrix(table["prototype"])
-    keys = table[by].to_pylist() if by else [None] * len(names)
-    out = {}
-    for key in set(keys):
-        rows = np.array([i for i, k in enumerate(keys) if k == key])
-        rows = rows[np.argsort(names[rows].astype(str), kind="stable")]
-        out[key] = (names[rows], matrix[rows])
+    out = _Running(batch.num_rows, k, scale)
+    wanted: dict = {None: np.arange(batch.num_rows)}
+    if stored.by:
+        codes = batch.column(stored.by).dictionary_encode()
+        index = codes.indices.to_numpy(zero_copy_only=False)
+        wanted = {v: np.flatnonzero(index == i) for i, v in enumerate(codes.dictionary.to_pylist())}
+    for block in _blocks(stored, block_bytes):
+        if vectors.shape[1] != block.matrix.shape[1]:
+            raise ValueError(f"query dimension {vectors.shape[1]} != {block.matrix.shape[1]}")
+        for view, classes in block.views.items():
+            rows = wanted.get(view, ())
+            step = max(1, _SCORE_CELLS // max(1, len(classes)))
+            for start in range(0, len(rows), step):
+                some = rows[start:start + step]
+                out.add(some, vectors[some] @ block.matrix[classes].T, block.names[classes])
     return out
 
 
-def _broadcast_scores(queries: DataFrame, protos: pa.Table, k: int, vector: str,
-                      by: str | None, scale: float | None) -> DataFrame:
-    shared = queries.sparkSession.sparkContext.broadcast(_grouped(protos, by))
-    keep = [c for c in queries.columns if c != vector]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from _scored_batches(batch, keep, shared.value, k, vector, by, scale)
-
-    schema = T.StructType([queries.schema[c] for c in keep] + _RESULT.fields)
-    return queries.mapInArrow(score, schema)
+def _joined(batches: Iterator[pa.RecordBatch], vector: str) -> Iterator[pa.RecordBatch]:
+    """Batches of up to QUERY_BYTES of vectors: one pass over the prototypes serves each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += 8 * len(batch.column(vector).flatten())
+        if size >= QUERY_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _blocked_scores(queries: DataFrame, protos: DataFrame, k: int, query_id: str, vector: str,
-                    by: str | None, scale: float | None, block_rows: int) -> DataFrame:
-    """Bounded blocks of both sides; one cogrouped task per pair, then a merge per query."""
-    n_protos, n_queries = protos.count(), queries.count()
-    p_blocks = max(1, math.ceil(n_protos / block_rows))
-    q_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK_ROWS))
-    keep = [c for c in queries.columns if c != vector]
-    left = queries.select(
-        "*", F.pmod(F.xxhash64(query_id), F.lit(q_blocks)).alias("_q"),
-        F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))).alias("_p"))
-    right = protos.select(
-        "class_id", "prototype", *([by] if by else []),
-        F.pmod(F.xxhash64("class_id"), F.lit(p_blocks)).cast("int").alias("_p"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint")))
-        .alias("_q"))
-
-    def score(q: pa.Table, p: pa.Table) -> pa.Table:
-        groups = _grouped(p, by)
-        batches = [
-            out for batch in q.combine_chunks().to_batches()
-            for out in _scored_batches(batch, [query_id], groups, k, vector, by, scale)]
-        return pa.Table.from_batches(batches)
-
-    schema = T.StructType([queries.schema[query_id]] + _RESULT.fields)
-    partial = left.groupBy("_q", "_p").cogroup(right.groupBy("_q", "_p")).applyInArrow(
-        score, schema)
-    # At most p_blocks × k candidates per query.
-    merged = partial.groupBy(query_id).agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list(F.transform(
-            F.arrays_zip("top_scores", "top_classes"),
-            lambda t: F.struct((-t["top_scores"]).alias("neg"), t["top_classes"].alias("cls")),
-        )))), 1, k).alias("_best"),
-        F.max("lse").alias("_high"),
-        F.collect_list("lse").alias("_lses"),
-    )
-    lse = F.col("_high") + F.log(F.aggregate(
-        F.col("_lses"), F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_high"))))
-    flat = merged.select(
-        query_id,
-        F.transform("_best", lambda t: t["cls"]).alias("top_classes"),
-        F.transform("_best", lambda t: -t["neg"]).alias("top_scores"),
-        lse.alias("lse"))
-    empty_s, empty_d = F.array().cast("array<string>"), F.array().cast("array<double>")
-    return queries.select(*keep).join(flat, query_id, "left").select(
-        *keep, F.coalesce("top_classes", empty_s).alias("top_classes"),
-        F.coalesce("top_scores", empty_d).alias("top_scores"), "lse")
-
-
-def score_top_k(queries: DataFrame, prototypes: DataFrame, k: int, query_id: str = "query_id",
+def score_top_k(queries: DataFrame, prototypes: DataFrame | StoredPrototypes, k: int,
                 vector: str = "embedding", by: str | None = None, scale: float | None = None,
-                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Query columns without the vector, plus ``top_classes``, ``top_scores`` and ``lse``.
 
     Scores are dot products in double precision, best first, ties by class id. ``by`` limits a
-    query to prototypes of the same view. ``scale`` fills ``lse``, the log-sum-exp over all
-    classes that a softmax needs. ``query_id`` must be unique. Prototypes are read twice at most
-    before the scoring, so pass a stored table when building them is dear.
+    query to prototypes of the same view; a query without any gets empty lists. ``scale`` fills
+    ``lse``, the log-sum-exp over all its classes that a softmax needs. Give stored prototypes to
+    score more than once; a frame is written first.
     """
+    stored = prototypes if isinstance(prototypes, StoredPrototypes) else store_prototypes(
+        prototypes, by)
+    if stored.by != by:
+        raise ValueError(f"prototypes are stored by {stored.by!r}, not by {by!r}")
     queries = queries.where(F.col(vector).isNotNull())
-    wanted = prototypes.select("class_id", "prototype", *([by] if by else []))
-    head = wanted.limit(min(_PROBE_ROWS, broadcast_rows) + 1).toArrow()
-    if head.num_rows == 0:
-        return queries.drop(vector).select(
-            "*", F.array().cast("array<string>").alias("top_classes"),
-            F.array().cast("array<double>").alias("top_scores"),
-            F.lit(None).cast("double").alias("lse"))
-    # The probe gives the bytes per row, hence how many rows may come to the driver at all.
-    per_row = max(1, head.nbytes // head.num_rows)
-    limit = min(broadcast_rows, BROADCAST_BYTES // per_row)
-    if head.num_rows > _PROBE_ROWS and limit > _PROBE_ROWS:
-        head = wanted.limit(limit + 1).toArrow()
-    if head.num_rows <= limit:
-        return _broadcast_scores(queries, head, k, vector, by, scale)
-    return _blocked_scores(queries, wanted, k, query_id, vector, by, scale, broadcast_rows)
+    keep = [c for c in queries.columns if c != vector]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _joined(batches, vector):
+            found = _score(batch, stored, k, vector, scale, block_bytes)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(keep).columns, *found.columns()], names=[*keep, *_RESULT.names])
+
+    schema = T.StructType([queries.schema[c] for c in keep] + _RESULT.fields)
+    return queries.mapInArrow(score, schema)
 
 
 def top_k_rows(scored: DataFrame, scale: float | None = None,
-               temperature: float | None = None) -> DataFrame:
+               temperature: float | None = None, keep_empty: bool = False) -> DataFrame:
     """One row per prediction: class_id, score, rank (1 = best) and, if asked, confidence.
 
+    A query without predictions has no row, or one of nulls with ``keep_empty``.
     ``scale`` is the softmax over all classes; ``temperature`` the softmax over the kept ones.
     """
     keep = [c for c in scored.columns if c not in ("top_classes", "top_scores", "lse")]
@@ -230,7 +255,8 @@ def top_k_rows(scored: DataFrame, scale: float | None = None,
         confidence = None
     staged = scored if confidence is None else scored.withColumn("_conf", confidence)
     zipped = F.arrays_zip("top_classes", "top_scores", *([] if confidence is None else ["_conf"]))
-    rows = staged.select(*keep, F.posexplode(zipped).alias("_pos", "_p"))
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    rows = staged.select(*keep, explode(zipped).alias("_pos", "_p"))
     return rows.select(
         *keep, F.col("_p.top_classes").alias("class_id"), F.col("_p.top_scores").alias("score"),
         (F.col("_pos") + 1).alias("rank"),

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from motorgrid.session import cut_lineage
 
 MAX_DEPTH = 3
-MAX_URLS = 10_000
 
 
 def _step(position: str) -> Column:
@@ -63,12 +62,13 @@ def _first_visits(arrivals: DataFrame) -> DataFrame:
 
 
 def expand_sitemaps(links: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH,
-                    max_urls: int | None = MAX_URLS) -> DataFrame:
+                    max_urls: int | None = None) -> DataFrame:
     """Page URLs below each root, depth first in document order.
 
     ``links`` is the output of ``sitemap_links``; ``roots`` has one column ``document``. Indexes
     are followed to ``max_depth``; a document counts once per root. Returns root, path (sort key
-    of the walk) and url. ``max_urls`` is the walk's own limit per root; None lifts it.
+    of the walk) and url. ``max_urls`` limits the walk of each root, if given. Indexes below
+    ``max_depth`` are not opened; ``not_followed`` lists them.
 
     The loops run over sitemap documents only; each pass starts from a checkpoint.
     """
@@ -83,3 +83,14 @@ def expand_sitemaps(links: DataFrame, roots: DataFrame, max_depth: int = MAX_DEP
     order = Window.partitionBy("root").orderBy("path")
     return found.withColumn("_rn", F.row_number().over(order)).where(
         F.col("_rn") <= max_urls).drop("_rn")
+
+
+def not_followed(links: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(root, document) that an index at ``max_depth`` names and no visited one does."""
+    arrivals = cut_lineage(_arrivals(links, roots, max_depth))
+    visited = arrivals.select("root", "document").distinct()
+    named = links.where("root = 'sitemapindex'").select(
+        F.col("document").alias("_doc"), F.col("loc").alias("_loc"))
+    return visited.join(named, F.col("document") == F.col("_doc")).select(
+        "root", F.col("_loc").alias("document")).distinct().join(
+        visited, ["root", "document"], "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from motorgrid import constants as K
 from motorgrid import schemas
 from motorgrid.operators import crawlqueue, pages
-from motorgrid.operators.lookups import upsert_new
+from motorgrid.operators.lookups import first_per_key, upsert_new
 from motorgrid.session import cut_lineage
 
 
@@ -36,8 +36,11 @@ def apply_page_results(queue: DataFrame, listings: DataFrame, fetched: DataFrame
     parsed = cut_lineage(pages.parse_listings(readable, current_year))
     rows = parsed.where("listing_id is not null")
     # A URL already held by another listing is no new row either.
-    new_rows = upsert_columns(rows, listings.columns, now).join(
-        listings.select("url"), "url", "left_anti").dropDuplicates(["url"])
+    fresh = upsert_columns(rows, listings.columns, now).join(
+        listings.select("url"), "url", "left_anti")
+    # Of several listings with one final URL the first by its own columns counts, in every retry.
+    new_rows = first_per_key(fresh, ["url"], ["listing_id", *[
+        c for c in listings.columns if c not in ("url", "listing_id")]])
     listings_out = upsert_new(listings, new_rows, "listing_id", ["url"])
     found = pages.discovered_urls(readable).select("url", "source", "kind", *pages.HINTS)
     images = pages.image_items(parsed)

@@ -53,12 +53,13 @@ def label_views(images: DataFrame, vectors: DataFrame, label_vectors: DataFrame,
 
 
 def check_fractions(train_frac: float, val_frac: float, min_group: int) -> None:
-    if not 0.0 < train_frac + val_frac <= 1.0:
-        raise ValueError("train_frac + val_frac must be in (0, 1]")
-    if train_frac < 0 or val_frac < 0:
-        raise ValueError("fractions must not be negative")
-    if min_group <= 0:
-        raise ValueError("min_group must be positive")
+    """Shares of train and val, what is left for test, and the cell size must make sense."""
+    shares = {"train": train_frac, "val": val_frac, "train and val": train_frac + val_frac}
+    wrong = [name for name, share in shares.items() if not 0.0 <= share <= 1.0]
+    if wrong or not shares["train and val"]:
+        raise ValueError(f"shares out of range: {wrong or 'all zero'}")
+    if min_group < 1:
+        raise ValueError(f"cells need one image at least, not {min_group}")
 
 
 def make_splits(images: DataFrame, listings: DataFrame, source: str, seed: int = 42,

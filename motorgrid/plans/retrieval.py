@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from motorgrid import constants as K
 from motorgrid.functions.calc import era_bucket
 from motorgrid.functions.labels import display_name
-from motorgrid.operators import evaluation, filters, lookups, prototypes, summaries
-from motorgrid.operators.similarity import score_top_k, top_k_rows
+from motorgrid.operators import evaluation, filters, prototypes, summaries
+from motorgrid.operators.similarity import StoredPrototypes, score_top_k, store_prototypes, top_k_rows
 from motorgrid.session import cut_lineage
 
 
@@ -24,18 +24,17 @@ def train_prototypes(images: DataFrame, listings: DataFrame, vectors: DataFrame,
 def test_queries(images: DataFrame, listings: DataFrame, vectors: DataFrame, sources,
                  split: str = "test", era_years: int = 10) -> DataFrame:
     """query_id, embedding, true_class, view, era, make of the split's labelled images."""
-    rows = filters.select_labelled_rows(images, listings, sources, split, keep=["listing_id"])
-    context = listings.select(
-        "listing_id", F.trim("canonical_make").alias("make"),
-        era_bucket(F.col("generation_year"), era_years).alias("era"))
-    return rows.join(context, "listing_id").join(vectors, "image_id").select(
+    rows = filters.select_labelled_rows(images, listings, sources, split, context={
+        "make": F.trim("canonical_make"), "era": era_bucket(F.col("generation_year"), era_years)})
+    return rows.join(vectors, "image_id").select(
         F.col("image_id").alias("query_id"), "embedding", F.col("class_id").alias("true_class"),
         "view", "era", "make")
 
 
-def score_queries(queries: DataFrame, protos: DataFrame, ks=K.TOP_KS, **options) -> DataFrame:
+def score_queries(queries: DataFrame, protos: DataFrame | StoredPrototypes, ks=K.TOP_KS, **options) -> DataFrame:
     """Predictions and hits per query; refuses per-view prototypes."""
-    if "view" in protos.columns:
+    per_view = protos.by if isinstance(protos, StoredPrototypes) else "view" in protos.columns
+    if per_view:
         raise ValueError("evaluation needs prototypes without views")
     return evaluation.mark_hits(score_top_k(queries, protos, max(ks), **options), ks=ks)
 
@@ -53,7 +52,7 @@ def evaluate(queries: DataFrame, protos: DataFrame, ks=K.TOP_KS, **options) -> d
 
 
 def evaluate_baseline(queries: DataFrame, protos: DataFrame, train_counts: DataFrame,
-                      per_class_top: int = 20, ks=K.TOP_KS, **options) -> dict[str, DataFrame]:
+                      per_class_top: int, ks=K.TOP_KS, **options) -> dict[str, DataFrame]:
     """Overall accuracy, worst and best classes, most frequent wrong pairs."""
     if per_class_top < 0:
         raise ValueError("per_class_top must not be negative")
@@ -80,11 +79,15 @@ def gate_status(view: Column, score: Column, mode: str, threshold: float) -> Col
 
 def recognize_batch(queries: DataFrame, protos: DataFrame, logit_scale: float, k: int = 5,
                     gate: str | None = None, threshold: float = 0.5, **options) -> DataFrame:
-    """Top-k with softmax over all classes, one row per prediction; rejected queries keep one row.
+    """Top-k with softmax over all classes, one row per prediction.
+
+    Queries without predictions keep one row: ``rejected`` ones, and those whose view has no
+    prototypes, with the status ``no prototypes``.
 
     With a gate the queries carry ``gate_view`` and ``gate_score``; six-way retrieves only within
     the predicted view.
     """
+    protos = cut_lineage(protos)
     prototypes.require_prototypes(protos, gate)
     status = F.lit("ok") if gate is None else gate_status(
         F.col("gate_view"), F.col("gate_score"), gate, threshold)
@@ -95,8 +98,9 @@ def recognize_batch(queries: DataFrame, protos: DataFrame, logit_scale: float, k
         by = "view"
         accepted = accepted.drop("view").withColumn("view", F.col("gate_view"))
     scored = score_top_k(accepted, protos, k, by=by, scale=logit_scale, **options)
-    rows = top_k_rows(scored, scale=logit_scale).withColumn(
-        "display_name", display_name(F.col("class_id")))
+    rows = top_k_rows(scored, scale=logit_scale, keep_empty=True).withColumns({
+        "display_name": display_name(F.col("class_id")),
+        "status": F.when(F.col("class_id").isNull(), "no prototypes").otherwise(F.col("status"))})
     rejected = marked.where("status = 'rejected'").drop("embedding", "view")
     return rows.drop("view").unionByName(rejected, allowMissingColumns=True)
 
@@ -133,6 +137,7 @@ def apply_rerank(predictions: DataFrame, choices: DataFrame, threshold: float) -
 def compare_embeddings(a: DataFrame, b: DataFrame, protos: DataFrame, k: int = 5,
                        **options) -> DataFrame:
     """Parity of two embedding runs of the same ids: (query_id, embedding) each."""
+    protos = store_prototypes(protos)
     pairs = a.select("query_id", F.col("embedding").alias("vec_a")).join(
         b.select("query_id", F.col("embedding").alias("vec_b")), "query_id")
     top_a = score_top_k(
@@ -172,8 +177,3 @@ def gate_manifest(images: DataFrame, split: str, min_score: float,
     counts = summaries.count_by_class(dataset, "class_idx", n_classes)
     return {"rows": dataset, "weights": summaries.inverse_sqrt_weights(counts)}
 
-
-def attach_predictions_context(marked: DataFrame, context: DataFrame) -> DataFrame:
-    return lookups.attach_context(marked, context, "query_id")
-
-

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHARED_DIR = "spark.checkpoint.dir"
+_SHIPPED: set[str] = set()
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -27,7 +33,9 @@ def build_session(app: str = "motorgrid", master: str | None = None, **conf: str
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), str(value))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shuffle_partitions(shuffle_bytes: int, target_bytes: int = 256 * 2**20) -> int:
@@ -39,17 +47,40 @@ def shuffle_partitions(shuffle_bytes: int, target_bytes: int = 256 * 2**20) -> i
     return max(200, -(-shuffle_bytes // target_bytes))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so tasks find it wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    # The driver serves the archive to the executors; the copy here is only its source.
+    archive = Path(tempfile.mkdtemp(prefix=f"{root.name}-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
+def set_shared_dir(spark: SparkSession, path: str) -> None:
+    """Name the shared folder where no cluster setting does."""
+    spark.conf.set(SHARED_DIR, path)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only on a local master without any."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """The folder that driver and executors share, from the session's settings."""
+    configured = spark.conf.get(SHARED_DIR, None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        raise RuntimeError(f"set {SHARED_DIR} to a folder that every executor can reach")
+    return configured
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, as a URI."""
+    folder = shared_dir(spark).rstrip("/")
+    if folder.startswith("/"):
+        folder = f"file://{folder}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -30,15 +30,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages
 
 
-def spread_rows(df: DataFrame, key: str) -> DataFrame:
-    """Hash rows by key over all cores when the input has fewer partitions than that.
-
-    For dear per-row work, such as page parsing, over few files; large inputs stay as they are.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
-
-
 def union_sources(*frames: DataFrame) -> DataFrame:
     """One table out of several sources; columns a source lacks become null."""
     merged = frames[0]

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -7,11 +8,14 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from motorgrid.session import build_session  # noqa: E402
 
+SHARED = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
 
 # Started on import: column expressions at module level need a running session.
 SESSION = build_session(
     "tests", master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
     spark__driver__memory="8g", spark__ui__showConsoleProgress="false",
+    spark__checkpoint__dir=SHARED,
 )
 SESSION.sparkContext.setLogLevel("ERROR")
 

@@ -37,24 +37,48 @@ def test_top_breaks_ties_by_column():
 
 
 @pytest.mark.parametrize("by", [None, "view"])
-def test_blocked_equals_broadcast(spark, by):
+def test_results_do_not_depend_on_blocks(spark, by):
     rng = np.random.default_rng(3)
     protos = spark.createDataFrame(
-        [(f"c{i:03d}", "front" if i % 2 else "rear", rng.normal(size=6).tolist()) for i in range(50)],
+        # One class alone has the view "side"; most blocks lack it.
+        [(f"c{i:03d}", "side" if i == 31 else "front" if i % 2 else "rear", rng.normal(size=6).tolist())
+         for i in range(50)],
         "class_id string, view string, prototype array<double>")
     queries = spark.createDataFrame(
-        [(f"q{i}", ["front", "rear", "none"][i % 3], rng.normal(size=6).tolist()) for i in range(40)],
+        [(f"q{i}", ["front", "rear", "none", "side", None][i % 5], rng.normal(size=6).tolist()) for i in range(40)],
         "query_id string, view string, embedding array<double>")
     table = protos if by else protos.drop("view")
     a = score_top_k(queries, table, 4, by=by, scale=3.0)
-    b = score_top_k(queries, table, 4, by=by, scale=3.0, broadcast_rows=7)
+
+    vectors = {r.query_id: r for r in queries.collect()}
+    expected = {}
+    for q in vectors.values():
+        mine = [(r.class_id, float(np.dot(r.prototype, q.embedding))) for r in protos.collect()
+                if by is None or r.view == q.view]
+        total = sum(np.exp(3.0 * s) for _, s in mine)
+        for n, (c, s) in enumerate(sorted(mine, key=lambda x: (-x[1], x[0]))[:4]):
+            expected[q.query_id, n + 1] = (c, round(s, 9), round(float(np.exp(3.0 * s) / total), 9))
 
     def rows(df):
         return {(r.query_id, r["rank"]): (r.class_id, round(r.score, 9), round(r.confidence, 9))
                 for r in top_k_rows(df, scale=3.0).collect()}
 
-    assert rows(a) == rows(b)
-    assert a.count() == b.count() == 40
+    assert rows(a) == expected
+    for block in (1, 7 * 6 * 8, 10**9):
+        b = score_top_k(queries, table, 4, by=by, scale=3.0, block_bytes=block)
+        assert rows(b) == expected and b.count() == 40
+
+
+def test_no_query_is_lost(spark, protos):
+    rows = [("q1", _basis(0), "front", 0.9), ("q2", _basis(1), "rear", 0.9), ("q3", _basis(2), "non-exterior", 0.9)]
+    queries = spark.createDataFrame(rows, "query_id string, embedding array<float>, gate_view string, gate_score double")
+    views = protos.withColumn("view", F.lit("front"))
+    done = retrieval.recognize_batch(queries, views, 20.0, 2, gate="six-way")
+    got = {}
+    for r in done.collect():
+        got.setdefault((r.query_id, r.status), []).append(r.confidence)
+    assert set(got) == {("q1", "ok"), ("q2", "no prototypes"), ("q3", "rejected")}
+    assert len(got["q1", "ok"]) == 2 and got["q2", "no prototypes"] == [None]
 
 
 def test_no_prototypes(spark, protos):
