@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from motorgrid import constants as K
 from motorgrid.functions.calc import hash_split, round_half_even
 from motorgrid.operators.skew import group_minimum, hash_bucket, running_total
+from motorgrid.session import store
 
 CELL = ("canonical_make", "canonical_model", "generation_year", "view")
 
@@ -24,12 +25,19 @@ def assign_by_listing(rows: DataFrame, seed: int = 42, train_frac: float = 0.8,
     In hash order a listing is train while the images before it are fewer than the train target;
     then val while the images since that point are fewer than the val target; else test.
     """
-    per_listing = (
-        rows.groupBy(*CELL, "listing_id").agg(F.count("*").alias("_n"))
-        .withColumn("_order", shuffle_key(seed, "listing_id"))
+    counts = rows.groupBy(*CELL, "listing_id").agg(F.count("*").alias("_n"))
+    decided = listing_splits(counts, seed, train_frac, val_frac, min_group)
+    return (
+        rows.withColumn("_cell", F.struct(*CELL)).join(decided, ["_cell", "listing_id"])
+        .select("image_id", *CELL, F.col("new_split").alias("split"), "small_cell")
     )
+
+
+def listing_splits(counts: DataFrame, seed: int = 42, train_frac: float = 0.8,
+                   val_frac: float = 0.1, min_group: int = 10) -> DataFrame:
+    """_cell, listing_id, new_split and small_cell from the images ``_n`` per cell and listing."""
     ranked = running_total(
-        per_listing, CELL, ["_order", "listing_id"], hash_bucket(F.col("_order")), F.col("_n"),
+        counts.withColumn("_order", shuffle_key(seed, "listing_id")), CELL, ["_order", "listing_id"], hash_bucket(F.col("_order")), F.col("_n"),
         "_before", "_cell_n")
     train_goal = round_half_even(F.col("_cell_n") * train_frac)
     val_goal = round_half_even(F.col("_cell_n") * val_frac)
@@ -39,13 +47,9 @@ def assign_by_listing(rows: DataFrame, seed: int = 42, train_frac: float = 0.8,
         F.when((F.col("_cell_n") < min_group) | (F.col("_before") < train_goal), "train")
         .when(F.col("_before") - F.col("_val_start") < val_goal, "val").otherwise("test")
     )
-    decided = ranked.select(
+    return ranked.select(
         "_cell", "listing_id", split.alias("new_split"),
         (F.col("_cell_n") < min_group).alias("small_cell"))
-    return (
-        rows.withColumn("_cell", F.struct(*CELL)).join(decided, ["_cell", "listing_id"])
-        .select("image_id", *CELL, F.col("new_split").alias("split"), "small_cell")
-    )
 
 
 def assign_by_image(rows: DataFrame, seed: int = 42, train_frac: float = 0.8,
@@ -78,8 +82,9 @@ def cell_sizes(rows: DataFrame, min_group: int = 10) -> DataFrame:
 
 def split_summary(assigned: DataFrame) -> DataFrame:
     """Long report (metric, view, split, n): totals, view × split with zeros, small cells, p10."""
-    # Every line of the report comes from these counts, so their shuffle is done once.
-    counts = assigned.groupBy(*CELL, "split", "small_cell").agg(F.count("*").alias("n"))
+    # Every line of the report comes from these counts: one pass over the images writes them.
+    counts = store(
+        assigned.groupBy(*CELL, "split", "small_cell").agg(F.count("*").alias("n")), "cells")
 
     def n(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))

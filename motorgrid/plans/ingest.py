@@ -10,6 +10,7 @@ from motorgrid.functions import labels, media, text
 from motorgrid.functions.calc import generation_year
 from motorgrid.operators.lookups import first_per_key, resolve_names, resolve_two_hop
 from motorgrid.operators.summaries import reason_audit
+from motorgrid.session import store
 
 
 def label_underscore(files: DataFrame) -> DataFrame:
@@ -67,9 +68,10 @@ def ingest_labelled_images(files: DataFrame, source: str, known_images: DataFram
     """Labelled files → new listings and images, and the audit of all files.
 
     ``files`` comes from one of the ``label_*`` steps and has content, ext and length. The id is
-    the hash of the bytes: known ids and repeats inside the batch are skipped.
+    the hash of the bytes: known ids and repeats inside the batch are skipped. The bytes are read
+    and hashed once; everything else works on the short rows written then.
     """
-    hashed = files.withColumn("image_id", F.sha2("content", 256)).drop("content")
+    hashed = store(files.withColumn("image_id", F.sha2("content", 256)).drop("content"), "hashed")
     parsed = hashed.where("reason is null")
     fresh_ids = _new_ids(parsed, ["path"], known_images)
     marked = hashed.join(fresh_ids, ["image_id", "path"], "left").withColumn("outcome", F.when(
@@ -115,7 +117,8 @@ def ingest_category_files(files: DataFrame, known_images: DataFrame, now: Column
         .when(F.col("image_id").isNull(), "download failure")
         .when(F.col("_ext").isNull(), "unsupported type")
     )
-    staged = staged.withColumn("_reason", reason)
+    # The bytes are read and hashed once; everything else works on these short rows.
+    staged = store(staged.withColumn("_reason", reason), "hashed")
     fresh_ids = _new_ids(staged.where("_reason is null"), ["title"], known_images)
     marked = staged.join(fresh_ids, ["image_id", "title"], "left").withColumn("outcome", F.when(
         F.col("_reason").isNotNull(), F.col("_reason")).when(F.col("_new").isNull(), "existing"))

@@ -73,19 +73,56 @@ def make_splits(images: DataFrame, listings: DataFrame, source: str, seed: int =
     last listings of a cell may still become test, as the walk checks counts before adding.
     """
     check_fractions(train_frac, val_frac, min_group)
+    options = (seed, train_frac, val_frac, min_group)
+    if coherent:
+        return _listing_splits(images, listings, source, options, rebuild, share)
     every = filters.eligible_for_split(images, listings, source)
-    eligible = every.where("eligible").select(
-        "image_id", "listing_id", *splits.CELL)
-    assign = splits.assign_by_listing if coherent else splits.assign_by_image
-    assigned = assign(eligible, seed, train_frac, val_frac, min_group)
+    eligible = every.where("eligible").select("image_id", "listing_id", *splits.CELL)
+    assigned = splits.assign_by_image(eligible, *options)
     if share:
         assigned = cut_lineage(assigned)
-    excluded = every.agg(F.count_if(~F.col("eligible")).alias("n")).select(
-        F.lit("excluded").alias("metric"), F.lit(None).cast("string").alias("view"),
-        F.lit(None).cast("string").alias("split"), "n")
+    excluded = _excluded(every.agg(F.count_if(~F.col("eligible")).alias("n")))
     return {
         "assigned": assigned,
         "report": splits.split_summary(assigned).unionByName(excluded),
         "images": keep_existing(
             images, assigned.select("image_id", "split"), "image_id", "split", rebuild),
     }
+
+
+def _excluded(count: DataFrame) -> DataFrame:
+    return count.select(
+        F.lit("excluded").alias("metric"), F.lit(None).cast("string").alias("view"),
+        F.lit(None).cast("string").alias("split"), "n")
+
+
+def _listing_splits(images: DataFrame, listings: DataFrame, source: str, options: tuple,
+                    rebuild: bool, share: bool) -> dict[str, DataFrame]:
+    """Coherent splits: images are counted per listing and view, listings are decided at that grain,
+    and images meet the decisions of their listing in one join."""
+    counted = images.groupBy("listing_id", "view").agg(F.count("*").alias("_n"))
+    every = filters.eligible_for_split(counted, listings, source)
+    decided = splits.listing_splits(
+        every.where("eligible").select("listing_id", *splits.CELL, "_n"), *options)
+    # At most one decision per view of a listing.
+    by_listing = decided.groupBy("listing_id").agg(
+        F.first("_cell").alias("_cell"),
+        F.map_from_entries(F.collect_list(F.struct(
+            "_cell.view", F.struct("new_split", "small_cell")))).alias("_by_view"))
+    if share:
+        by_listing = cut_lineage(by_listing)
+    met = images.join(by_listing, "listing_id", "left").withColumn(
+        "_found", F.when(F.col("view").isNotNull(), F.try_element_at("_by_view", F.col("view"))))
+    assigned = met.where("_found is not null").select(
+        "image_id", *[F.col(f"_cell.{c}").alias(c) for c in splits.CELL if c != "view"], "view",
+        F.col("_found.new_split").alias("split"), F.col("_found.small_cell").alias("small_cell"))
+    new = F.col("_found.new_split")
+    order = (new, F.col("split")) if rebuild else (F.col("split"), new)
+    excluded = _excluded(every.agg(
+        F.coalesce(F.sum(F.when(~F.col("eligible"), F.col("_n"))), F.lit(0)).alias("n")))
+    return {
+        "assigned": assigned,
+        "report": splits.split_summary(assigned).unionByName(excluded),
+        "images": met.select(*[
+            F.coalesce(*order).alias(c) if c == "split" else F.col(c) for c in images.columns]),
+    }

@@ -83,6 +83,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: computed once, its size known, no lineage."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so lost executors do not replay the loop."""
     sc = df.sparkSession.sparkContext
