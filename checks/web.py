@@ -547,9 +547,12 @@ def _(spark, sf):
 
 
 @query("page_text_hash", r"""
-    SELECT page_id, sha256(array_to_string(list_filter(list_transform(string_split_regex(html, '<[^>]*>'),
-      lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'),
-      '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '^\s+|\s+$', '', 'g')),
+    SELECT page_id, sha256(array_to_string(list_filter(list_transform(string_split_regex(
+      regexp_replace(regexp_replace(html, '<!--.*?-->', '<>', 'gs'),
+        '<(script|style)\b.*?</(script|style)>', '<>', 'gs'), '<[^>]*>'),
+      lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'),
+      '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+        '^\s+|\s+$', '', 'g')),
       lambda p: p <> ''), ' ')) AS digest FROM pages""")
 def _(spark, sf):
     return table(spark, sf, "pages").select(

@@ -2,15 +2,53 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from motorgrid.functions import text
 
+# Comments, script and style elements, and tags, whose quoted values may hold ">".
+MARKUP = (r"""(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>"""
+          r"""|<(?:[^>"']|"[^"]*"|'[^']*')*>|<[^>]*>""")
 ANCHOR = r"(?is)<a\s([^>]*)>(.*?)</a\s*>"
 
 
+# Named references of HTML 4 from the standard library; a no-break space counts as a space here.
+_NAMED = json.dumps({
+    **{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "})
+_REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
+
+
+def _character(name: Column) -> Column:
+    """Character of a reference (without & and ;), null if there is none."""
+    code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(
+        F.substr(name, F.lit(2))).cast("int")
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    numbered = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    named = F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), name)
+    return F.when(name.startswith("#"), numbered).otherwise(named)
+
+
 def unescape(col: Column) -> Column:
+    """Decode character references once, named and numbered; unknown ones stay as they are."""
+    def piece(rest: Column) -> Column:
+        return text.let(F.regexp_extract(rest, _REFERENCE, 1), lambda name: F.coalesce(
+            F.concat(_character(name), F.substr(rest, F.length(name) + 2)),
+            F.concat(F.lit("&"), rest)))
+
+    def decoded(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(
+            F.slice(parts, F.lit(2), F.size(parts)), piece), ""))
+
+    return text.let(col, lambda c: F.when(
+        c.contains("&"), text.let(F.split(c, "&"), decoded)).otherwise(c))
+
+
+def unescape_url(col: Column) -> Column:
+    """The references that stand in links and class names; a short expression for short values."""
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
                        ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         col = F.replace(col, F.lit(name), F.lit(char))
@@ -24,7 +62,7 @@ def attribute(tag: Column, name: str) -> Column:
     def unquoted(raw: Column) -> Column:
         bare = F.when(raw.startswith('"'), F.btrim(raw, F.lit('"'))).otherwise(
             F.btrim(raw, F.lit("'")))
-        return text.non_blank(F.when(raw.contains("&"), unescape(bare)).otherwise(bare))
+        return text.non_blank(F.when(raw.contains("&"), unescape_url(bare)).otherwise(bare))
 
     return text.let(F.regexp_extract(tag, pattern, 1), unquoted)
 
@@ -35,7 +73,7 @@ def has_class(tag: Column, name: str) -> Column:
 
 def inner_text(html: Column, sep: str = " ") -> Column:
     """Text without tags: pieces stripped, empty ones dropped, joined by ``sep``."""
-    pieces = F.transform(F.split(html, r"(?s)<[^>]*>"), lambda p: text.strip(unescape(p)))
+    pieces = F.transform(F.split(html, MARKUP), lambda p: text.strip(unescape(p)))
     return F.array_join(F.filter(pieces, lambda p: p != ""), sep)
 
 

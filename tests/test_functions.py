@@ -205,3 +205,15 @@ def test_media_and_vectors(evaluate):
     assert evaluate(vectors.l2_normalize(V), [[3.0, 4.0], [0.0, 0.0]], "v array<double>") == [
         [0.6, 0.8], [0.0, 0.0]]
     assert abs(evaluate(vectors.cosine(V, V), [[1.0, 2.0]], "v array<float>")[0] - 1) < 1e-9
+
+
+def test_character_references_and_markup(evaluate):
+    from motorgrid.functions import html
+
+    v = F.col("v")
+    assert evaluate(html.unescape(v), [
+        "caf&eacute; &#8217;x &amp;lt;", "&bogus; & &#x1F600; &#xD800; a&b;", "&&amp;&", "&#0;", None, ""]) == [
+        "café ’x &lt;", "&bogus; & 😀 &#xD800; a&b;", "&&&", "&#0;", None, ""]
+    assert evaluate(html.inner_text(v), [
+        "<p title='a>b'>x<!-- <b>no --><script>var a='</p>'</script> y&copy;</p>"]) == [
+        "x y©"]
