@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from checks.base import (
-    big, canonical, images, listings, now, over, pick, query, r6, sql_list,
+    big, canonical, images, listings, now, over, pick, query, queue, r6, sql_list,
     stamp, table,
 )
 from checks.scalars import _CLASS_FORMS, _SPACED_FORMS, _form
@@ -17,15 +15,16 @@ from checks.web import _catalog_rows
 from motorgrid import constants as K
 from motorgrid.operators import catalog, crawlqueue, live
 from motorgrid.plans import ingest, labelling, retrieval
-from motorgrid.session import shared_dir
+from motorgrid.session import shared_path
 from motorgrid.sources import catalog as catalog_source
 from motorgrid.sources import tables
-from motorgrid.sources.images import labelled_files
+from motorgrid.sources.images import labelled_files, scan_image_tree, write_files
+from motorgrid.sources.sitemaps import scan_sitemap_xml
 from motorgrid.streaming import jobs as streams
 
 
 def _scratch(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 # ---- smoothing and detections -------------------------------------------------
@@ -427,6 +426,54 @@ def _(spark, sf):
         F.count("*").alias("n"), F.count("view").alias("labelled"))
 
 
+@query("tables_round_trip", over("v_listings v_queue", """
+    SELECT 'listings' AS name, source AS key, count(*) AS n FROM v_listings GROUP BY source
+    UNION ALL SELECT 'crawl_queue', status, count(*) FROM v_queue GROUP BY status"""))
+def _(spark, sf):
+    folder = _scratch(spark, "tables")
+    for name, rows in (("listings", listings(spark, sf)), ("crawl_queue", queue(spark, sf))):
+        tables.write_table(rows, f"{folder}/{name}")
+    read = {n: tables.read_table(spark, folder, n) for n in ("listings", "crawl_queue")}
+    return read["listings"].groupBy(F.lit("listings").alias("name"), F.col("source").alias("key")).agg(
+        F.count("*").alias("n")).unionByName(
+        read["crawl_queue"].groupBy(F.lit("crawl_queue").alias("name"), F.col("status").alias("key")).agg(
+            F.count("*").alias("n")))
+
+
+# Texts as image files: one folder per source, some entries hidden or of another kind.
+@query("scan_image_tree", """
+    SELECT source AS class_dir, '.jpg' AS ext, count(*) AS n, sum(strlen(text))::BIGINT AS length,
+      count(DISTINCT sha256(text)) AS contents FROM documents WHERE doc_id % 4 < 2 GROUP BY source""")
+def _(spark, sf):
+    k = F.col("doc_id") % 4
+    name = F.concat(F.when(k == 3, ".").otherwise(""), F.col("doc_id"),
+                    F.when(k == 2, ".txt").otherwise(F.when(k == 1, ".JPG").otherwise(".jpg")))
+    folder = _scratch(spark, "tree")
+    write_files(table(spark, sf, "documents").select(
+        F.concat_ws("/", F.lit("set"), "source", name).alias("path"),
+        F.col("text").cast("binary").alias("content")), folder)
+    return scan_image_tree(spark, folder).groupBy("class_dir", "ext").agg(
+        F.count("*").alias("n"), F.sum("length").alias("length"),
+        F.count_distinct(F.sha2("content", 256)).alias("contents"))
+
+
+# One sitemap file per supplier; every third is cut off and gives nothing.
+@query("scan_sitemap_xml", """
+    SELECT 's' || s_suppkey || '.xml' AS document, 'urlset' AS root, i AS position,
+      'http://p/' || s_suppkey || '?a=1&b=' || i AS loc
+    FROM supplier, range(3) t(i) WHERE s_suppkey % 3 <> 2""")
+def _(spark, sf):
+    key = F.col("s_suppkey").cast("string")
+    urls = [F.concat(F.lit("<url><loc>http://p/"), key, F.lit(f"?a=1&amp;b={i}</loc></url>")) for i in range(3)]
+    body = F.concat(F.lit('<?xml version="1.0"?><urlset>'), *urls,
+                    F.when(F.col("s_suppkey") % 3 == 2, "").otherwise("</urlset>"))
+    folder = _scratch(spark, "sitemaps")
+    write_files(table(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), key, F.lit(".xml")).alias("path"), body.cast("binary").alias("content")), folder)
+    return scan_sitemap_xml(spark, folder).select(
+        F.regexp_extract("document", "([^/]+)$", 1).alias("document"), "root", big("position"), "loc")
+
+
 @query("read_pages", "SELECT page_id, url, length(html) AS n, 'none' AS source FROM pages")
 def _(spark, sf):
     return tables.read_pages(spark, f"{sf}/pages.parquet").select(

@@ -136,12 +136,12 @@ def fold_events(queue: DataFrame, events: DataFrame) -> DataFrame:
     A URL starts to exist at its first enqueue, earlier events do not count, later enqueues do
     nothing. Instead of replaying a URL's events in one task, the state is taken from the last
     event of each sort and the number of failures after the last requeue; that number is the
-    difference of two running counts, which are built in hourly buckets.
+    difference of two running counts, which are built in buckets of a minute.
     """
     known = queue.select("url", F.lit(True).alias("_known"))
     counted = running_total(
         events.select("url", "source", "kind", "action", "error", "ts", "seq"), ["url"],
-        ["ts", "seq"], F.date_trunc("hour", "ts"), (F.col("action") == "failed").cast("int"),
+        ["ts", "seq"], F.date_trunc("minute", "ts"), (F.col("action") == "failed").cast("int"),
         "_fails_before").drop("_cell", "_bucket")
     at = F.struct("ts", "seq")
 

@@ -42,8 +42,8 @@ def smooth_predictions(rows: DataFrame, window: int = K.SMOOTHING_WINDOW,
     Needs slot, ts, seq, label, class_id and confidence. A busy slot is cut into blocks of
     consecutive rows; the last rows of a block are repeated in front of the next one.
     """
-    hour = F.date_trunc("hour", "ts") if bucket is None else bucket
-    placed = running_total(rows, ["slot"], ["ts", "seq"], hour, F.lit(1), "_pos").drop(
+    minute = F.date_trunc("minute", "ts") if bucket is None else bucket
+    placed = running_total(rows, ["slot"], ["ts", "seq"], minute, F.lit(1), "_pos").drop(
         "_cell", "_bucket")
     own = F.floor(F.col("_pos") / block_rows)
     at_end = F.pmod("_pos", F.lit(block_rows)) >= block_rows - (window - 1)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +41,26 @@ def labelled_files(files: DataFrame, root: str = "") -> DataFrame:
         .where((F.col("class_dir") != "") & F.col("ext").isin(*K.TREE_EXTENSIONS))
         .drop("_bare")
     )
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write ``content`` (bytes) to ``path`` below ``root``, a URI that all executors reach.
+
+    A file's bytes depend on its row alone and a repeated task writes the same file again. Returns
+    the number of files.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        made: set[str] = set()
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                folder = f"{base}/{path}".rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder)
+                    made.add(folder)
+                with store.open_output_stream(f"{base}/{path}", compression=None) as out:
+                    out.write(content.as_py())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    done = files.select("path", "content").mapInArrow(write, "n long")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
