@@ -231,7 +231,8 @@ def listing_pages(spark, sf):
             "</b></span><span>odometer: <b>"), miles, F.lit(
             '</b></span><span>type: <b>sedan</b></span></p><section id="postingbody">Nice</section>'
             '<a class="thumb" href="https://img/a'), key.cast("string"), F.lit(
-            '.jpg"></a><div class="gallery"><img src="https://img/b.jpg"><img src="https://img/b.jpg"></div>'))
+            '.jpg"></a><div class="gallery"><div class="slide"><div><img src="https://img/b.jpg"></div></div>'
+            '<img src="https://img/b.jpg"></div><img src="https://img/not-in-it.jpg">'))
     body = (
         F.when(source == "cars_com", F.when(F.col("p_size") % 2 == 0, _script(graph)).otherwise(
             F.concat(_script(state, f'type="application/json" id="{K.STATE_SCRIPT_ID}"'), gallery)))

@@ -98,3 +98,15 @@ def element_by_id(html: Column, names: str, ident: str) -> Column:
     """Inside of the first element of these names with the id."""
     return first_match(
         html, rf"""(?is)<({names})\s[^>]*?id\s*=\s*["']?{ident}["'\s>][^>]*>?(.*?)</\1\s*>""", 2)
+
+
+def inside(name: str, depth: int = 8) -> str:
+    """Pattern for the inside of an element with up to ``depth`` levels of the same name in it.
+
+    Possessive throughout, so long pages neither backtrack nor nest calls.
+    """
+    held = ""
+    for _ in range(depth):
+        held = rf"(?:[^<]++|<(?!/?{name}\b)" + (
+            rf"|<{name}\b[^>]*+>{held}</{name}\s*+>" if held else "") + ")*+"
+    return held

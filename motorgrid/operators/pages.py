@@ -147,9 +147,10 @@ def classified_fields(url: Column, html: Column, current_year: int) -> Column:
     thumbs = F.transform(
         F.filter(H.tags(html, "a"), lambda t: H.has_class(t, "thumb")),
         lambda t: H.attribute(t, "href"))
+    # The whole container, nested ones included; an unclosed one ends at the first close tag.
     boxes = F.regexp_extract_all(
-        html, F.lit(r"""(?is)<div\s[^>]*class\s*=\s*["'][^"']*\b(?:gallery|swipe)\b[^>]*>(.*?)</div>"""),
-        F.lit(1))
+        html, F.lit(r"""(?is)<div\s[^>]*class\s*=\s*["'][^"']*\b(?:gallery|swipe)\b[^>]*>("""
+                    + H.inside("div") + r"(?=</div)|.*?)</div\s*>"), F.lit(1))
     shown = F.flatten(F.transform(boxes, lambda b: F.transform(
         H.tags(b, "img"), lambda t: H.attribute(t, "src"))))
     images = F.filter(
