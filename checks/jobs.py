@@ -502,7 +502,7 @@ def _(spark, sf):
     path = _scratch(spark, "catalog")
     doc = catalog.build_catalog(_catalog_rows(spark, sf), "parts", "2026-01-01", (1990, 2030))
     catalog_source.write_catalog(doc, path)
-    return catalog_source.read_catalog(spark, path).select("make_name", "model_name", big("year"))
+    return catalog_source.read_catalog(spark, path, lines=True).select("make_name", "model_name", big("year"))
 
 
 @query("model_responses", """

@@ -418,10 +418,9 @@ def _(spark, sf):
       string_agg(DISTINCT make, ',' ORDER BY make) AS makes FROM {_MODELS}"""))
 def _(spark, sf):
     doc = catalog.build_catalog(_catalog_rows(spark, sf), "parts", "2026-01-01", (1990, 2030))
-    return doc.select(
-        *[F.col(f"meta.{c}").cast("bigint").alias(c)
-          for c in ("total_makes", "total_models", "total_class_entries")],
-        F.array_join(F.transform("makes", lambda m: m["make_name"]), ",").alias("makes"))
+    totals = ("total_makes", "total_models", "total_class_entries")
+    return doc.groupBy(*[F.col(f"meta.{c}").cast("bigint").alias(c) for c in totals]).agg(
+        F.array_join(F.array_sort(F.collect_list(F.col("makes")[0]["make_name"])), ",").alias("makes"))
 
 
 @query("catalog_totals", over("v_canonical", f"""

@@ -39,25 +39,21 @@ def catalog_totals(models: DataFrame) -> DataFrame:
 
 def build_catalog(rows: DataFrame, source: str, generated_at: str,
                   year_range: tuple[int, int]) -> DataFrame:
-    """The nested catalog document in one row: the world's makes and models, not the data."""
-    inside = rows.where(F.col("year").between(*year_range))
-    makes = nest_models(model_years(inside)).agg(F.array_sort(F.collect_list(
-        F.struct("make_name", "make_id", "models"))).alias("_makes"))
-    return makes.select(
-        F.struct(
-            F.lit(generated_at).alias("generated_at"), F.lit(source).alias("source"),
-            F.array(*[F.lit(y) for y in year_range]).alias("year_range"),
-            F.size("_makes").alias("total_makes"),
-            F.aggregate("_makes", F.lit(0), lambda acc, m: acc + F.size(m["models"]))
-            .alias("total_models"),
-            F.aggregate("_makes", F.lit(0), lambda acc, m: acc + F.aggregate(
-                m["models"], F.lit(0), lambda a, x: a + F.size(x["years"])))
-            .alias("total_class_entries"),
-        ).alias("meta"),
-        F.transform("_makes", lambda m: F.struct(
-            m["make_id"].alias("make_id"), m["make_name"].alias("make_name"),
-            m["models"].alias("models"))).alias("makes"),
-    )
+    """The nested catalog, one row per make by name: ``meta`` with the totals of all, ``makes`` with
+    the one make. Makes stay on their own rows at every step."""
+    models = model_years(rows.where(F.col("year").between(*year_range)))
+    totals = catalog_totals(models)
+
+    def total(name: str) -> Column:
+        return totals.select(F.col(name).cast("int")).scalar().alias(name)
+
+    meta = F.struct(
+        F.lit(generated_at).alias("generated_at"), F.lit(source).alias("source"),
+        F.array(*[F.lit(y) for y in year_range]).alias("year_range"),
+        total("total_makes"), total("total_models"), total("total_class_entries"))
+    return nest_models(models).orderBy("make_name", "make_id").select(
+        meta.alias("meta"),
+        F.array(F.struct("make_id", "make_name", "models")).alias("makes"))
 
 
 def rank_models(models: DataFrame, current_year: int, top_n: int | None = None,

@@ -9,9 +9,12 @@ from motorgrid import schemas
 from motorgrid.functions.text import catalog_title
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Catalog file → one row per (make_id, make_name, model_id, model_name, year)."""
-    catalog = spark.read.schema(schemas.CATALOG).json(path, multiLine=True)
+def read_catalog(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Catalog → one row per (make_id, make_name, model_id, model_name, year).
+
+    One document per file, or with ``lines`` one per line as ``write_catalog`` writes them.
+    """
+    catalog = spark.read.schema(schemas.CATALOG).json(path, multiLine=not lines)
     return flatten_catalog(catalog)
 
 
@@ -83,5 +86,5 @@ def first_models(payloads: DataFrame) -> DataFrame:
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:
-    """The nested catalog is one row, so it is one file."""
-    catalog.coalesce(1).write.mode("overwrite").json(path)
+    """JSON lines, a make each."""
+    catalog.write.mode("overwrite").json(path)

@@ -249,10 +249,11 @@ def test_catalog_files(spark, tmp_path):
          (2, "Bmw", 21, "Z4", 1900)], "make_id bigint, make_name string, model_id bigint, model_name string, year int")
     doc = catalog.build_catalog(rows, "test", "2026-01-01", (1950, 2020))
     meta = doc.first().meta
+    assert doc.select("meta").distinct().count() == 1
     assert (meta.total_makes, meta.total_models, meta.total_class_entries) == (2, 3, 4)
-    assert [m.make_name for m in doc.first().makes] == ["Bmw", "Kia"]
+    assert [r.makes[0].make_name for r in doc.collect()] == ["Bmw", "Kia"]
     catalog_source.write_catalog(doc, str(tmp_path / "catalog"))
-    back = catalog_source.read_catalog(spark, str(tmp_path / "catalog")).collect()
+    back = catalog_source.read_catalog(spark, str(tmp_path / "catalog"), lines=True).collect()
     assert sorted((r.model_name, r.year) for r in back) == [("Ceed", 2010), ("M3", 1970), ("Rio", 2000), ("Rio", 2001)]
     folder = tmp_path / "models" / "7"
     folder.mkdir(parents=True)
