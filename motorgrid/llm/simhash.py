@@ -8,7 +8,6 @@ all pairs; contraction then gives the components over all shards.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,9 +25,11 @@ WORDS = 4
 REACH = 4
 # Fingerprints that the top tree is fitted on; it decides only how evenly the shards are filled.
 SAMPLE = 65_536
-SHARD_ROWS = 4096
+# Levels of the top tree, the same at every size: each level sends boundary fingerprints both ways, so
+# a deeper tree would make more visits per fingerprint.
+LEVELS = 6
 # Visits to one task; a fuller shard is cut into slices and every two slices meet in a task.
-TASK_ROWS = 400_000
+TASK_ROWS = 2_000_000
 ROUTED_ROWS = 1 << 16
 _HASHES = 1 << 16
 
@@ -102,17 +103,14 @@ def _linker(reach: int) -> Callable:
 
 
 def links(prints: DataFrame, reach: int = REACH, sample: int = SAMPLE,
-          shard_rows: int = SHARD_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+          depth: int = LEVELS, task_rows: int = TASK_ROWS) -> DataFrame:
     """Links (src, dst) that join all ``prints`` (fp, node; fp distinct) within ``reach`` bits.
 
     The links connect just the fingerprints that a chain of pairs within ``reach`` connects; pairs
     that add nothing to that are left out.
     """
-    total = prints.count()
-    depth = max(0, math.ceil(math.log2(max(1, total / shard_rows))))
-    depth = min(depth, int(math.log2(sample / 64)))
-    chosen = prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample) if depth else None
-    picked = [r[0] for r in chosen.collect()] if depth else []
+    chosen = prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample)
+    picked = [r[0] for r in chosen.collect()]
     splits = build_tree(np.array(picked, np.int64).view(np.uint64), depth)
     visits = settle(prints.select("fp", "node").mapInArrow(
         _router(splits, depth, reach), "fp long, node long, leaf int, guest boolean"), "visits")
