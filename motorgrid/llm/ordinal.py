@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 # Rated documents that the model is fitted on at most, chosen by a hash of the doc_id.
 FIT_ROWS = 12_000
+HASHES = 1 << 30
 BITS = 18
 # Features of fewer documents of the sample carry no weight.
 LEAST_DOCS = 6
@@ -135,7 +136,10 @@ def fit_on(docs: DataFrame, ratings: DataFrame, rows: int = FIT_ROWS, count: int
     """
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(
         F.min("grade").cast("int").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # Thinned by a hash first, so that no task sends more than its share of the sample.
+    share = min(1.0, 1.2 * rows / max(1, rated.count()))
+    thin = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < int(HASHES * share))
+    chosen = thin.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
