@@ -321,7 +321,8 @@ _CATEGORY = """(SELECT *, CASE WHEN k = 0 OR y > 1999 THEN 'no label' WHEN k = 1
       1980 + floor((y - 1980) / 4.0)::BIGINT * 4 AS generation_year FROM {_CATEGORY} WHERE reason IS NULL
       AND NOT ({_KNOWN}) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY doc_id) = 1""")
 def _(spark, sf):
-    done = ingest.ingest_category_files(_category_files(spark, sf), _known(spark, sf), now())["listings"]
+    done = ingest.ingest_category_files(
+        _category_files(spark, sf), _known(spark, sf), now(), 1900, 1999)["listings"]
     return done.select("listing_id", "url", "make", "model", "canonical_model", big("year"), big("generation_year"))
 
 
@@ -330,7 +331,8 @@ def _(spark, sf):
       image_id, reason IS NULL ORDER BY doc_id) > 1 THEN 'existing' ELSE 'inserted' END) AS outcome FROM {_CATEGORY})
     GROUP BY 1""")
 def _(spark, sf):
-    return ingest.ingest_category_files(_category_files(spark, sf), _known(spark, sf), now())["audit"]
+    return ingest.ingest_category_files(
+        _category_files(spark, sf), _known(spark, sf), now(), 1900, 1999)["audit"]
 
 
 @query("content_clusters", """

@@ -193,7 +193,7 @@ def _shown(col):
       {_shown('pred_class')} AS pred_name
     FROM {_PAIRS} ORDER BY n DESC, true_class, pred_class LIMIT 50"""))
 def _(spark, sf):
-    return evaluation.confusions(marked(spark, sf)).withColumn("rate", r6("rate"))
+    return evaluation.confusions(marked(spark, sf), K.CONFUSION_LIMIT).withColumn("rate", r6("rate"))
 
 
 @query("make_confusions", over("v_marked", """
@@ -204,7 +204,7 @@ def _(spark, sf):
         sum(n) OVER (PARTITION BY make) AS wrong FROM p)
     WHERE rank <= 3 AND make IN (SELECT make FROM v_marked GROUP BY make HAVING count(*) >= 2)"""))
 def _(spark, sf):
-    done = evaluation.make_confusions(marked(spark, sf), min_rows=2)
+    done = evaluation.make_confusions(marked(spark, sf), 2, K.PER_MAKE_LIMIT)
     return done.withColumn("rate", r6("rate")).withColumn("rank", big("rank"))
 
 

@@ -82,7 +82,7 @@ def _wrong_rows() -> Column:
     return F.when(F.col("pred_class") != F.col("true_class"), F.col("_rows"))
 
 
-def confusions(marked: DataFrame, limit: int = K.CONFUSION_LIMIT) -> DataFrame:
+def confusions(marked: DataFrame, limit: int) -> DataFrame:
     """Most frequent wrong pairs and their share of all top-1 misses."""
     counts = _class_pairs(marked)
     # The first prediction misses unless it is the true class.
@@ -94,8 +94,7 @@ def confusions(marked: DataFrame, limit: int = K.CONFUSION_LIMIT) -> DataFrame:
         "pred_name", display_name(F.col("pred_class")))
 
 
-def make_confusions(marked: DataFrame, min_rows: int = K.PER_MAKE_MIN_ROWS,
-                    limit: int = K.PER_MAKE_LIMIT) -> DataFrame:
+def make_confusions(marked: DataFrame, min_rows: int, limit: int) -> DataFrame:
     """Top wrong pairs of every make with enough test rows; share of the make's wrong pairs."""
     counts = _class_pairs(marked, "make")
     totals = counts.groupBy("make").agg(

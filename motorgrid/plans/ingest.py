@@ -91,7 +91,7 @@ def ingest_labelled_images(files: DataFrame, source: str, known_images: DataFram
 
 
 def ingest_category_files(files: DataFrame, known_images: DataFrame, now: Column,
-                          year_min: int = 1900, year_max: int = 1999, split: str = "train",
+                          year_min: int, year_max: int, split: str = "train",
                           max_per_category: int | None = None,
                           root: str = "images") -> dict[str, DataFrame]:
     """File metadata (title, categories, url, mime, content) → canonical listings and images.

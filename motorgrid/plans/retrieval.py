@@ -40,14 +40,15 @@ def score_queries(queries: DataFrame, protos: DataFrame | StoredPrototypes, ks=K
 
 
 def evaluate(queries: DataFrame, protos: DataFrame, ks=K.TOP_KS, **options) -> dict[str, DataFrame]:
-    """Overall, per make / view / era, confusions and per-make confusions."""
+    """Overall, per make / view / era, and the top lists of confusions, overall and per make."""
     # All reports read the predictions: score once, without the vectors.
     marked = cut_lineage(score_queries(queries, protos, ks, **options))
     return {
         "predictions": marked, "overall": evaluation.overall(marked, ks),
         "breakdown": evaluation.breakdown(marked, ks),
-        "confusions": evaluation.confusions(marked),
-        "make_confusions": evaluation.make_confusions(marked),
+        "confusions": evaluation.confusions(marked, K.CONFUSION_LIMIT),
+        "make_confusions": evaluation.make_confusions(
+            marked, K.PER_MAKE_MIN_ROWS, K.PER_MAKE_LIMIT),
     }
 
 

@@ -110,10 +110,10 @@ def test_overall_and_breakdown(marked):
 
 
 def test_confusions(marked):
-    pairs = evaluation.confusions(marked).collect()
+    pairs = evaluation.confusions(marked, 50).collect()
     assert (pairs[0].true_class, pairs[0].pred_class, pairs[0].n, pairs[0].rate) == (
         CLASSES[1], CLASSES[2], 3, 0.75)
-    per_make = evaluation.make_confusions(marked, min_rows=3).collect()
+    per_make = evaluation.make_confusions(marked, 3, 3).collect()
     assert [(r.make, r.n, r.rate) for r in per_make] == [("Make1", 3, 1.0)]
 
 
