@@ -174,13 +174,13 @@ def _scorer(model: Model, wanted: int, tail: float) -> Callable:
                 [batch.column("doc_id"), pa.array(scores, pa.float64()),
                  pa.array(expected, pa.float64()), pa.array(likely, pa.float64()),
                  pa.array([p >= tail for p in likely], pa.bool_())],
-                names=["doc_id", "score", "expected_grade", "tail_probability", "selected"])
+                names=["doc_id", "score", "expected_grade", "tail_probability", "kept"])
 
     return run
 
 
 def rate(docs: DataFrame, model: Model, wanted: int = WANTED, tail: float = TAIL) -> DataFrame:
-    """score, expected_grade, tail_probability P(grade >= wanted) and selected per row of ``docs``.
+    """score, expected_grade, tail_probability P(grade >= wanted) and kept per row of ``docs``.
 
     Null and empty texts have style features only. Rows are rated on their own: repeated rows get
     equal results, an empty table none; other columns are not looked at.
@@ -188,4 +188,4 @@ def rate(docs: DataFrame, model: Model, wanted: int = WANTED, tail: float = TAIL
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(
         _scorer(model, wanted, tail), f"doc_id {kind}, score double, expected_grade double, "
-        "tail_probability double, selected boolean")
+        "tail_probability double, kept boolean")

@@ -211,5 +211,5 @@ def test_held_out_accuracy(spark):
     graded = labels.select("doc_id", ordinal.grade(labels.quality, labels.toxic).alias("grade"))
     model = ordinal.fit_on(docs, graded.where("doc_id % 3 <> 0"))
     held = ordinal.rate(docs.where("doc_id % 3 = 0"), model).join(graded, "doc_id").toPandas()
-    right = (held.selected == (held.grade == 2)).mean()
-    assert right > 0.95 and held[held.grade == 2].selected.mean() > 0.98
+    right = (held.kept == (held.grade == 2)).mean()
+    assert right > 0.95 and held[held.grade == 2].kept.mean() > 0.98
