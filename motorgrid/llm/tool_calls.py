@@ -59,26 +59,36 @@ def argument_errors(tool: Column, arguments: Column, schemas: Schemas) -> Column
     return cases.otherwise(F.array(F.lit("tool: unknown")))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, missing): longest chain of dependencies below each call.
+def dependencies(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, needs, backward): each dependency of each call.
 
-    ``missing`` counts dependencies that are no call of the conversation; they are passed over. A
-    call on or behind a cycle has a null level. An open edge to a call with just one open edge is
-    moved on to that one's end, so chains halve each round; a call with more waits until they close.
+    ``needs`` is null where it is no call of the conversation; ``backward`` tells whether it stands
+    before the call by (turn, call_id).
     """
     named = calls.where("call_id is not null")
-    wanted = named.select(*KEY, F.explode(F.array_distinct("depends_on")).alias("needs"))
-    there = named.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"))
-    edges = settle(wanted.join(
-        there, wanted["conv_id"].eqNullSafe(there["_c"]) & (wanted["needs"] == there["_i"]), "left",
+    wanted = named.select(*KEY, "turn", F.explode(F.array_distinct("depends_on")).alias("needs"))
+    there = named.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"),
+                         F.col("turn").alias("_t"))
+    place = F.struct(F.col("turn"), F.col("call_id"))
+    return wanted.join(
+        there.hint("shuffle_hash"),
+        wanted["conv_id"].eqNullSafe(there["_c"]) & (wanted["needs"] == there["_i"]), "left",
     ).select(*KEY, F.when(F.col("_i").isNotNull(), F.col("needs")).alias("needs"),
-             F.lit(1).cast("long").alias("steps")), "edges")
-    gone = edges.where("needs is null").groupBy(*KEY).agg(F.count("*").alias("missing"))
-    counted = edges.where("needs is not null").groupBy(*KEY).agg(
-        F.collect_set(F.struct("needs", "steps")).alias("open"))
-    state = settle(_by_key(_by_key(named.select(*KEY), counted), gone).select(
-        *KEY, F.lit(0).cast("long").alias("base"), "open",
-        F.coalesce("missing", F.lit(0)).alias("missing")), "levels")
+             F.coalesce(F.struct(F.col("_t").alias("turn"), F.col("_i").alias("call_id")) < place,
+                        F.lit(False)).alias("backward"))
+
+
+def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level): longest chain of dependencies below each of ``calls``.
+
+    ``edges``: conv_id, call_id, needs. A call on or behind a cycle has a null level. An open edge to
+    a call with just one open edge is moved on to that one's end, so chains halve each round; a call
+    with more waits until they close.
+    """
+    counted = edges.groupBy(*KEY).agg(F.collect_set(
+        F.struct("needs", F.lit(1).cast("long").alias("steps"))).alias("open"))
+    state = settle(_by_key(calls.select(*KEY), counted).select(
+        *KEY, F.lit(0).cast("long").alias("base"), "open"), "levels")
     last = -1
     while True:
         done = state.where("open is null").count()
@@ -102,8 +112,31 @@ def levels(calls: DataFrame) -> DataFrame:
             F.max("at").alias("at"), F.collect_set("edge").alias("edges"))
         state = settle(_by_key(state.drop("open"), closer).select(
             *KEY, F.greatest("base", F.coalesce("at", F.lit(0))).alias("base"),
-            F.when(F.size("edges") > 0, F.col("edges")).alias("open"), "missing"), "levels")
-    return state.select(*KEY, F.when(F.col("open").isNull(), F.col("base")).alias("level"), "missing")
+            F.when(F.size("edges") > 0, F.col("edges")).alias("open")), "levels")
+    return state.select(*KEY, F.when(F.col("open").isNull(), F.col("base")).alias("level"))
+
+
+def ranks(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, rank, missing): calls in order of (rank, turn, call_id) come after all that
+    they depend on.
+
+    Where every dependency of a conversation points back, its turns are in order already and all ranks
+    are 0. The calls of other conversations take their level as rank, null on or behind a cycle.
+    """
+    needed = settle(dependencies(calls), "dependencies")
+    missing = needed.where("needs is null").groupBy(*KEY).agg(F.count("*").alias("missing"))
+    mixed = needed.where("needs is not null and not backward").select(
+        F.col("conv_id").alias("_mixed")).distinct()
+    named = calls.where("call_id is not null")
+
+    def of_mixed(rows: DataFrame, how: str) -> DataFrame:
+        return rows.join(mixed.hint("merge"), rows["conv_id"].eqNullSafe(mixed["_mixed"]), how)
+
+    plain = of_mixed(named, "left_anti").select(*KEY, F.lit(0).cast("long").alias("rank"))
+    rest = levels(of_mixed(named, "left_semi"), of_mixed(
+        needed.where("needs is not null"), "left_semi")).withColumnRenamed("level", "rank")
+    return _by_key(plain.unionByName(rest), missing).select(
+        *KEY, "rank", F.coalesce("missing", F.lit(0)).alias("missing"))
 
 
 def _by_key(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -121,8 +154,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     the first counts, by turn and then by content; ``copies`` says how many there were. Calls without
     an id cannot be linked or depended on; those of a conversation count as one.
 
-    Returns conv_id, call_id, position (topological, from 0 in each conversation; null for lone
-    results and cycles), level, status ('ok', 'no result', 'cycle', 'no call'), errors, copies and
+    Returns conv_id, call_id, position (topological, from 0 in each conversation; by turn where that
+    is an order; null for lone results and cycles), status ('ok', 'no result', 'cycle', 'no call'), errors, copies and
     linked (canonical JSON). Empty tables give no rows; other columns are not looked at.
     """
     one_call = calls.groupBy(*KEY).agg(
@@ -135,33 +168,32 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
         F.count("*").alias("result_copies"))
     answers = one_result.where("call_id is not null").select(
         *KEY, F.struct("content").alias("answer"))
-    linked = _by_key(_by_key(one_call, answers), levels(one_call))
-    status = F.when(F.col("level").isNull() & F.col("call_id").isNotNull(), "cycle").when(
+    linked = _by_key(_by_key(one_call, answers), ranks(one_call))
+    status = F.when(F.col("rank").isNull() & F.col("call_id").isNotNull(), "cycle").when(
         F.col("answer").isNull(), "no result").otherwise("ok")
-    level = F.when(F.col("call_id").isNull(), 0).otherwise(F.col("level"))
+    rank = F.when(F.col("call_id").isNull(), 0).otherwise(F.col("rank"))
     errors = F.concat(
         argument_errors(F.col("tool"), F.col("arguments"), schemas),
         F.when(F.col("missing") > 0, F.array(F.lit("depends_on: missing"))).otherwise(
             F.array().cast("array<string>")))
-    staged = linked.withColumns({"status": status, "level": level, "errors": errors})
+    staged = linked.withColumns({"status": status, "rank": rank, "errors": errors})
     staged = settle(staged.select(
-        *KEY, "turn", "level", "status", F.array_join("errors", "; ").alias("errors"), "copies",
+        *KEY, "turn", "rank", "status", F.array_join("errors", "; ").alias("errors"), "copies",
         F.to_json(F.struct(
             F.try_parse_json("arguments").alias("arguments"), "call_id",
             F.array_sort(F.array_distinct("depends_on")).alias("depends_on"),
             F.col("answer.content").alias("result"), "tool"), _NOT_NULL).alias("linked")), "linked")
     placed = running_total(
-        staged.where("level is not null"), ["conv_id"], ["level", "turn", "call_id"],
-        F.struct("level", F.floor(F.col("turn") / BUCKET_TURNS).alias("t")), F.lit(1), "position")
-    columns = [*KEY, F.col("position").cast("long").alias("position"),
-               F.col("level").cast("long").alias("level"), "status", "errors", "copies", "linked"]
-    cyclic = staged.where("level is null").withColumn("position", F.lit(None))
+        staged.where("rank is not null"), ["conv_id"], ["rank", "turn", "call_id"],
+        F.struct("rank", F.floor(F.col("turn") / BUCKET_TURNS).alias("t")), F.lit(1), "position")
+    columns = [*KEY, F.col("position").cast("long").alias("position"), "status", "errors", "copies", "linked"]
+    cyclic = staged.where("rank is null").withColumn("position", F.lit(None))
     known = one_call.where("call_id is not null").select(*KEY).withColumnsRenamed(
         {"conv_id": "_rc", "call_id": "_ri"})
     alone = one_result.join(
         known.hint("shuffle_hash"), one_result["conv_id"].eqNullSafe(known["_rc"])
         & (one_result["call_id"] == known["_ri"]), "left_anti").select(
-        *KEY, F.lit(None).cast("long").alias("position"), F.lit(None).cast("long").alias("level"),
+        *KEY, F.lit(None).cast("long").alias("position"),
         F.lit("no call").alias("status"), F.lit("").alias("errors"),
         F.col("result_copies").alias("copies"),
         F.to_json(F.struct("call_id", F.col("content").alias("result")), _NOT_NULL).alias("linked"))
@@ -216,7 +248,7 @@ def linked_conversations(conversations: DataFrame) -> DataFrame:
 
 
 SQL = """
-WITH RECURSIVE a AS (
+WITH a AS (
     SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, text, length(text) AS n,
         conv_id % 3 AS k,
         list_filter([CASE WHEN turn >= 3 THEN 'c' || conv_id || '-' || (turn - 2) END,
@@ -229,15 +261,9 @@ r AS (
 e AS (
     SELECT a.conv_id, a.call_id, p.call_id AS needs, u.x
     FROM a, unnest(a.needs) AS u(x) LEFT JOIN a AS p ON p.conv_id = a.conv_id AND p.call_id = u.x),
-paths AS (
-    SELECT conv_id, call_id, 0 AS level FROM a
-    UNION
-    SELECT e.conv_id, e.call_id, paths.level + 1 FROM e JOIN paths
-        ON e.conv_id = paths.conv_id AND e.needs = paths.call_id),
-l AS (SELECT conv_id, call_id, max(level) AS level FROM paths GROUP BY ALL),
 m AS (SELECT conv_id, call_id, count(*) FILTER (needs IS NULL) AS missing FROM e GROUP BY ALL),
 c AS (
-    SELECT a.*, l.level, r.content, r.call_id IS NOT NULL AS answered,
+    SELECT a.*, r.content, r.call_id IS NOT NULL AS answered,
         CASE k WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'write' END AS tool,
         CASE WHEN k = 0 AND n % 5 = 0 THEN 'limit: not integer'
              WHEN k = 1 AND n % 7 = 0 THEN 'key: missing'
@@ -249,17 +275,17 @@ c AS (
              WHEN k = 1 THEN json_object('fields', ['a', turn::VARCHAR], 'key', 'k' || conv_id)
              WHEN n % 11 = 0 THEN json_object('append', turn > 2, 'mode', 'x', 'text', text)
              ELSE json_object('append', turn > 2, 'text', text) END AS args
-    FROM a JOIN l USING (conv_id, call_id) LEFT JOIN m USING (conv_id, call_id)
+    FROM a LEFT JOIN m USING (conv_id, call_id)
     LEFT JOIN r USING (conv_id, call_id))
 SELECT conv_id, call_id,
-    row_number() OVER (PARTITION BY conv_id ORDER BY level, turn, call_id) - 1 AS position,
-    level::BIGINT AS level, CASE WHEN answered THEN 'ok' ELSE 'no result' END AS status,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, call_id) - 1 AS position,
+    CASE WHEN answered THEN 'ok' ELSE 'no result' END AS status,
     concat_ws('; ', wrong, lost) AS errors, 1::BIGINT AS copies,
     json_object('arguments', args, 'call_id', call_id, 'depends_on', list_sort(needs),
         'result', content, 'tool', tool)::VARCHAR AS linked
 FROM c
 UNION ALL
-SELECT conv_id, call_id, NULL, NULL, 'no call', '', 1,
+SELECT conv_id, call_id, NULL, 'no call', '', 1,
     json_object('call_id', call_id, 'result', content)::VARCHAR
 FROM r WHERE call_id NOT IN (SELECT call_id FROM a)
 """
