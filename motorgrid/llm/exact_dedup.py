@@ -123,10 +123,11 @@ _PRINT = ["_bytes", "_a", "_b"]
 
 def _differing(docs: DataFrame, prints: DataFrame, chunk_bytes: int) -> DataFrame:
     """(doc_id, _sha) of rows that differ in a chunk from the largest doc_id of equal fingerprint."""
-    groups = prints.groupBy(*_PRINT).agg(
+    # Written first: a join of two plain tables is one whose hot keys AQE can split.
+    groups = settle(prints.groupBy(*_PRINT).agg(
         F.max_by(F.struct("doc_id", "_sha"), F.struct("doc_id", "_sha")).alias("_rep"),
-        F.count("*").alias("_rows")).where("_rows > 1")
-    members = prints.join(groups, _PRINT).select("doc_id", "_sha", "_rep")
+        F.count("*").alias("_rows")).where("_rows > 1"), "dedup-shared")
+    members = prints.join(groups.hint("merge"), _PRINT).select("doc_id", "_sha", "_rep")
     wanted = members.select(
         F.col("doc_id").alias("_m_id"), F.col("_sha").alias("_m_sha"), "_rep")
     chunks = _chunked(docs, chunk_bytes)
@@ -167,9 +168,10 @@ def exact_groups(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
         odd.hint("merge"),
         prints["doc_id"].eqNullSafe(odd["_o_id"]) & (prints["_sha"] == odd["_o_sha"]), "left",
     ).withColumn("_variant", F.col("_o_sha")).select(*prints.columns, "_variant")
-    groups = sorted_out.groupBy(*_PRINT, "_variant").agg(
+    sorted_out = settle(sorted_out, "dedup-sorted")
+    groups = settle(sorted_out.groupBy(*_PRINT, "_variant").agg(
         F.max("doc_id").alias("keep_id"),
-        F.sum("_copies").alias("group_size"))
+        F.sum("_copies").alias("group_size")), "dedup-groups")
     named = groups.select(
         *[F.col(c).alias(f"_g{c}") for c in (*_PRINT, "_variant")], "keep_id", "group_size")
     match = F.col("_variant").eqNullSafe(F.col("_g_variant"))
