@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from motorgrid.llm import bpe, exact_dedup, mixing, quality_rules, simhash
 from motorgrid.llm.common import settle, small_batches, table
+from motorgrid.session import ship_package
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-# Shingles of five words; fingerprints within six bits are near copies (see the README).
+# Shingles of five words. Fingerprints within eight bits propose, a similarity of 0.8 decides.
 NEAR_WORDS = 5
-NEAR_BITS = 6
+NEAR_BITS = 8
+NEAR_SIMILARITY = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +35,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id."""
+    """Without documents that are near copies of one that stays."""
     small_batches(spark)
-    return simhash.drop_near_copies(docs, NEAR_WORDS, NEAR_BITS)
+    return simhash.drop_near_copies(docs, NEAR_WORDS, NEAR_BITS, NEAR_SIMILARITY)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +62,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the last stage's rows, written and read like the others."""
+    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")

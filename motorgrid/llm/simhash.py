@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from motorgrid.llm.common import drop_rows, regroup, settle
 from motorgrid.llm.components import components
-from motorgrid.llm.vptree import Classes, build_tree, route, search
+from motorgrid.llm.vptree import Classes, Nearest, build_tree, route, search
 
 SEED = 42
+HASHES = 1 << 30
 WORDS = 4
 REACH = 4
 # Fingerprints that the top tree is fitted on; it decides only how evenly the shards are filled.
@@ -102,6 +103,18 @@ def _linker(reach: int) -> Callable:
     return run
 
 
+def _nearest(reach: int) -> Callable:
+    def run(shard: pa.Table) -> pa.Table:
+        fp = shard.column("fp").to_numpy().view(np.uint64)
+        node = shard.column("node").to_numpy()
+        best = Nearest(fp, node)
+        search(fp, shard.column("guest").to_numpy(zero_copy_only=False), reach, best)
+        has = np.flatnonzero(best.bits <= reach)
+        return pa.table({"node": node[has], "near": best.near[has], "bits": best.bits[has]})
+
+    return run
+
+
 def links(prints: DataFrame, reach: int = REACH, sample: int = SAMPLE,
           depth: int = LEVELS, task_rows: int = TASK_ROWS) -> DataFrame:
     """Links (src, dst) that join all ``prints`` (fp, node; fp distinct) within ``reach`` bits.
@@ -109,7 +122,25 @@ def links(prints: DataFrame, reach: int = REACH, sample: int = SAMPLE,
     The links connect just the fingerprints that a chain of pairs within ``reach`` connects; pairs
     that add nothing to that are left out.
     """
-    chosen = prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample)
+    return _in_shards(prints, reach, sample, depth, task_rows, _linker(reach), "src long, dst long")
+
+
+def nearest_smaller(prints: DataFrame, reach: int, sample: int = SAMPLE, depth: int = LEVELS,
+                    task_rows: int = TASK_ROWS) -> DataFrame:
+    """(node, near) for each of ``prints`` that has a smaller node within ``reach`` bits: the one of
+    fewest differing bits, then the smallest."""
+    found = _in_shards(prints, reach, sample, depth, task_rows, _nearest(reach),
+                       "node long, near long, bits int")
+    return found.groupBy("node").agg(F.min_by("near", F.struct("bits", "near")).alias("near"))
+
+
+def _in_shards(prints: DataFrame, reach: int, sample: int, depth: int, task_rows: int,
+               work: Callable, schema: str) -> DataFrame:
+    """``work`` over every shard (fp, node, guest) of ``prints`` (fp, node; fp distinct)."""
+    # Thinned by a hash first, so that no task sends more than its share of the sample.
+    share = min(1.0, sample / max(1, prints.count()))
+    thin = prints.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(HASHES)) < int(HASHES * share))
+    chosen = thin.orderBy(F.xxhash64("fp"), "fp").limit(sample)
     picked = [r[0] for r in chosen.collect()]
     splits = build_tree(np.array(picked, np.int64).view(np.uint64), depth)
     visits = settle(prints.select("fp", "node").mapInArrow(
@@ -126,7 +157,7 @@ def links(prints: DataFrame, reach: int = REACH, sample: int = SAMPLE,
     return spread.select(
         "fp", "node", "guest", "leaf", F.least("_s", "_t").alias("_low"),
         F.greatest("_s", "_t").alias("_high"),
-    ).groupBy("leaf", "_low", "_high").applyInArrow(_linker(reach), "src long, dst long")
+    ).groupBy("leaf", "_low", "_high").applyInArrow(work, schema)
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, reach: int = REACH) -> DataFrame:
@@ -153,13 +184,60 @@ def near_groups(docs: DataFrame, words: int = WORDS, reach: int = REACH) -> Data
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = WORDS, reach: int = REACH) -> DataFrame:
-    """``docs`` with one document, that of the smallest doc_id, of each group of near copies.
+def _shingle_sets(words: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            sets = []
+            for text in batch.column("_text"):
+                parts = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                count = max(1, len(parts) - words + 1) if parts else 0
+                sets.append(np.unique(np.array(
+                    [digest(b" ".join(parts[i:i + words]), SEED) for i in range(count)],
+                    np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))],
+                names=["doc_id", "shingles"])
 
-    Documents are told apart by doc_id: one stays if any of its rows does, and rows without doc_id
-    are never dropped.
+    return run
+
+
+def near_copies(docs: DataFrame, words: int, reach: int, similarity: float) -> DataFrame:
+    """(doc_id, keep_id) of documents to drop: each is linked to one that stays by similar texts.
+
+    Every document is compared with one other: the nearest fingerprint within ``reach`` bits among
+    those of smaller doc_id (of equal fingerprints, their smallest doc_id). Links whose shingle sets
+    have a Jaccard similarity below ``similarity`` are dropped; of each group that the others connect
+    the smallest doc_id stays. A group of any size has one link per document.
+    """
+    prints = settle(fingerprints(docs, words).where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("fp").alias("fp")), "near-prints")
+    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "near-nodes")
+    equal = prints.join(nodes.hint("merge"), "fp").where("doc_id <> node").select(
+        "doc_id", F.col("node").alias("near"))
+    pairs = settle(nearest_smaller(nodes, reach).select(
+        F.col("node").alias("doc_id"), "near").unionByName(equal), "near-pairs")
+    wanted = pairs.select("doc_id").unionByName(pairs.select(F.col("near").alias("doc_id"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
+    # Of several texts of one doc_id one decides.
+    sets = settle(texts.join(settle(wanted, "near-wanted").hint("merge"), "doc_id").mapInArrow(
+        _shingle_sets(words), "doc_id long, shingles array<long>").groupBy("doc_id").agg(
+        F.max("shingles").alias("shingles")), "near-sets")
+    theirs = sets.select(F.col("doc_id").alias("near"), F.col("shingles").alias("_theirs"))
+    # Many copies may point at one document: AQE splits their side of this join.
+    met = pairs.join(sets.hint("merge"), "doc_id").join(theirs.hint("merge"), "near")
+    both = F.size(F.array_intersect("shingles", "_theirs"))
+    either = F.size("shingles") + F.size("_theirs") - both
+    alike = met.where((either == 0) | (both >= similarity * either)).select(
+        F.col("doc_id").alias("src"), F.col("near").alias("dst"))
+    return components(alike).where("node <> component").select(
+        F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
+
+
+def drop_near_copies(docs: DataFrame, words: int, reach: int, similarity: float) -> DataFrame:
+    """``docs`` without the near copies of documents that stay, see ``near_copies``.
+
+    Documents are told apart by doc_id; rows without a doc_id always stay. Two texts without words
+    are equal.
     """
-    found = settle(near_groups(docs, words, reach), "near-groups")
-    gone = found.where("doc_id is not null").groupBy("doc_id").agg(
-        F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).where("not stays")
-    return drop_rows(docs, gone, ["doc_id"])
+    return drop_rows(docs, near_copies(docs, words, reach, similarity), ["doc_id"])

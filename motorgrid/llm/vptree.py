@@ -112,7 +112,31 @@ class Classes:
                 label[:] = shorter
 
 
-def search(values: np.ndarray, guest: np.ndarray, reach: int, classes: Classes) -> None:
+class Nearest:
+    """For each row the smaller node of fewest differing bits among the linked ones."""
+
+    def __init__(self, values: np.ndarray, node: np.ndarray) -> None:
+        self.values, self.node = values, node
+        self.bits = np.full(len(values), 127, np.int32)
+        self.near = np.zeros(len(values), np.int64)
+
+    def link(self, left: np.ndarray, right: np.ndarray) -> None:
+        up = self.node[left] > self.node[right]
+        row, other = np.where(up, left, right), np.where(up, right, left)
+        apart = row != other
+        row, other = row[apart], other[apart]
+        bits = np.bitwise_count(self.values[row] ^ self.values[other]).astype(np.int32)
+        near = self.node[other]
+        order = np.lexsort((near, bits, row))
+        row, bits, near = row[order], bits[order], near[order]
+        first = np.ones(len(row), bool)
+        first[1:] = row[1:] != row[:-1]
+        row, bits, near = row[first], bits[first], near[first]
+        better = (bits < self.bits[row]) | ((bits == self.bits[row]) & (near < self.near[row]))
+        self.bits[row[better]], self.near[row[better]] = bits[better], near[better]
+
+
+def search(values: np.ndarray, guest: np.ndarray, reach: int, classes: Classes | Nearest) -> None:
     """Link every pair (member, member or guest) within ``reach``, by a tree inside the task."""
     todo: list[tuple[np.ndarray, np.ndarray]] = [(np.arange(len(values)), guest)]
     while todo:

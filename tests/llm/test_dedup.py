@@ -72,7 +72,7 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_groups(docs).count() == 0
     assert exact_dedup.drop_exact_copies(docs).count() == 0
     assert simhash.near_groups(docs).count() == 0
-    assert simhash.drop_near_copies(docs).count() == 0
+    assert simhash.drop_near_copies(docs, 5, 8, 0.8).count() == 0
 
 
 def plain_fingerprint(text, words=4):
@@ -139,6 +139,25 @@ def test_links_over_shards(spark, depth, task_rows):
     assert [found.get(i, i) for i in range(len(values))] == classes(values, 4)
 
 
+def staying(docs, words, reach, similarity):
+    """doc_ids that stay when each document is linked to its nearest smaller one, if alike."""
+    def shingles(text):
+        parts = lowered(text).split()
+        return {" ".join(parts[i:i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+    docs = sorted(docs)
+    prints = [simhash.fingerprint(t, words) for _, t in docs]
+    sets = [shingles(t) for _, t in docs]
+    up = list(range(len(docs)))
+    for i in range(len(docs)):
+        same = prints.index(prints[i])
+        near = [((prints[i] ^ prints[j]).bit_count(), j) for j in range(i)]
+        bits, j = (0, same) if same < i else min(near, default=(99, 0))
+        if bits <= reach and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+            up[i] = up[j]
+    return {docs[i][0] for i in range(len(docs)) if up[i] == i}
+
+
 def test_near_groups(spark):
     rng = random.Random(3)
     base = [f"w{rng.randrange(500)}" for _ in range(300)]
@@ -162,8 +181,12 @@ def test_near_groups(spark):
                      for r, p, n in zip(rows, prints, names)), key=repr)
     got = sorted((tuple(r) for r in simhash.near_groups(docs).collect()), key=repr)
     assert got == wanted
-    stays = {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()}
-    assert stays == {d for d, _, c in wanted if d == c} | {None}
+    unique = rows[:4] + rows[5:6] + rows[7:]
+    left = simhash.drop_near_copies(spark.createDataFrame(unique, SCHEMA), 5, 10, 0.8)
+    assert left.columns == docs.columns
+    stays = staying([(r[0], r[1]) for r in unique if r[0] is not None], 5, 10, 0.8)
+    assert {r["doc_id"] for r in left.collect()} == stays | {None}
+    assert 45 < len(stays) < 80
 
 
 def test_components_of_a_long_chain(spark):

@@ -180,7 +180,6 @@ def test_tool_calls(spark):
         (2, None, 1, "search", '{"limit": "3", "query": "é\\"\\n"}', None)], [
         (1, "a", 9, "late"), (1, "a", 7, "first"), (1, "gone", 1, None), (None, "n", 1, "r"), (2, None, 1, "r")])
     assert [got[1, k]["position"] for k in "abc"] == [0, 1, 2]
-    assert [got[1, k]["level"] for k in "abc"] == [0, 1, 2]
     assert got[1, "a"]["copies"] == 2 and got[1, "a"]["status"] == "ok"
     assert json.loads(got[1, "a"]["linked"])["result"] == "first"
     assert got[1, "b"]["status"] == "no result" and got[1, "b"]["errors"] == ""
@@ -199,12 +198,23 @@ def test_tool_calls(spark):
     assert link(spark, [], []) == {}
 
 
+def test_turns_in_order_need_no_levels(spark):
+    calls = [(c, f"c{i}", i, "write", '{"text": "t"}', [f"c{i - 1}", f"c{i - 2}"]) for c in (1, None)
+             for i in range(300)]
+    frame = spark.createDataFrame([(*c, 0) for c in calls], CALLS)
+    assert {r["rank"] for r in tool_calls.ranks(frame).collect()} == {0}
+    got = link(spark, calls, [])
+    assert [got[1, f"c{i}"]["position"] for i in range(300)] == list(range(300))
+
+
 def test_long_chains_are_ordered(spark):
     calls = [(1, f"c{i}", 0, "write", '{"text": "t"}', [f"c{i - 1}"] if i else []) for i in range(120)]
     calls += [(1, f"d{i}", 0, "write", '{"text": "t"}', [f"d{i - 1}", f"c{i}"] if i else []) for i in range(6)]
     got = link(spark, calls, [])
-    assert [got[1, f"c{i}"]["level"] for i in range(120)] == list(range(120))
-    assert [got[1, f"d{i}"]["level"] for i in range(6)] == [0, 2, 3, 4, 5, 6]
+    frame = spark.createDataFrame([(*c, 0) for c in calls], CALLS)
+    levels = {r["call_id"]: r["rank"] for r in tool_calls.ranks(frame).collect()}
+    assert [levels[f"c{i}"] for i in range(120)] == list(range(120))
+    assert [levels[f"d{i}"] for i in range(6)] == [0, 2, 3, 4, 5, 6]
     places = {k[1]: r["position"] for k, r in got.items()}
     assert sorted(places.values()) == list(range(126))
     assert all(places[d] < places[c[1]] for c in calls for d in c[5])
@@ -250,10 +260,9 @@ def test_sampling(spark):
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
     import duckdb
-    from motorgrid.llm import quality_rules, simhash
+    from motorgrid.llm import quality_rules
     from motorgrid.llm.common import settle
-    from test_dedup import classes, lowered
-    import numpy as np
+    from test_dedup import lowered, staying
     import zstandard
     from motorgrid.llm.bpe import Bpe
 
@@ -272,9 +281,8 @@ def test_pipeline_against_brute_force(spark):
     wanted = {i for i, r in rows.items() if good(r["text"])}
     last = {lowered(rows[i]["text"]): i for i in sorted(wanted)}
     steps = [wanted, set(last.values())]
-    left = sorted(steps[1])
-    prints = np.array([simhash.fingerprint(rows[i]["text"], 5) for i in left], np.uint64)
-    steps.append({left[k] for k in set(classes(prints, corpus_pipeline.NEAR_BITS))})
+    steps.append(staying([(i, rows[i]["text"]) for i in steps[1]], corpus_pipeline.NEAR_WORDS,
+                        corpus_pipeline.NEAR_BITS, corpus_pipeline.NEAR_SIMILARITY))
     for (name, stage), want in zip(corpus_pipeline.STAGES, [*steps, None, None]):
         docs = settle(stage(spark, docs, sf), f"test-{name}")
         found = {r["doc_id"] for r in docs.select("doc_id").collect()}
