@@ -207,6 +207,51 @@ def test_turns_in_order_need_no_levels(spark):
     assert [got[1, f"c{i}"]["position"] for i in range(300)] == list(range(300))
 
 
+def longest(calls):
+    """Level per (conv_id, call_id), None on or behind a cycle, by plain passes."""
+    needs = {(c, k): [(c, n) for n in set(d or []) if n is not None] for c, k, _, _, _, d in calls}
+    needs = {k: [n for n in v if n in needs] for k, v in needs.items()}
+    found = {}
+    while True:
+        ready = {k: max((found[n] + 1 for n in v), default=0) for k, v in needs.items()
+                 if k not in found and all(n in found for n in v)}
+        if not ready:
+            return {k: found.get(k) for k in needs}
+        found.update(ready)
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_every_conversation_is_ordered_by_level(spark, monkeypatch, block):
+    monkeypatch.setattr(tool_calls, "BLOCK_CALLS", block)
+    rng = random.Random(8)
+    calls = []
+    for conv in (1, 2, None):
+        ids = [f"c{i}" for i in range(60)]
+        rank = rng.sample(range(60), 60) if conv == 1 else list(range(60))
+        for i in ids:
+            below = [k for k in ids if rank[int(k[1:])] < rank[int(i[1:])]]
+            calls.append((conv, i, int(i[1:]), "write", '{"text": "t"}',
+                          rng.sample(below, min(len(below), rng.randint(0, 3)))))
+    calls += [(3, f"d{i}", i, "write", '{"text": "t"}', [f"d{(i + 1) % 30}"] if i < 30 else [f"d{i - 1}"] * (i > 31))
+              for i in range(40)]
+    got, want = link(spark, calls, []), longest(calls)
+    assert {k: r["level"] for k, r in got.items()} == want
+    assert max(v for k, v in want.items() if k[0] == 1 and v is not None) > 5
+    for conv in (1, 2, None, 3):
+        inside = sorted((want[c[0], c[1]], c[2], c[1]) for c in calls if c[0] == conv and want[c[0], c[1]] is not None)
+        assert [got[conv, k]["position"] for _, _, k in inside] == list(range(len(inside)))
+    assert {r["status"] for k, r in got.items() if want[k] is None} == {"cycle"}
+
+
+def test_two_dependencies_of_a_long_conversation(spark):
+    # Neither dependency follows from the other, so no edge is the chain; one in seven points forward.
+    calls = [(1, f"c{i}", i, "write", '{"text": "t"}',
+              [f"c{k}" for k in ((i - 2, i - 3) if i % 7 else (i - 3, i + 1)) if 0 <= k < 400])
+             for i in range(400)]
+    got, want = link(spark, calls, []), longest(calls)
+    assert {k: r["level"] for k, r in got.items()} == want
+
+
 def test_long_chains_are_ordered(spark):
     calls = [(1, f"c{i}", 0, "write", '{"text": "t"}', [f"c{i - 1}"] if i else []) for i in range(120)]
     calls += [(1, f"d{i}", 0, "write", '{"text": "t"}', [f"d{i - 1}", f"c{i}"] if i else []) for i in range(6)]
