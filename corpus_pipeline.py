@@ -16,9 +16,9 @@ from motorgrid.llm.common import settle, small_batches, table
 from motorgrid.session import ship_package
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-# Shingles of five words. Fingerprints within eight bits propose, a similarity of 0.8 decides.
+# Shingles of five words. Fingerprints within 14 bits propose, a similarity of 0.8 decides.
 NEAR_WORDS = 5
-NEAR_BITS = 8
+NEAR_BITS = 14
 NEAR_SIMILARITY = 0.8
 
 
@@ -37,7 +37,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that are near copies of one that stays."""
     small_batches(spark)
-    return simhash.drop_near_copies(docs, NEAR_WORDS, NEAR_BITS, NEAR_SIMILARITY)
+    return simhash.drop_near_copies(
+        docs, NEAR_WORDS, NEAR_BITS, NEAR_SIMILARITY, every_pair=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,33 +32,42 @@ LEVELS = 6
 # Visits to one task; a fuller shard is cut into slices and every two slices meet in a task.
 TASK_ROWS = 2_000_000
 ROUTED_ROWS = 1 << 16
+# Bits of the first comparison of near copies, which spares pairs of the full reach.
+NEAREST = 8
 _HASHES = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """SimHash of the shingles of ``text``, A-Z lowered; 0 without words."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of the shingles of ``text``, A-Z lowered; none without words."""
     # bytes.lower() changes A-Z only and bytes.split() cuts at the six ASCII spaces.
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     count = max(1, len(parts) - words + 1)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:count].tolist()
     stops = ends[min(words, len(parts)) - 1:].tolist()
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, count, _HASHES):
-        hashes = np.array(
-            [digest(joined[a:b], SEED) for a, b in zip(starts[at:at + _HASHES],
-                                                       stops[at:at + _HASHES])], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1,
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, count)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of ``hashes``: the bits that more than half of them have; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _HASHES):
+        ones += np.unpackbits(hashes[at:at + _HASHES].view(np.uint8).reshape(-1, 8), axis=1,
                               bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > count).astype(np.uint8)
+    bits = (2 * ones > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """SimHash of the shingles of ``text``, A-Z lowered; 0 without words."""
+    return majority(shingle_hashes(text, words))
+
+
 def _printer(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +93,8 @@ def _router(splits: list, depth: int, reach: int) -> Callable:
             rows, leaf, guest = route(fp, splits, depth, reach)
             picked = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("fp").take(picked), batch.column("node").take(picked),
-                 pa.array(leaf.astype(np.int32)), pa.array(guest)],
-                names=["fp", "node", "leaf", "guest"])
+                [*[c.take(picked) for c in batch.columns], pa.array(leaf.astype(np.int32)),
+                 pa.array(guest)], names=[*batch.schema.names, "leaf", "guest"])
 
     return run
 
@@ -115,6 +123,41 @@ def _nearest(reach: int) -> Callable:
     return run
 
 
+class _Pairs:
+    """All linked rows of unlike group whose set sizes allow ``similarity``, smaller node first."""
+
+    def __init__(self, shard: pa.Table, similarity: float) -> None:
+        self.node, self.group, self.size = (
+            shard.column(c).to_numpy() for c in ("node", "group", "size"))
+        self.similarity, self.found = similarity, [np.zeros((2, 0), np.int64)]
+
+    def link(self, left: np.ndarray, right: np.ndarray) -> None:
+        small = np.minimum(self.size[left], self.size[right])
+        large = np.maximum(self.size[left], self.size[right])
+        open_ = (self.group[left] != self.group[right]) & (small >= self.similarity * large)
+        a, b = self.node[left[open_]], self.node[right[open_]]
+        self.found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+
+
+def _pairer(reach: int, similarity: float) -> Callable:
+    def run(shard: pa.Table) -> pa.Table:
+        pairs = _Pairs(shard, similarity)
+        search(shard.column("fp").to_numpy().view(np.uint64),
+               shard.column("guest").to_numpy(zero_copy_only=False), reach, pairs)
+        near, node = np.unique(np.concatenate(pairs.found, axis=1), axis=1)
+        return pa.table({"doc_id": node, "near": near})
+
+    return run
+
+
+def unlinked_pairs(prints: DataFrame, reach: int, similarity: float, sample: int = SAMPLE,
+                   depth: int = LEVELS, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(doc_id, near): every pair of ``prints`` (fp, node, group, size) within ``reach`` bits of unlike
+    group whose sizes allow ``similarity``; ``near`` is the smaller node."""
+    return _in_shards(prints, reach, sample, depth, task_rows, _pairer(reach, similarity),
+                      "doc_id long, near long").distinct()
+
+
 def links(prints: DataFrame, reach: int = REACH, sample: int = SAMPLE,
           depth: int = LEVELS, task_rows: int = TASK_ROWS) -> DataFrame:
     """Links (src, dst) that join all ``prints`` (fp, node; fp distinct) within ``reach`` bits.
@@ -127,7 +170,7 @@ def links(prints: DataFrame, reach: int = REACH, sample: int = SAMPLE,
 
 def nearest_smaller(prints: DataFrame, reach: int, sample: int = SAMPLE, depth: int = LEVELS,
                     task_rows: int = TASK_ROWS) -> DataFrame:
-    """(node, near) for each of ``prints`` that has a smaller node within ``reach`` bits: the one of
+    """(node, near) for each of ``prints`` (fp, node) that has a smaller node within ``reach`` bits: the one of
     fewest differing bits, then the smallest."""
     found = _in_shards(prints, reach, sample, depth, task_rows, _nearest(reach),
                        "node long, near long, bits int")
@@ -136,15 +179,17 @@ def nearest_smaller(prints: DataFrame, reach: int, sample: int = SAMPLE, depth:
 
 def _in_shards(prints: DataFrame, reach: int, sample: int, depth: int, task_rows: int,
                work: Callable, schema: str) -> DataFrame:
-    """``work`` over every shard (fp, node, guest) of ``prints`` (fp, node; fp distinct)."""
+    """``work`` over every shard (guest and the columns of ``prints``) of ``prints`` (fp, node and
+    others, all long)."""
     # Thinned by a hash first, so that no task sends more than its share of the sample.
     share = min(1.0, sample / max(1, prints.count()))
     thin = prints.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(HASHES)) < int(HASHES * share))
     chosen = thin.orderBy(F.xxhash64("fp"), "fp").limit(sample)
     picked = [r[0] for r in chosen.collect()]
     splits = build_tree(np.array(picked, np.int64).view(np.uint64), depth)
-    visits = settle(prints.select("fp", "node").mapInArrow(
-        _router(splits, depth, reach), "fp long, node long, leaf int, guest boolean"), "visits")
+    carried = ", ".join(f"{c} long" for c in prints.columns)
+    visits = settle(prints.mapInArrow(
+        _router(splits, depth, reach), f"{carried}, leaf int, guest boolean"), "visits")
     full = visits.groupBy("leaf").count().where(F.col("count") > task_rows).collect()
     slices = prints.sparkSession.createDataFrame(
         [(r["leaf"], -(-r["count"] // (task_rows // 2))) for r in full], "leaf int, slices long")
@@ -155,7 +200,7 @@ def _in_shards(prints: DataFrame, reach: int, sample: int, depth: int, task_rows
     spread = spread.withColumn("_s", own).withColumn(
         "_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     return spread.select(
-        "fp", "node", "guest", "leaf", F.least("_s", "_t").alias("_low"),
+        *prints.columns, "guest", "leaf", F.least("_s", "_t").alias("_low"),
         F.greatest("_s", "_t").alias("_high"),
     ).groupBy("leaf", "_low", "_high").applyInArrow(work, schema)
 
@@ -184,60 +229,91 @@ def near_groups(docs: DataFrame, words: int = WORDS, reach: int = REACH) -> Data
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingle_sets(words: int) -> Callable:
+def _set_prints(words: int, whole: bool) -> Callable:
+    """doc_id, sig (digest of the shingle set), and the set itself, or fp and size of the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            sets = []
+            sigs, prints, sets = [], [], []
             for text in batch.column("_text"):
-                parts = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                count = max(1, len(parts) - words + 1) if parts else 0
-                sets.append(np.unique(np.array(
-                    [digest(b" ".join(parts[i:i + words]), SEED) for i in range(count)],
-                    np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))],
-                names=["doc_id", "shingles"])
+                hashes = shingle_hashes(text.as_py(), words)
+                sets.append(np.unique(hashes))
+                sigs.append(xxhash.xxh3_128_digest(sets[-1].tobytes()))
+                if not whole:
+                    prints.append(majority(hashes))
+                    sets[-1] = len(sets[-1])
+            first = [batch.column("doc_id"), pa.array(sigs, pa.binary())]
+            if whole:
+                yield pa.RecordBatch.from_arrays(
+                    [*first, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
+                    names=["doc_id", "sig", "shingles"])
+            else:
+                yield pa.RecordBatch.from_arrays(
+                    [*first, pa.array(np.array(prints, np.uint64).view(np.int64)),
+                     pa.array(sets, pa.int64())], names=["doc_id", "sig", "fp", "size"])
 
     return run
 
 
-def near_copies(docs: DataFrame, words: int, reach: int, similarity: float) -> DataFrame:
+def near_copies(docs: DataFrame, words: int, reach: int, similarity: float,
+                every_pair: bool = False) -> DataFrame:
     """(doc_id, keep_id) of documents to drop: each is linked to one that stays by similar texts.
 
-    Every document is compared with one other: the nearest fingerprint within ``reach`` bits among
-    those of smaller doc_id (of equal fingerprints, their smallest doc_id). Links whose shingle sets
-    have a Jaccard similarity below ``similarity`` are dropped; of each group that the others connect
-    the smallest doc_id stays. A group of any size has one link per document.
+    With ``every_pair`` all pairs of documents whose fingerprints differ in at most ``reach`` bits are
+    linked if their shingle sets have a Jaccard similarity of ``similarity`` or more; of each group
+    that links connect the smallest doc_id stays. Equal sets are one node. Each node is first compared
+    with its nearest smaller one within NEAREST bits; then all pairs that those links do not connect
+    already are, so a group of copies costs about a link each. Of several texts of one doc_id one
+    decides. Without ``every_pair`` a node is compared with its nearest smaller one only, which misses
+    similar pairs.
     """
-    prints = settle(fingerprints(docs, words).where("doc_id is not null").groupBy("doc_id").agg(
-        F.min("fp").alias("fp")), "near-prints")
-    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "near-nodes")
-    equal = prints.join(nodes.hint("merge"), "fp").where("doc_id <> node").select(
-        "doc_id", F.col("node").alias("near"))
-    pairs = settle(nearest_smaller(nodes, reach).select(
-        F.col("node").alias("doc_id"), "near").unionByName(equal), "near-pairs")
-    wanted = pairs.select("doc_id").unionByName(pairs.select(F.col("near").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
-    # Of several texts of one doc_id one decides.
-    sets = settle(texts.join(settle(wanted, "near-wanted").hint("merge"), "doc_id").mapInArrow(
-        _shingle_sets(words), "doc_id long, shingles array<long>").groupBy("doc_id").agg(
-        F.max("shingles").alias("shingles")), "near-sets")
-    theirs = sets.select(F.col("doc_id").alias("near"), F.col("shingles").alias("_theirs"))
-    # Many copies may point at one document: AQE splits their side of this join.
-    met = pairs.join(sets.hint("merge"), "doc_id").join(theirs.hint("merge"), "near")
-    both = F.size(F.array_intersect("shingles", "_theirs"))
-    either = F.size("shingles") + F.size("_theirs") - both
-    alike = met.where((either == 0) | (both >= similarity * either)).select(
-        F.col("doc_id").alias("src"), F.col("near").alias("dst"))
-    return components(alike).where("node <> component").select(
+    texts = docs.where("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
+    prints = settle(texts.mapInArrow(
+        _set_prints(words, False), "doc_id long, sig binary, fp long, size long").groupBy("doc_id").agg(
+        F.max(F.struct("sig", "fp", "size")).alias("p")).select("doc_id", "p.*"), "near-prints")
+    nodes = settle(prints.groupBy("sig").agg(
+        F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size")),
+        "near-nodes")
+    equal = prints.join(nodes.select("sig", "node").hint("merge"), "sig").where("doc_id <> node").select(
+        F.col("doc_id").alias("src"), F.col("node").alias("dst"))
+    def alike(pairs: DataFrame) -> DataFrame:
+        # Only the sets that these pairs need are made and written.
+        wanted = settle(pairs.select("doc_id").unionByName(
+            pairs.select(F.col("near").alias("doc_id"))).distinct(), "near-wanted")
+        sets = settle(texts.join(wanted.hint("merge"), "doc_id").mapInArrow(
+            _set_prints(words, True), "doc_id long, sig binary, shingles array<long>").groupBy(
+            "doc_id").agg(F.max_by("shingles", "sig").alias("shingles")), "near-sets")
+        theirs = sets.select(F.col("doc_id").alias("near"), F.col("shingles").alias("_theirs"))
+        # Many copies may point at one document: AQE splits their side of this join.
+        met = pairs.join(sets.hint("merge"), "doc_id").join(theirs.hint("merge"), "near")
+        both = F.size(F.array_intersect("shingles", "_theirs"))
+        either = F.size("shingles") + F.size("_theirs") - both
+        return settle(met.where((either == 0) | (both >= similarity * either)).select(
+            F.col("doc_id").alias("src"), F.col("near").alias("dst")), "near-alike")
+
+    near = settle(nearest_smaller(
+        nodes.select("fp", "node"), min(reach, NEAREST) if every_pair else reach).select(
+        F.col("node").alias("doc_id"), "near"), "near-pairs")
+    found = alike(near)
+    if every_pair:
+        found = found.unionByName(alike(_unlinked(nodes, found, reach, similarity)))
+    return components(found.unionByName(equal)).where("node <> component").select(
         F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
 
 
-def drop_near_copies(docs: DataFrame, words: int, reach: int, similarity: float) -> DataFrame:
+def _unlinked(nodes: DataFrame, found: DataFrame, reach: int, similarity: float) -> DataFrame:
+    """``unlinked_pairs`` of ``nodes`` (fp, node, size) whose groups are those that ``found`` connects."""
+    groups = components(found).select("node", F.col("component").alias("group"))
+    grouped = settle(nodes.join(groups.hint("merge"), "node", "left").select(
+        "fp", "node", F.coalesce("group", "node").alias("group"), "size"), "near-groups")
+    return settle(unlinked_pairs(grouped, reach, similarity), "near-rest")
+
+
+def drop_near_copies(docs: DataFrame, words: int, reach: int, similarity: float,
+                     every_pair: bool = False) -> DataFrame:
     """``docs`` without the near copies of documents that stay, see ``near_copies``.
 
     Documents are told apart by doc_id; rows without a doc_id always stay. Two texts without words
     are equal.
     """
-    return drop_rows(docs, near_copies(docs, words, reach, similarity), ["doc_id"])
+    return drop_rows(docs, near_copies(docs, words, reach, similarity, every_pair), ["doc_id"])

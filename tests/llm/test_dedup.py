@@ -189,6 +189,31 @@ def test_near_groups(spark):
     assert 45 < len(stays) < 80
 
 
+def test_near_copies_are_all_similar_pairs(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(500)}" for _ in range(120)]
+        for _ in range(15):
+            edited = list(base)
+            for _ in range(rng.randint(0, 4)):
+                edited[rng.randrange(120)] = f"v{rng.randrange(500)}"
+            rows.append((rng.randrange(10**6), " ".join(edited)))
+    rows += [(10**6 + i, t.upper()) for i, (_, t) in enumerate(rows[:5])]
+    sets = [{" ".join(p[i:i + 5]) for i in range(len(p) - 4)} for p in (t.lower().split() for _, t in rows)]
+    low = [d for d, _ in rows]
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if len(a & b) >= 0.8 * len(a | b):
+                    low[i] = min(low[i], low[j])
+    docs = spark.createDataFrame([(*r, 0, "a") for r in rows], SCHEMA)
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_copies(docs, 5, 24, 0.8, every_pair=True).collect()}
+    assert got == {d: k for (d, _), k in zip(rows, low) if d != k}
+    # The nearest smaller fingerprint alone, as before, misses some.
+    assert len(staying(rows, 5, 24, 0.8)) > len(rows) - len(got)
+
+
 def test_components_of_a_long_chain(spark):
     nodes = list(range(300))
     random.Random(2).shuffle(nodes)
