@@ -26,6 +26,25 @@ def test_entry_runs_from_an_empty_folder(tmp_path):
     assert "ROWS 31" in done.stdout, done.stderr[-2000:]
 
 
+LISTING = f"""
+import sys
+sys.path.insert(0, {REPO!r})
+import __spark_entry__ as e
+from pyspark import SparkContext
+names = set(e.queries())
+assert set(e.oracle_sql()) <= names
+assert SparkContext._active_spark_context is None
+print("NAMES", len(names))
+"""
+
+
+def test_queries_are_listed_without_a_session(tmp_path):
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", LISTING], cwd=tmp_path, env=env,
+                          capture_output=True, text=True, timeout=120)
+    assert "NAMES" in done.stdout, done.stderr[-2000:]
+
+
 class _Unset:
     """A session without a shared folder."""
 
