@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from motorgrid.llm import (
-    bpe, exact_dedup, id_files, mixing, ordinal, page_text, quality_rules, simhash, tool_calls, warc,
+    bpe, exact_dedup, id_files, lattice, mixing, ordinal, page_text, quality_rules, simhash, tool_calls, warc,
 )
 from motorgrid.llm.common import LOWER, UPPER, table
 
@@ -96,3 +96,8 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     grades = labels.select(
         "doc_id", ordinal.grade(labels["quality"], labels["toxic"]).alias("grade"))
     return ordinal.rate(docs, ordinal.fit_on(docs, grades))
+
+
+@query("op12_lattice_near_dedup")
+def near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
