@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from motorgrid.llm import (
-    bpe, exact_dedup, id_files, lattice, mixing, ordinal, page_text, quality_rules, simhash, tool_calls, warc,
+    bpe, exact_dedup, id_files, lattice, mixing, negatives, ordinal, page_text, quality_rules, simhash, tool_calls, warc,
 )
 from motorgrid.llm.common import LOWER, UPPER, table
 
@@ -101,3 +101,8 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_lattice_near_dedup")
 def near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_hard_negatives", negatives.SQL)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"))

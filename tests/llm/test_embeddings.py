@@ -2,7 +2,8 @@
 
 import numpy as np
 import pytest
-from motorgrid.llm import lattice
+from motorgrid.llm import lattice, negatives
+from pyspark.sql import functions as F
 
 
 def _frame(spark, rows, extra=""):
@@ -102,3 +103,89 @@ def test_lattice_odd_rows(spark):
         [(None, 0, None, False), (1, 3, 1, True), (2, 3, 1, False), *alone, (9, 3, 1, False),
          (9, 3, 1, False), (10, 0, 10, True), (11, 0, 11, True)], key=lambda r: (r[0] or 0, r))
     assert lattice.near_vectors(df.limit(0)).collect() == []
+
+
+def _mined_by_brute_force(rows, positives=5, negatives=10, low=30, high=90):
+    """rows: (vec_id, label, whole); anchors have a vec_id divisible by 100."""
+    out = []
+    for anchor, label, own in (r for r in rows if r[0] % 100 == 0):
+        scored = sorted((-sum(x * y for x, y in zip(own, w)), i, other) for i, other, w in rows)
+        near = [(-s, i) for s, i, other in scored if other == label and i != anchor][:positives]
+        far = [(-s, i) for s, i, other in scored if other != label]
+        for p, positive in near:
+            fits = [(s, i) for s, i in far if low * p <= 100 * s <= high * p][:negatives]
+            out += [(anchor, positive, n, i, p, s) for n, (s, i) in enumerate(fits, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("clusters, group, cells", [(4, 1024, 1 << 20), (1, 3, 64), (7, 2, 200)])
+def test_hard_negatives_equal_brute_force(spark, monkeypatch, clusters, group, cells):
+    """Few small numbers: many ties, zero vectors, windows of negative scores, copies of one vector."""
+    monkeypatch.setattr(negatives, "_CELLS", cells)
+    rng = np.random.default_rng(clusters)
+    rows = [(int(i) * 20, int(rng.integers(0, 3)), rng.integers(-4, 5, 3).tolist()) for i in range(300)]
+    rows += [(20 * i + 1, 1, [3, 3, 3]) for i in range(150)] + [(7, 2, [0, 0, 0]), (300_000, 1, [0, 0, 0])]
+    df = spark.createDataFrame(rows, "vec_id long, label long, whole array<int>").repartition(5)
+    got = negatives.hard_negatives(df, F.col("vec_id") % 100 == 0, clusters=clusters, group=group)
+    assert sorted(tuple(r) for r in got.collect()) == _mined_by_brute_force(rows)
+
+
+def test_walks_end_early(spark, tmp_path):
+    """Clustered vectors: the bound ends a walk after a small part of the list, with the same result."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(4, 32)) * 200
+    rows = [(i, i % 2, np.rint(centres[i % 4] + rng.normal(size=32) * 20).astype(int).tolist())
+            for i in range(4000)]
+    seen = []
+    real = negatives._list_batches
+
+    def counted(path, cluster, size):
+        for batch in real(path, cluster, 50):
+            seen.append(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "vec_id long, label long, whole array<int>")
+    whole = negatives.hard_negatives(df, F.col("vec_id") % 100 == 0, low=-100, high=100)
+    expected = _mined_by_brute_force(rows, low=-100, high=100)
+    assert sorted(tuple(r) for r in whole.collect()) == expected
+    # The same walk in this process, to count what it reads.
+    path = str(tmp_path / "lists")
+    matrix = np.array([r[2] for r in rows], float)
+    centre = negatives.fit_centres(matrix[::100], 4)
+    norms = np.linalg.norm(matrix, axis=1)
+    angles = np.arccos(negatives._cosines(matrix, norms, centre))
+    mine = angles.argmin(axis=1)
+    anchors = [i for i in range(0, 4000, 100) if mine[i] == mine[0]]
+    bound = norms * np.cos(np.maximum(0, angles[:, mine[0]] - angles[anchors, mine[0]].max() - 1e-7))
+    spark.createDataFrame([(*r, float(b)) for r, b in zip(rows, bound)],
+                          "vec_id long, label long, whole array<int>, bound double").orderBy(
+        F.desc("bound")).coalesce(1).write.parquet(f"{path}/cluster=0")
+    import pyarrow as pa
+    from unittest import mock
+    with mock.patch.object(negatives, "_list_batches", counted):
+        table = pa.table({"vec_id": anchors, "label": [rows[i][1] for i in anchors],
+                          "whole": pa.array([rows[i][2] for i in anchors], pa.list_(pa.int32()))})
+        found = negatives._miner(path, 32, 5, 10, -100, 100)((pa.scalar(0),), table)
+    names = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    got = sorted(zip(*(found.column(n).to_pylist() for n in names)))
+    assert got == [r for r in expected if r[0] in anchors]
+    assert sum(seen) < 2 * 4000 * 0.6
+
+
+def test_mined_odd_rows(spark):
+    rows = [
+        (100, [1.0, 0.5], 1, 9), (1, [0.9, 0.4], 1, 9), (2, [0.5, 0.2], 2, 9), (3, [0.5, 0.2], 2, 9),
+        (7, [0.6, 0.1], 0, 9), (200, None, 1, 9), (300, [float("nan"), 1.0], 1, 9),
+        (400, [None, 1.0], 1, 9), (500, [1.0, 1.0], None, 9), (None, [1.0, 1.0], 1, 9),
+        (4, [float("inf"), 0.0], 2, 9), (5, [0.4], 2, 9), (6, [], 2, 9), (600, [], 3, 9)]
+    df = _frame(spark, rows, ", rank int")
+    got = sorted(tuple(r) for r in negatives.mined(df).collect())
+    whole = []
+    for i, v, label, _ in rows:
+        if i is None or v is None or label is None or not all(x is not None and np.isfinite(x) for x in v):
+            continue
+        w = [int(np.floor(256 * float(np.float32(x)))) for x in v]
+        whole.append((i, (label + 1) % 10 if i % 7 == 0 else label, w + [0] * (2 - len(w))))
+    assert got == _mined_by_brute_force(whole) and len(got) == 4
+    assert negatives.mined(df.limit(0)).collect() == []
+    assert negatives.mined(df.where("vec_id = 1")).collect() == []
