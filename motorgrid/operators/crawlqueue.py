@@ -15,7 +15,7 @@ from motorgrid import constants as K
 from motorgrid import schemas
 from motorgrid.functions.calc import backoff_seconds, plus_seconds
 from motorgrid.operators.lookups import first_per_key, insert_new
-from motorgrid.operators.skew import running_total
+from motorgrid.operators.skew import cut_by_ranges, running_total
 
 
 def new_items(rows: DataFrame, now: Column) -> DataFrame:
@@ -136,12 +136,14 @@ def fold_events(queue: DataFrame, events: DataFrame) -> DataFrame:
     A URL starts to exist at its first enqueue, earlier events do not count, later enqueues do
     nothing. Instead of replaying a URL's events in one task, the state is taken from the last
     event of each sort and the number of failures after the last requeue; that number is the
-    difference of two running counts, which are built in buckets of a minute.
+    difference of two running counts, which a prefix scan over sampled ranges gives: a URL may have
+    any number of events, at one time too. seq tells events of one ts apart.
     """
     known = queue.select("url", F.lit(True).alias("_known"))
+    ranged = cut_by_ranges(events.select(
+        "url", "source", "kind", "action", "error", "ts", "seq"), ["url"], ["ts", "seq"])
     counted = running_total(
-        events.select("url", "source", "kind", "action", "error", "ts", "seq"), ["url"],
-        ["ts", "seq"], F.date_trunc("minute", "ts"), (F.col("action") == "failed").cast("int"),
+        ranged, ["url"], ["ts", "seq"], F.col("_piece"), (F.col("action") == "failed").cast("int"),
         "_fails_before").drop("_cell", "_bucket")
     at = F.struct("ts", "seq")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motorgrid import constants as K
 from motorgrid.functions.text import let
-from motorgrid.operators.skew import running_total
+from motorgrid.operators.skew import cut_by_ranges, running_total
 
 # Rows of one slot that a single window task sorts at most.
 SLOT_BLOCK_ROWS = 200_000
@@ -35,16 +35,17 @@ def mode_vote(history: Column) -> Column:
 
 
 def smooth_predictions(rows: DataFrame, window: int = K.SMOOTHING_WINDOW,
-                       bucket: Column | None = None,
                        block_rows: int = SLOT_BLOCK_ROWS) -> DataFrame:
     """Vote over the last ``window`` predictions of a slot, one output row per input row.
 
-    Needs slot, ts, seq, label, class_id and confidence. A busy slot is cut into blocks of
-    consecutive rows; the last rows of a block are repeated in front of the next one.
+    Needs slot, ts, seq, label, class_id and confidence; seq tells rows of one ts apart. Positions
+    come from a prefix scan over sampled ranges, so a slot may have any number of rows at one time.
+    A busy slot is then cut into blocks of consecutive rows; the last rows of a block are repeated in
+    front of the next one.
     """
-    minute = F.date_trunc("minute", "ts") if bucket is None else bucket
-    placed = running_total(rows, ["slot"], ["ts", "seq"], minute, F.lit(1), "_pos").drop(
-        "_cell", "_bucket")
+    ranged = cut_by_ranges(rows, ["slot"], ["ts", "seq"])
+    placed = running_total(
+        ranged, ["slot"], ["ts", "seq"], F.col("_piece"), F.lit(1), "_pos").drop("_cell", "_bucket")
     own = F.floor(F.col("_pos") / block_rows)
     at_end = F.pmod("_pos", F.lit(block_rows)) >= block_rows - (window - 1)
     copied = placed.withColumn("_own", own).withColumn("_block", F.explode(

@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motorgrid.session import store
+
 # Hex digits of a hash used as bucket: 16**3 buckets per group.
 HASH_BUCKET_DIGITS = 3
 
@@ -20,6 +22,19 @@ def hash_bucket(digest: Column) -> Column:
     return F.substring(digest, 1, HASH_BUCKET_DIGITS)
 
 
+def cut_by_ranges(df: DataFrame, group: Iterable[str], order: Iterable, out: str = "_piece"
+                  ) -> DataFrame:
+    """Add the number of the range of (group, order) that a row lies in.
+
+    Spark samples the ranges, so they hold like numbers of rows however the groups are sized and
+    whatever values the order takes: only rows that are equal in all of it stay together. Ranges
+    follow the order, which makes ``out`` a bucket for ``running_total``. The rows are written once:
+    ranges that a lost task drew anew would not fit the others.
+    """
+    ranged = df.withColumn("_cell", F.struct(*group)).repartitionByRange("_cell", *order)
+    return store(ranged.drop("_cell").withColumn(out, F.spark_partition_id()), "ranges")
+
+
 def running_total(df: DataFrame, group: Iterable[str], order: Iterable, bucket: Column,
                   value: Column, before: str, total: str | None = None) -> DataFrame:
     """Add ``before``, the sum of ``value`` over earlier rows of the group, and the group total.

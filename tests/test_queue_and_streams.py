@@ -109,7 +109,7 @@ def _votes(df):
 def test_smoothing(spark, block_rows):
     rows = _predictions()
     df = spark.createDataFrame(rows, PRED)
-    got = live.smooth_predictions(df, block_rows=block_rows, bucket=F.date_trunc("minute", "ts"))
+    got = live.smooth_predictions(df, block_rows=block_rows)
     assert _votes(got) == _vote_by_hand(rows)
 
 
