@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from motorgrid.llm import (
-    bpe, exact_dedup, id_files, lattice, mixing, negatives, ordinal, page_text, quality_rules, simhash, tool_calls, warc,
+    bpe, exact_dedup, id_files, lattice, mixing, negatives, ordinal, page_text, prefix_trie,
+    quality_rules, simhash, tool_calls, warc,
 )
 from motorgrid.llm.common import LOWER, UPPER, table
 
@@ -98,6 +99,11 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.rate(docs, ordinal.fit_on(docs, grades))
 
 
+@query("op11_prefix_trie", prefix_trie.SQL)
+def trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op12_lattice_near_dedup")
 def near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
