@@ -110,13 +110,26 @@ def _(spark, sf):
       regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
       '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS title FROM pages""")
 def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.coalesce(
-        pages.unescaped_title(F.col("html")), F.lit("")).alias("title"))
+    return _marked(table(spark, sf, "pages")).select("page_id", F.coalesce(
+        pages.unescaped_title(F.col("shown")), F.lit("")).alias("title"))
+
+
+# Markup that is easily misread: links in comments and scripts, ">" in values, "<" in text.
+_DECOYS = (
+    '<!-- <a href="/vehicledetail/none/">x</a><a rel="next" href="?page=99">n</a> --><p data-x="a>b" '
+    'title=\'<a href="/no">\'>I <3 this car, 2 < 3' + " and more words" * 20 + "</p>"
+    '<script>var a = "<a href=\\"/vehicledetail/script/\\">next</a>";</script>')
+
+
+def _marked(df):
+    """With the marked-up page, read once, and the same decoded."""
+    marked = text.with_once(df, {"marked": H.markup(F.col("html"))})
+    return text.with_once(marked, {"shown": H.decoded(F.col("marked"))})
 
 
 # One page per part with two listing links (one of them twice), noise and a next link.
 def _search_pages(spark, sf):
-    part = table(spark, sf, "part")
+    part = table(spark, sf, "part").repartition(32)
     source = pick(K.QUEUE_SOURCES, F.col("p_partkey") % 6)
     first = _listing_url(source, F.col("p_partkey") + 1000000)
     second = _listing_url(source, F.col("p_partkey") + 2000000)
@@ -125,7 +138,8 @@ def _search_pages(spark, sf):
                   "<a aria-label='Next' href='/p/2'>›</a>", "<a href=\"/p/3\"> Next </a>",
                   "<a href=\"/p/1\">Previous</a>"), F.col("p_partkey") % 4)
     shown = F.concat(
-        F.lit('<html><body><a href="/about">About</a><a class="c" href="'), first, F.lit('">A</a>'),
+        F.lit(f'<html><body>{_DECOYS}<a href="/about">About</a><a title="a>b" class="c" href="'), first,
+        F.lit('">A</a>'),
         F.lit("<p><a href='"), second, F.lit("'><b>B</b></a> <a href=\""), first, tail,
         F.lit("\">again</a><a name=\"x\">no link</a>"), nexts, F.lit("</body></html>"))
     return part.select(
@@ -192,7 +206,8 @@ def _script(body, attrs='type="application/ld+json"'):
 
 def listing_pages(spark, sf):
     """One listing page per part, in the source's own style."""
-    part = table(spark, sf, "part")
+    # The table is one small file: its rows are spread, so that all cores make and parse pages.
+    part = table(spark, sf, "part").repartition(32)
     key, source = F.col("p_partkey"), pick(K.QUEUE_SOURCES, F.col("p_partkey") % 6)
     year = (2008 + F.col("p_size") % 8).cast("string")
     trim, model = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
@@ -219,7 +234,9 @@ def listing_pages(spark, sf):
         dealer_chat_metadata=_object(carsData=_object(
             model=_json(model), trim=_json(trim), mileage=miles, vin=_json(vin),
             bodystyle=_json(F.lit("sedan")))))
-    graph = F.concat(F.lit('{"@graph": [[{"@type": "Offer"}, '), car, F.lit("]]}"))
+    # Lists and @graph wrappers, twenty deep.
+    graph = F.concat(F.lit('{"@graph": [[{"@type": "Offer"}, ' + '{"@graph": [[' * 9), car,
+                     F.lit("]]}" * 9 + "]]}"))
     broken = F.lit("{not json")
     gallery = F.concat(
         F.lit('<img slot="image" src="https://platform.cstatic-images.com/a'), key.cast("string"),
@@ -229,9 +246,11 @@ def listing_pages(spark, sf):
         F.lit('<span id="titletextonly">'), year, F.lit(" honda "), model, F.lit(
             ' ex</span><p class="attrgroup"><span>VIN: <b>'), vin, F.lit(
             "</b></span><span>odometer: <b>"), miles, F.lit(
-            '</b></span><span>type: <b>sedan</b></span></p><section id="postingbody">Nice</section>'
+            '</b></span><span>type: <b>sedan</b></span></p><section id="postingbody">Nice' + _DECOYS +
+            '</section>'
             '<a class="thumb" href="https://img/a'), key.cast("string"), F.lit(
-            '.jpg"></a><div class="gallery"><div class="slide"><div><img src="https://img/b.jpg"></div></div>'
+            '.jpg"></a><div class="gallery">' + "<div class='slide'>" * 20
+            + '<img alt="a>b" src="https://img/b.jpg">' + "</div>" * 20 +
             '<img src="https://img/b.jpg"></div><img src="https://img/not-in-it.jpg">'))
     body = (
         F.when(source == "cars_com", F.when(F.col("p_size") % 2 == 0, _script(graph)).otherwise(
@@ -244,7 +263,7 @@ def listing_pages(spark, sf):
     return part.select(
         "p_partkey", "p_size", source.alias("source"), F.lit("listing").alias("kind"),
         _listing_url(source, key + 1000000).alias("url"),
-        F.concat(F.lit("<html><head></head><body>"), body, F.lit("</body></html>")).alias("html"),
+        F.concat(F.lit(f"<html><head></head><body>{_DECOYS}"), body, F.lit("</body></html>")).alias("html"),
         F.lit(1999).alias("target_year"), F.lit(None).cast("string").alias("target_make"),
         F.lit("hinted").alias("target_model"))
 
@@ -293,10 +312,10 @@ def _(spark, sf):
       WHEN 2 THEN 0 ELSE 1 END::BIGINT AS n, CASE WHEN p_partkey % 6 IN (1, 5) OR p_partkey % 6 = 0 AND
       p_size % 2 = 0 THEN split_part(p_name, ' ', 2) ELSE '' END AS model FROM part""")
 def _(spark, sf):
-    found = jsonld.blocks(F.col("html"))
-    node = jsonld.find_vehicle(found)
-    return listing_pages(spark, sf).select(
-        "p_partkey", F.size(found).cast("bigint").alias("n"),
+    found = text.with_once(_marked(listing_pages(spark, sf)), {"found": jsonld.blocks(F.col("marked"))})
+    node = jsonld.find_vehicle(F.col("found"))
+    return found.select(
+        "p_partkey", F.size("found").cast("bigint").alias("n"),
         F.coalesce(jsonld.name_or_text(jsonld.child(node, "$.model")), F.lit("")).alias("model"))
 
 
@@ -304,8 +323,8 @@ def _(spark, sf):
     SELECT p_partkey, (2008 + p_size % 8)::BIGINT AS year, split_part(p_name, ' ', 2) AS model,
       'Sedan' AS body_style FROM part WHERE p_partkey % 6 = 0 AND p_size % 2 = 1""")
 def _(spark, sf):
-    state = listing_pages(spark, sf).select(
-        "p_partkey", jsonld.page_state(F.col("html")).alias("s")).where("s is not null")
+    state = _marked(listing_pages(spark, sf)).select(
+        "p_partkey", jsonld.page_state(F.col("marked")).alias("s")).where("s is not null")
     return state.select("p_partkey", jsonld.state_fields(F.col("s")).alias("f")).select(
         "p_partkey", F.col("f.year").cast("bigint").alias("year"), "f.model", "f.body_style")
 
@@ -315,8 +334,8 @@ def _(spark, sf):
       || split_part(p_name, ' ', 2)[2:] || ' Ex' AS model, floor(p_retailprice)::BIGINT AS mileage,
       upper(sha1(p_partkey::VARCHAR)[:17]) AS vin FROM part WHERE p_partkey % 6 = 2""")
 def _(spark, sf):
-    shown = listing_pages(spark, sf).where("source = 'craigslist'").select(
-        "p_partkey", pages.classified_fields(F.col("url"), F.col("html"), 2026).alias("f"))
+    shown = _marked(listing_pages(spark, sf).where("source = 'craigslist'")).select(
+        "p_partkey", pages.classified_fields(F.col("url"), F.col("shown"), 2026).alias("f"))
     return shown.select("p_partkey", F.col("f.parsed.year").cast("bigint").alias("year"),
                         "f.parsed.make", "f.parsed.model", "f.mileage", "f.vin")
 
@@ -325,8 +344,8 @@ def _(spark, sf):
     SELECT p_partkey, 'https://platform.cstatic-images.com/' || CASE i WHEN 0 THEN 'a' || p_partkey ELSE 'b'
       END || '.jpg' AS url FROM part, range(2) t(i) WHERE p_partkey % 6 = 0 AND p_size % 2 = 1""")
 def _(spark, sf):
-    return listing_pages(spark, sf).select(
-        "p_partkey", F.explode(pages.gallery_images(F.col("html"))).alias("url"))
+    return _marked(listing_pages(spark, sf)).select(
+        "p_partkey", F.explode(pages.gallery_images(F.col("shown"))).alias("url"))
 
 
 _STATUS = "([200, 200, 200, 403, 404, 429, 503, 0])[page_id % 8 + 1]"
@@ -556,7 +575,7 @@ def _(spark, sf):
       lambda p: p <> ''), ' ')) AS digest FROM pages""")
 def _(spark, sf):
     return table(spark, sf, "pages").select(
-        "page_id", text.text_hash(H.inner_text(F.col("html"))).alias("digest"))
+        "page_id", text.text_hash(H.inner_text(H.decoded(H.markup(F.col("html"))))).alias("digest"))
 
 
 @query("queue_snapshot_sources", over("v_queue", "SELECT source, kind, count(*) AS n FROM v_queue GROUP BY ALL"))

@@ -6,13 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from motorgrid import constants as K
+from motorgrid.functions import html as H
 from motorgrid.functions import text
 from motorgrid.functions.text import let
 
-_SCRIPT = r"""(?is)<script\s[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""
-# Nesting of lists and @graph wrappers that is flattened.
-_LEVELS = 4
-
 
 def child(node: Column, path: str) -> Column:
     return F.try_variant_get(node, path, "variant")
@@ -61,21 +58,38 @@ def as_integer(node: Column) -> Column:
     return F.coalesce(number, F.when(_kind(node) == "STRING", text.parse_digits(_raw(node))))
 
 
-def blocks(html: Column) -> Column:
-    """array<variant> of the page's JSON-LD objects; malformed blocks are skipped."""
-    parsed = F.filter(
-        F.transform(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1)),
-                    lambda raw: F.try_parse_json(text.strip(raw))),
-        lambda node: node.isNotNull())
+def blocks(marked: Column) -> Column:
+    """array<variant> of the JSON-LD objects of a page (as ``html.markup`` gives it).
 
-    def opened(node: Column) -> Column:
-        return F.coalesce(
+    Lists and @graph lists are opened to any depth, in order; malformed blocks are skipped.
+    """
+    def open_once(found: Column) -> Column:
+        return F.flatten(F.transform(found, lambda node: F.coalesce(
             _elements(node), F.try_variant_get(node, '$["@graph"]', "array<variant>"),
-            F.array(node))
+            F.array(node))))
+
+    def is_closed(node: Column) -> Column:
+        return _is_list(node) | F.try_variant_get(node, '$["@graph"]', "array<variant>").isNotNull()
+
+    # A text nests at most as deep as it has brackets: that many rounds end every nesting. A round
+    # with nothing left to open costs one comparison.
+    def open_all(parsed: Column, brackets: Column) -> Column:
+        def state(found: Column) -> Column:
+            return let(found, lambda some: F.struct(
+                some.alias("found"), F.exists(some, is_closed).alias("left")))
+
+        return F.aggregate(
+            F.sequence(F.lit(1), brackets), state(parsed),
+            lambda held, _: F.when(held["left"], state(open_once(held["found"]))).otherwise(held))["found"]
+
+    def of_scripts(raw: Column) -> Column:
+        parsed = F.filter(F.transform(raw, lambda r: F.try_parse_json(text.strip(r))),
+                          lambda node: node.isNotNull())
+        longest = F.array_max(F.transform(raw, lambda r: F.length(r) - F.length(F.translate(r, "[", ""))))
+        return open_all(parsed, F.greatest(longest, F.lit(1)))
 
-    for _ in range(_LEVELS):
-        parsed = F.flatten(F.transform(parsed, opened))
-    return F.filter(parsed, _is_object)
+    scripts = H.scripts(marked, lambda tag: F.lower(H.attribute(tag, "type")) == "application/ld+json")
+    return F.filter(let(scripts, of_scripts), _is_object)
 
 
 def _types(node: Column) -> Column:
@@ -134,11 +148,9 @@ def vehicle_fields(node: Column, current_year: int) -> Column:
     )
 
 
-def page_state(html: Column) -> Column:
+def page_state(marked: Column) -> Column:
     """Variant of the embedded vehicle state, null when absent, malformed or no object."""
-    ident = K.STATE_SCRIPT_ID.replace(".", r"\.")
-    raw = text.extract(
-        html, rf"""(?is)<script\s[^>]*id\s*=\s*["']{ident}["'][^>]*>(.*?)</script\s*>""")
+    raw = F.get(H.scripts(marked, lambda tag: H.attribute(tag, "id") == K.STATE_SCRIPT_ID), F.lit(0))
     return let(F.try_parse_json(text.strip(raw)), lambda s: F.when(_is_object(s), s))
 
 

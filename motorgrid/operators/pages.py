@@ -26,22 +26,28 @@ def _normalized(page_url: Column, hrefs: Column) -> Column:
     return F.array_distinct(F.transform(hrefs, lambda h: urls.normalize_url(page_url, h)))
 
 
+def _shown(pages: DataFrame) -> DataFrame:
+    """With ``_marked``, the marked-up page, and ``_shown``, the same decoded."""
+    marked = text.with_once(pages, {"_marked": H.markup(F.col("html"))})
+    return text.with_once(marked, {"_shown": H.decoded(F.col("_marked"))})
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """All links of every page: url, position (first occurrence), link."""
     hrefs = F.filter(
-        F.transform(H.tags(F.col("html"), "a"), lambda t: H.attribute(t, "href")),
+        F.transform(H.tags(F.col("_shown"), "a"), lambda t: H.attribute(t, "href")),
         lambda h: h.isNotNull())
-    links = text.with_once(pages, {"_links": _normalized(F.col("url"), hrefs)})
+    links = text.with_once(_shown(pages), {"_links": _normalized(F.col("url"), hrefs)})
     keep = [c for c in pages.columns if c != "html"]
     return links.select(*keep, F.posexplode("_links").alias("position", "link"))
 
 
-def _listing_links(page_url: Column, html: Column, source: Column) -> Column:
+def _listing_links(page_url: Column, marked: Column, source: Column) -> Column:
     """Listing URLs of a search page by the source's own pattern."""
     cards = K.LISTING_HREF_PATTERNS["cars_com"]
 
     def hrefs(names: str, attr: str = "href") -> Column:
-        return F.transform(H.tags(html, names), lambda t: H.attribute(t, attr))
+        return F.transform(H.tags(marked, names), lambda t: H.attribute(t, attr))
 
     def is_listing(href: Column) -> Column:
         hit = None
@@ -63,8 +69,8 @@ def _listing_links(page_url: Column, html: Column, source: Column) -> Column:
     return _normalized(page_url, matched)
 
 
-def next_page(page_url: Column, html: Column, source: Column | None = None) -> Column:
-    """Link to the next result page, null when there is none.
+def next_page(page_url: Column, marked: Column, source: Column | None = None) -> Column:
+    """Link to the next result page of a marked-up page, null when there is none.
 
     First anchor with rel=next, or an aria-label with ``next``, or a text with ``next`` but not
     ``prev``. cars_com tries the three signals one after the other and wants exact words.
@@ -93,15 +99,16 @@ def next_page(page_url: Column, html: Column, source: Column | None = None) -> C
             first(found, lambda a: a["words"] == "next"))
         return F.when(source == "cars_com", staged).otherwise(anywhere)
 
-    return let(F.transform(H.anchors(html), described), lambda found: let(
+    return let(F.transform(H.anchors(marked), described), lambda found: let(
         pick(found), lambda h: F.when(h.isNotNull(), urls.normalize_url(page_url, h))))
 
 
 def search_results(pages: DataFrame) -> DataFrame:
     """Search pages with ``listing_urls``, ``next_url`` and ``note``."""
-    src, url, html = F.col("source"), F.col("url"), F.col("html")
-    found = text.with_once(pages.where("kind = 'search'"), {
-        "listing_urls": _listing_links(url, html, src), "next_url": next_page(url, html, src)})
+    src, url, shown = F.col("source"), F.col("url"), F.col("_shown")
+    found = text.with_once(_shown(pages.where("kind = 'search'")), {
+        "listing_urls": _listing_links(url, shown, src), "next_url": next_page(url, shown, src)}).drop(
+        "_marked", "_shown")
     return found.withColumn("note", F.when(
         F.coalesce(F.size("listing_urls"), F.lit(0)) <= 0, "no listing cards found"))
 
@@ -120,44 +127,41 @@ def discovered_urls(pages: DataFrame) -> DataFrame:
     return found.select("page_url", "position", "_i.url", "source", "_i.kind", *HINTS)
 
 
-def gallery_images(html: Column) -> Column:
+def gallery_images(marked: Column) -> Column:
     """https images of the gallery slot on the photo host."""
     shown = F.filter(
-        H.tags(html, "img"), lambda t: F.coalesce(H.attribute(t, "slot") == "image", F.lit(False)))
+        H.tags(marked, "img"), lambda t: F.coalesce(H.attribute(t, "slot") == "image", F.lit(False)))
     return F.array_distinct(F.filter(
         F.transform(shown, lambda t: H.attribute(t, "src")),
         lambda u: u.startswith("https://") & u.contains(K.GALLERY_HOST)))
 
 
-def classified_fields(url: Column, html: Column, current_year: int) -> Column:
-    """struct of a classified page: title parts, attributes, VIN, images, post id."""
-    heading = H.first_match(
-        html, r"""(?is)<(h[12])\s[^>]*class\s*=\s*["'][^"']*\bpostingtitle\b[^>]*>(.*?)</\1>""", 2)
+def classified_fields(url: Column, marked: Column, current_year: int) -> Column:
+    """struct of a marked-up classified page: title parts, attributes, VIN, images, post id."""
+    heading = H.element(marked, "h[12]", lambda tag: H.has_class(tag, "postingtitle"))
     title = F.coalesce(
-        text.non_blank(H.inner_text(H.element_by_id(html, "span", "titletextonly"), "")),
+        text.non_blank(H.inner_text(H.element(
+            marked, "span", lambda tag: H.attribute(tag, "id") == "titletextonly"), "")),
         text.non_blank(H.inner_text(heading)))
-    groups = F.regexp_extract_all(
-        html, F.lit(r"""(?is)<p\s[^>]*class\s*=\s*["'][^"']*\battrgroup\b[^>]*>(.*?)</p>"""),
-        F.lit(1))
-    spans = F.flatten(F.transform(groups, lambda g: F.transform(
-        F.regexp_extract_all(g, F.lit(r"(?is)<span\b[^>]*>(.*?)</span>"), F.lit(1)),
-        lambda span: H.inner_text(span))))
+    spans = F.flatten(F.transform(H.sections(marked, "p", "attrgroup"), lambda g: F.transform(
+        F.regexp_extract_all(g, F.lit(
+            f"(?i){H.OPEN}span{H.ATTRS}[^{H.END}]*+{H.END}((?:[^{H.OPEN}]++|{H.OPEN}(?!/span{H.ATTRS}))*+)"),
+            F.lit(1)), lambda span: H.inner_text(span))))
     attrs = F.lower(F.array_join(spans, " | "))
-    body = F.coalesce(H.inner_text(H.element_by_id(html, "section", "postingbody")), F.lit(""))
+    body = F.coalesce(H.inner_text(H.element(
+        marked, "section", lambda tag: H.attribute(tag, "id") == "postingbody")), F.lit(""))
     thumbs = F.transform(
-        F.filter(H.tags(html, "a"), lambda t: H.has_class(t, "thumb")),
+        F.filter(H.tags(marked, "a"), lambda t: H.has_class(t, "thumb")),
         lambda t: H.attribute(t, "href"))
-    # The whole container, nested ones included; an unclosed one ends at the first close tag.
-    boxes = F.regexp_extract_all(
-        html, F.lit(r"""(?is)<div\s[^>]*class\s*=\s*["'][^"']*\b(?:gallery|swipe)\b[^>]*>("""
-                    + H.inside("div") + r"(?=</div)|.*?)</div\s*>"), F.lit(1))
-    shown = F.flatten(F.transform(boxes, lambda b: F.transform(
-        H.tags(b, "img"), lambda t: H.attribute(t, "src"))))
+    shown = F.transform(H.tags_within(
+        marked, "div", lambda tag: H.attribute(tag, "class").rlike(r"\b(?:gallery|swipe)\b"), "img"),
+        lambda t: H.attribute(t, "src"))
     images = F.filter(
         _normalized(url, F.filter(F.concat(thumbs, shown), lambda u: u.isNotNull())),
         lambda u: u.rlike("^https?://"))
-    post_id = H.first_match(
-        F.lower(html), r"""(?s)<p\s[^>]*class\s*=\s*["'][^"']*\bpostinginfo\b[^>]*>[^<]*post id:\s*(\d{6,})""")
+    notes = F.transform(H.sections(marked, "p", "postinginfo"), lambda p: F.regexp_extract(
+        F.lower(H.inner_text(p)), r"post id:\s*(\d{6,})", 1))
+    post_id = F.get(F.filter(notes, lambda n: n != ""), F.lit(0))
     return F.struct(
         title.alias("title"), titles.free_title(title, current_year).alias("parsed"),
         text.parse_digits(text.key_value(attrs, "odometer")).alias("mileage"),
@@ -167,15 +171,16 @@ def classified_fields(url: Column, html: Column, current_year: int) -> Column:
     )
 
 
-def page_heading(html: Column) -> Column:
-    """Vehicle heading of the page, else its title."""
+def page_heading(marked: Column) -> Column:
+    """Vehicle heading of a marked-up page, else its title."""
     return F.coalesce(
-        text.non_blank(H.inner_text(H.element_by_id(html, "h1", "vehicle-title"), "")),
-        text.non_blank(unescaped_title(html)))
+        text.non_blank(H.inner_text(H.element(
+            marked, "h1", lambda tag: H.attribute(tag, "id") == "vehicle-title"), "")),
+        text.non_blank(unescaped_title(marked)))
 
 
-def unescaped_title(html: Column) -> Column:
-    return H.inner_text(H.first_match(html, r"(?is)<title[^>]*>(.*?)</title>"), "")
+def unescaped_title(marked: Column) -> Column:
+    return H.inner_text(H.element(marked, "title", lambda _: F.lit(True)), "")
 
 
 def parse_listings(pages: DataFrame, current_year: int) -> DataFrame:
@@ -185,15 +190,16 @@ def parse_listings(pages: DataFrame, current_year: int) -> DataFrame:
     the page's signals are used depends on the source.
     """
     src, url, html = F.col("source"), F.col("url"), F.col("html")
+    marked, shown = F.col("_marked"), F.col("_shown")
     classified = src == "craigslist"
-    staged = text.with_once(pages.where("kind = 'listing'"), {
-        "_node": F.when(~classified, jsonld.find_vehicle(jsonld.blocks(html))),
-        "_state": F.when(src == "cars_com", jsonld.page_state(html)),
-        "_cl": F.when(classified, classified_fields(url, html, current_year)),
+    staged = text.with_once(_shown(pages.where("kind = 'listing'")), {
+        "_node": F.when(~classified, jsonld.find_vehicle(jsonld.blocks(marked))),
+        "_state": F.when(src == "cars_com", jsonld.page_state(marked)),
+        "_cl": F.when(classified, classified_fields(url, shown, current_year)),
         "_head": F.when(
-            src == "cars_com", titles.page_title(page_heading(html), current_year)),
-        "_photos": F.when(src == "cars_com", gallery_images(html)),
-    })
+            src == "cars_com", titles.page_title(page_heading(shown), current_year)),
+        "_photos": F.when(src == "cars_com", gallery_images(shown)),
+    }).drop("_marked", "_shown")
     staged = text.with_once(staged, {
         "_ld": F.when(F.col("_node").isNotNull(), jsonld.vehicle_fields(
             F.col("_node"), current_year)),

@@ -214,6 +214,58 @@ def test_character_references_and_markup(evaluate):
     assert evaluate(html.unescape(v), [
         "caf&eacute; &#8217;x &amp;lt;", "&bogus; & &#x1F600; &#xD800; a&b;", "&&amp;&", "&#0;", None, ""]) == [
         "café ’x &lt;", "&bogus; & 😀 &#xD800; a&b;", "&&&", "&#0;", None, ""]
-    assert evaluate(html.inner_text(v), [
+    assert evaluate(html.inner_text(html.decoded(html.markup(v))), [
         "<p title='a>b'>x<!-- <b>no --><script>var a='</p>'</script> y&copy;</p>"]) == [
         "x y©"]
+
+
+def test_markup_that_is_easily_misread(evaluate):
+    from motorgrid.functions import html, jsonld
+
+    marked = html.markup(F.col("v"))
+    page = html.decoded(marked)
+    assert evaluate(html.inner_text(page), [
+        "I <3 this car. Great <b>runner</b> now", "a<!-->b<!-- - -- > -->c<!--d", "x <", "x</ y>z<?php 1 > 2?>",
+        "<p title='it's' class=a>one</p>", "<b>un<i>closed", "<script>a</script x>b<style>c", "<p a='", "<p x=y",
+        "2 < 3 & 4 > 1", "", None]) == [
+        "I <3 this car. Great runner now", "a b c", "x <", "x z 2?>", "one", "un closed", "b", "", "",
+        "2 < 3 & 4 > 1", "", None]
+    links = F.transform(html.tags(page, "a"), lambda t: html.attribute(t, "href"))
+    assert evaluate(links, [
+        '<!-- <a href="/no"> --><a title="a>b" href="/x">', "<a data-href=/n href=/caf&eacute; >",
+        """<A title='href="/no"' HREF = '/y'>""", '<a title="&quot; href=/no " href="/?a=1&amp;b=&#39;&#34;">', "<a href>", "<a\nhref=/z/>", "<abbr href=/no>"]) == [
+        ["/x"], ["/café"], ["/y"], ["/?a=1&b='\""], [None], ["/z/"], []]
+    body = F.transform(html.anchors(page), lambda a: html.inner_text(a["body"]))
+    assert evaluate(body, ["<a href=x>one<b> two</b><a href=y>three</a> four"]) == [["one two", "three"]]
+    nested = html.element(page, "div", lambda tag: html.attribute(tag, "id") == "in")
+    deep = "<div>" * 50 + "x" + "</div>" * 50
+    assert evaluate(html.inner_text(nested), [
+        f"<div>a</div><div id=in>{deep}y</div>z", "<div id='in'>open<div>b</div>c", "<div id=out>a</div>"]) == [
+        "x y", "open b c", None]
+    types = F.transform(jsonld.blocks(marked), lambda b: F.try_variant_get(b, '$["@type"]', "string"))
+    wrapped = '{"@graph": [[' * 10 + '{"@type": "Car"}, 3' + "]]}" * 10
+    script = "<script type='application/ld+json'>{}</script>"
+    assert evaluate(types, [
+        script.format(f'[{{"@type": "Offer"}}, {wrapped}, "text", null]') + "<!--" + script.format("{}") + "-->",
+        script.format('{"@graph": {"@type": "x"}, "@type": "Thing"}'), script.format("[[[]]]"), "none"]) == [
+        ["Offer", "Car"], ["Thing"], [], []]
+
+
+def test_long_markup_takes_linear_time(spark):
+    """A megabyte of what a backtracking or nesting pattern would choke on."""
+    import time
+
+    from motorgrid.functions import html
+
+    n = 2**20
+    pages = ["<" * n, "x <" + "y" * n, "<a " * (n // 3), "<a x=" + "y" * n, "<a x='" + "y<a " * (n // 4),
+             "<!--" * (n // 4), "<script>" * (n // 8), "</" * (n // 2), '="' * (n // 2), "<p>" * (n // 3),
+             "<a href=x>" * (n // 10), "<b" * (n // 2), "&" * n, "&amp;" * (n // 5)]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string").repartition(12)
+    marked = df.select("i", html.decoded(html.markup(F.col("html"))).alias("m"))
+    began = time.time()
+    rows = marked.select("i", F.length(html.inner_text(F.col("m"))).alias("n"), F.size(
+        html.tags(F.col("m"), "a")).alias("links")).collect()
+    assert time.time() - began < 60
+    found = {r.i: (r.n, r.links) for r in rows}
+    assert found[0] == (n, 0) and found[1] == (1, 0) and found[10] == (0, n // 10)
