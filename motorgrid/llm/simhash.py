@@ -31,6 +31,9 @@ SAMPLE = 65_536
 LEVELS = 6
 # Visits to one task; a fuller shard is cut into slices and every two slices meet in a task.
 TASK_ROWS = 2_000_000
+# Shingles of the sets that one task compares, cut in the same way.
+TASK_ITEMS = 8_000_000
+_PAIRS = 4096
 ROUTED_ROWS = 1 << 16
 # Bits of the first comparison of near copies, which spares pairs of the full reach.
 NEAREST = 8
@@ -123,39 +126,110 @@ def _nearest(reach: int) -> Callable:
     return run
 
 
-class _Pairs:
-    """All linked rows of unlike group whose set sizes allow ``similarity``, smaller node first."""
+class _Open:
+    """Rows that have a linked row of another group, of a size that allows ``similarity``."""
 
-    def __init__(self, shard: pa.Table, similarity: float) -> None:
-        self.node, self.group, self.size = (
-            shard.column(c).to_numpy() for c in ("node", "group", "size"))
-        self.similarity, self.found = similarity, [np.zeros((2, 0), np.int64)]
+    def __init__(self, group: np.ndarray, size: np.ndarray, similarity: float) -> None:
+        self.group, self.size, self.similarity = group, size, similarity
+        self.open = np.zeros(len(group), bool)
 
-    def link(self, left: np.ndarray, right: np.ndarray) -> None:
+    def _fitting(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         small = np.minimum(self.size[left], self.size[right])
         large = np.maximum(self.size[left], self.size[right])
-        open_ = (self.group[left] != self.group[right]) & (small >= self.similarity * large)
-        a, b = self.node[left[open_]], self.node[right[open_]]
-        self.found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+        fits = (self.group[left] != self.group[right]) & (small >= self.similarity * large)
+        return left[fits], right[fits]
+
+    def link(self, left: np.ndarray, right: np.ndarray) -> None:
+        for rows in self._fitting(left, right):
+            self.open[rows] = True
+
+
+class _Similar(_Open):
+    """Joins linked rows whose shingle sets are ``similarity`` alike; ``group`` is the class so far."""
+
+    def __init__(self, group: np.ndarray, size: np.ndarray, similarity: float,
+                 sets: pa.ListArray) -> None:
+        first, own = np.unique(group, return_index=True)[1], np.unique(group, return_inverse=True)[1]
+        super().__init__(first[own], size, similarity)
+        self.classes = Classes(len(size))
+        self.classes.label = self.group
+        # Numbers in place of hashes, so that a set can be marked in a table.
+        self.starts = sets.offsets.to_numpy()
+        self.items = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+        self.starts = self.starts - self.starts[0]
+        self.marks = np.zeros(int(self.items.max(initial=0)) + 1, bool)
+
+    def link(self, left: np.ndarray, right: np.ndarray) -> None:
+        left, right = self._fitting(left, right)
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], right[order]
+        cuts = np.flatnonzero(np.diff(left)) + 1
+        for row, others in zip(left[np.concatenate(([0], cuts))] if len(left) else (),
+                               np.split(right, cuts)):
+            # Pairs that an earlier link has joined meanwhile add nothing.
+            others = others[self.group[others] != self.group[row]]
+            if not len(others):
+                continue
+            own = self.items[self.starts[row]:self.starts[row + 1]]
+            self.marks[own] = True
+            for at in range(0, len(others), _PAIRS):
+                some = others[at:at + _PAIRS]
+                sizes = self.size[some]
+                spots = np.repeat(self.starts[some] - np.cumsum(sizes) + sizes, sizes)
+                hits = self.marks[self.items[spots + np.arange(len(spots))]]
+                both = np.add.reduceat(hits, np.cumsum(sizes) - sizes, dtype=np.int64)
+                alike = some[both >= self.similarity * (len(own) + sizes - both)]
+                self.classes.link(np.full(len(alike), row), alike)
+            self.marks[own] = False
+
+
+def _opener(reach: int, similarity: float) -> Callable:
+    """The visits of a shard that have a pair left to compare."""
+    def run(key: tuple, shard: pa.Table) -> pa.Table:
+        fp = shard.column("fp").to_numpy().view(np.uint64)
+        found = _Open(*(shard.column(c).to_numpy() for c in ("group", "size")), similarity)
+        search(fp, shard.column("guest").to_numpy(zero_copy_only=False), reach, found)
+        kept = shard.filter(pa.array(found.open)).select(["fp", "node", "group", "size", "guest"])
+        return kept.append_column("leaf", pa.array(np.full(len(kept), key[0].as_py(), np.int32)))
+
+    return run
 
 
-def _pairer(reach: int, similarity: float) -> Callable:
+def _joiner(reach: int, similarity: float) -> Callable:
+    """Links that join rows of a shard by comparing their sets, at most one per row."""
     def run(shard: pa.Table) -> pa.Table:
-        pairs = _Pairs(shard, similarity)
+        shard = shard.combine_chunks()
+        node = shard.column("node").to_numpy()
+        sets = shard.column("shingles").combine_chunks()
+        joined = _Similar(shard.column("group").to_numpy(), np.diff(sets.offsets.to_numpy()),
+                          similarity, sets)
+        before = joined.group.copy()
         search(shard.column("fp").to_numpy().view(np.uint64),
-               shard.column("guest").to_numpy(zero_copy_only=False), reach, pairs)
-        near, node = np.unique(np.concatenate(pairs.found, axis=1), axis=1)
-        return pa.table({"doc_id": node, "near": near})
+               shard.column("guest").to_numpy(zero_copy_only=False), reach, joined)
+        moved = np.flatnonzero(joined.group != before)
+        return pa.table({"src": node[moved], "dst": node[joined.group[moved]]})
 
     return run
 
 
-def unlinked_pairs(prints: DataFrame, reach: int, similarity: float, sample: int = SAMPLE,
-                   depth: int = LEVELS, task_rows: int = TASK_ROWS) -> DataFrame:
-    """(doc_id, near): every pair of ``prints`` (fp, node, group, size) within ``reach`` bits of unlike
-    group whose sizes allow ``similarity``; ``near`` is the smaller node."""
-    return _in_shards(prints, reach, sample, depth, task_rows, _pairer(reach, similarity),
-                      "doc_id long, near long").distinct()
+def similar_links(prints: DataFrame, sets: Callable[[DataFrame], DataFrame], reach: int,
+                  similarity: float, sample: int = SAMPLE, depth: int = LEVELS,
+                  task_rows: int = TASK_ROWS, task_items: int = TASK_ITEMS) -> DataFrame:
+    """Links (src, dst) that join, beyond their groups, all ``prints`` (fp, node, group, size) within
+    ``reach`` bits whose shingle sets are ``similarity`` alike.
+
+    A first search finds the visits to shards that have a pair of unlike groups whose sizes allow it.
+    Only these get their sets (``sets`` makes them for given nodes) and are searched again; pairs are
+    compared inside the task, which returns links that join classes and never a pair.
+    """
+    left = settle(_in_shards(
+        prints, reach, sample, depth, task_rows, _opener(reach, similarity),
+        "fp long, node long, group long, size long, guest boolean, leaf int").distinct(), "near-open")
+    whole = sets(left.select("node").distinct())
+    full = left.groupBy("leaf").agg(F.sum("size").alias("n")).where(F.col("n") > task_items).collect()
+    met = _in_slices(left, {r["leaf"]: -(-r["n"] // (task_items // 2)) for r in full})
+    return met.join(whole.hint("merge"), "node").groupBy("leaf", "_low", "_high").applyInArrow(
+        _joiner(reach, similarity), "src long, dst long")
 
 
 def links(prints: DataFrame, reach: int = REACH, sample: int = SAMPLE,
@@ -191,18 +265,21 @@ def _in_shards(prints: DataFrame, reach: int, sample: int, depth: int, task_rows
     visits = settle(prints.mapInArrow(
         _router(splits, depth, reach), f"{carried}, leaf int, guest boolean"), "visits")
     full = visits.groupBy("leaf").count().where(F.col("count") > task_rows).collect()
-    slices = prints.sparkSession.createDataFrame(
-        [(r["leaf"], -(-r["count"] // (task_rows // 2))) for r in full], "leaf int, slices long")
-    spread = visits.join(slices, "leaf", "left").withColumn(
-        "slices", F.coalesce("slices", F.lit(1).cast("long")))
-    own = F.pmod(F.xxhash64("fp"), F.col("slices"))
-    # Slice s meets every slice t in task (min, max); within one slice in task (s, s).
-    spread = spread.withColumn("_s", own).withColumn(
-        "_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    return spread.select(
-        *prints.columns, "guest", "leaf", F.least("_s", "_t").alias("_low"),
-        F.greatest("_s", "_t").alias("_high"),
-    ).groupBy("leaf", "_low", "_high").applyInArrow(work, schema)
+    spread = _in_slices(visits, {r["leaf"]: -(-r["count"] // (task_rows // 2)) for r in full})
+    return spread.select(*prints.columns, "guest", "leaf", "_low", "_high").groupBy(
+        "leaf", "_low", "_high").applyInArrow(work, schema)
+
+
+def _in_slices(visits: DataFrame, slices: dict[int, int]) -> DataFrame:
+    """``visits`` with ``_low`` and ``_high``: the rows of slice s meet those of every slice t in task
+    (min, max), and each other in (s, s). Shards without an entry are one slice."""
+    counts = visits.sparkSession.createDataFrame(list(slices.items()), "leaf int, _slices long")
+    spread = visits.join(counts, "leaf", "left").withColumn(
+        "_slices", F.coalesce("_slices", F.lit(1).cast("long")))
+    spread = spread.withColumn("_s", F.pmod(F.xxhash64("fp"), F.col("_slices"))).withColumn(
+        "_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1)))
+    return spread.select(*visits.columns, F.least("_s", "_t").alias("_low"),
+                         F.greatest("_s", "_t").alias("_high"))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, reach: int = REACH) -> DataFrame:
@@ -255,16 +332,16 @@ def _set_prints(words: int, whole: bool) -> Callable:
 
 
 def near_copies(docs: DataFrame, words: int, reach: int, similarity: float,
-                every_pair: bool = False) -> DataFrame:
+                every_pair: bool = False, task_items: int = TASK_ITEMS) -> DataFrame:
     """(doc_id, keep_id) of documents to drop: each is linked to one that stays by similar texts.
 
     With ``every_pair`` all pairs of documents whose fingerprints differ in at most ``reach`` bits are
     linked if their shingle sets have a Jaccard similarity of ``similarity`` or more; of each group
     that links connect the smallest doc_id stays. Equal sets are one node. Each node is first compared
     with its nearest smaller one within NEAREST bits; then all pairs that those links do not connect
-    already are, so a group of copies costs about a link each. Of several texts of one doc_id one
-    decides. Without ``every_pair`` a node is compared with its nearest smaller one only, which misses
-    similar pairs.
+    already are (see ``similar_links``), so a group of copies costs about a link each. Of several texts
+    of one doc_id one decides. Without ``every_pair`` a node is compared with its nearest smaller one
+    only, which misses similar pairs.
     """
     texts = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
@@ -276,13 +353,16 @@ def near_copies(docs: DataFrame, words: int, reach: int, similarity: float,
         "near-nodes")
     equal = prints.join(nodes.select("sig", "node").hint("merge"), "sig").where("doc_id <> node").select(
         F.col("doc_id").alias("src"), F.col("node").alias("dst"))
-    def alike(pairs: DataFrame) -> DataFrame:
-        # Only the sets that these pairs need are made and written.
-        wanted = settle(pairs.select("doc_id").unionByName(
-            pairs.select(F.col("near").alias("doc_id"))).distinct(), "near-wanted")
-        sets = settle(texts.join(wanted.hint("merge"), "doc_id").mapInArrow(
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        # Only the sets that are needed are made and written.
+        return settle(texts.join(wanted.hint("merge"), "doc_id").mapInArrow(
             _set_prints(words, True), "doc_id long, sig binary, shingles array<long>").groupBy(
             "doc_id").agg(F.max_by("shingles", "sig").alias("shingles")), "near-sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(settle(pairs.select("doc_id").unionByName(
+            pairs.select(F.col("near").alias("doc_id"))).distinct(), "near-wanted"))
         theirs = sets.select(F.col("doc_id").alias("near"), F.col("shingles").alias("_theirs"))
         # Many copies may point at one document: AQE splits their side of this join.
         met = pairs.join(sets.hint("merge"), "doc_id").join(theirs.hint("merge"), "near")
@@ -296,19 +376,17 @@ def near_copies(docs: DataFrame, words: int, reach: int, similarity: float,
         F.col("node").alias("doc_id"), "near"), "near-pairs")
     found = alike(near)
     if every_pair:
-        found = found.unionByName(alike(_unlinked(nodes, found, reach, similarity)))
+        groups = components(found).select("node", F.col("component").alias("group"))
+        grouped = settle(nodes.join(groups.hint("merge"), "node", "left").select(
+            "fp", "node", F.coalesce("group", "node").alias("group"), "size"), "near-groups")
+        rest = similar_links(
+            grouped, lambda wanted: sets_of(wanted.select(F.col("node").alias("doc_id"))).select(
+                F.col("doc_id").alias("node"), "shingles"), reach, similarity, task_items=task_items)
+        found = found.unionByName(settle(rest, "near-rest"))
     return components(found.unionByName(equal)).where("node <> component").select(
         F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
 
 
-def _unlinked(nodes: DataFrame, found: DataFrame, reach: int, similarity: float) -> DataFrame:
-    """``unlinked_pairs`` of ``nodes`` (fp, node, size) whose groups are those that ``found`` connects."""
-    groups = components(found).select("node", F.col("component").alias("group"))
-    grouped = settle(nodes.join(groups.hint("merge"), "node", "left").select(
-        "fp", "node", F.coalesce("group", "node").alias("group"), "size"), "near-groups")
-    return settle(unlinked_pairs(grouped, reach, similarity), "near-rest")
-
-
 def drop_near_copies(docs: DataFrame, words: int, reach: int, similarity: float,
                      every_pair: bool = False) -> DataFrame:
     """``docs`` without the near copies of documents that stay, see ``near_copies``.

@@ -189,7 +189,8 @@ def test_near_groups(spark):
     assert 45 < len(stays) < 80
 
 
-def test_near_copies_are_all_similar_pairs(spark):
+@pytest.mark.parametrize("task_items", [simhash.TASK_ITEMS, 3000])
+def test_near_copies_are_all_similar_pairs(spark, task_items):
     rng = random.Random(12)
     rows = []
     for _ in range(6):
@@ -208,7 +209,8 @@ def test_near_copies_are_all_similar_pairs(spark):
                 if len(a & b) >= 0.8 * len(a | b):
                     low[i] = min(low[i], low[j])
     docs = spark.createDataFrame([(*r, 0, "a") for r in rows], SCHEMA)
-    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_copies(docs, 5, 24, 0.8, every_pair=True).collect()}
+    found = simhash.near_copies(docs, 5, 24, 0.8, every_pair=True, task_items=task_items)
+    got = {r["doc_id"]: r["keep_id"] for r in found.collect()}
     assert got == {d: k for (d, _), k in zip(rows, low) if d != k}
     # The nearest smaller fingerprint alone, as before, misses some.
     assert len(staying(rows, 5, 24, 0.8)) > len(rows) - len(got)
