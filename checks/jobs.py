@@ -71,17 +71,40 @@ def _(spark, sf):
     return _voted(live.smooth_predictions(predictions(spark, sf), block_rows=16))
 
 
+_BATCHES, _FILES_EACH = 4, 4
+
+
+def _in_batches(df, by, folder):
+    """``df`` as a stream of four micro-batches that follow the order of ``by`` (a number)."""
+    cuts = df.select(by.alias("v")).approxQuantile("v", [0.25, 0.5, 0.75], 0.01)
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + (by > cut).cast("int")
+    for i in range(_BATCHES):
+        # As many files for every batch, one batch after the other: a stream reads them in this order.
+        df.where(part == i).repartition(_FILES_EACH).write.parquet(f"{folder}/in/{i}")
+    return streams.read_stream(df.sparkSession, f"{folder}/in", df, files_per_batch=_FILES_EACH)
+
+
+def _all_batches(query):
+    """The finished query, which must have read four batches or more."""
+    query.awaitTermination()
+    batches = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+    if len(batches) < _BATCHES:
+        raise AssertionError(f"{len(batches)} micro-batches")
+
+
 @query("smooth_predictions_stream", f"SELECT * FROM {_SMOOTHED}")
 def _(spark, sf):
     folder = _scratch(spark, "smooth")
-    raw = streams.read_stream(spark, sf, table(spark, sf, "events"), "events.parquet")
+    raw = _in_batches(table(spark, sf, "events"), F.unix_micros(F.col("ts").cast("timestamp")), folder)
     rows = raw.select(
         F.col("user_id").alias("slot"), "ts", F.col("event_id").alias("seq"),
         pick(_LABELS, F.col("event_id") % 4).alias("label"),
         F.concat(F.lit("c"), F.col("event_id") % 4).alias("class_id"),
         (F.floor(F.col("value")) / 128.0).alias("confidence"))
-    streams.smooth_stream(rows, folder).awaitTermination()
-    return _voted(spark.read.parquet(f"{folder}/out"))
+    _all_batches(streams.smooth_stream(rows, folder))
+    return _voted(streams.smoothed_rows(spark, folder))
 
 
 _KINDS = ("car", "truck", "bird", "bus", "motorcycle")
@@ -165,18 +188,17 @@ def _(spark, sf):
 @query("queue_fold_stream", f"SELECT * FROM {_FOLDED}")
 def _(spark, sf):
     folder = _scratch(spark, "fold")
-    raw = streams.read_stream(spark, sf, table(spark, sf, "events"), "events.parquet")
-    done = streams.queue_stream(queue_events(raw), folder, start_queue(spark, sf))
-    done.awaitTermination()
-    return _state(streams.latest_state(spark, folder, done))
+    raw = _in_batches(table(spark, sf, "events"), F.unix_micros(F.col("ts").cast("timestamp")), folder)
+    _all_batches(streams.queue_stream(queue_events(raw), folder, start_queue(spark, sf)))
+    return _state(streams.latest_state(spark, folder))
 
 
 @query("ingest_dedupe_stream", "SELECT sha256(text) AS digest, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def _(spark, sf):
     folder = _scratch(spark, "ingest")
-    raw = streams.read_stream(spark, sf, table(spark, sf, "documents"), "documents.parquet")
+    raw = _in_batches(table(spark, sf, "documents"), F.col("doc_id"), folder)
     rows = raw.select(F.sha2("text", 256).alias("digest"), "doc_id")
-    streams.ingest_stream(rows, folder, "digest", ["doc_id"]).awaitTermination()
+    _all_batches(streams.ingest_stream(rows, folder, "digest", ["doc_id"]))
     return spark.read.parquet(f"{folder}/out").select("digest", "doc_id")
 
 

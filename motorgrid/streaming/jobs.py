@@ -1,24 +1,26 @@
 """Streaming forms of smoothing, queue folding and ingest dedupe.
 
-The first two keep their state as versioned Parquet snapshots in a shared folder and reuse the
-batch operators per micro-batch, so a slot or URL with a third of the rows is split over tasks
-just as in batch. Batch ``n`` reads version ``n-1`` and overwrites version ``n``: a replayed batch
-gives the same files, which makes the jobs exactly-once. Rows must arrive in event order between
-batches; inside a batch any order will do.
+Each job keeps a keyed state (``streaming.state``) and appends its rows to Parquet files under
+``folder/out`` by Spark's file sink, which a replayed batch does not double. What a batch costs depends
+on the keys in it, not on the history. Rows must arrive in event order between batches; inside a batch
+any order will do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from motorgrid import constants as K
-from motorgrid.operators.crawlqueue import fold_events
-from motorgrid.operators.live import smooth_predictions
-from motorgrid.operators.lookups import insert_new
+from motorgrid.operators.live import mode_vote
+from motorgrid.streaming.state import FirstRow, QueueRow, RecentPredictions, keyed
+
+_NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+# Slots that say nothing for so long start anew.
+SLOT_TTL_MS = 24 * 3600 * 1000
 
 
 def read_stream(spark: SparkSession, directory: str, like: DataFrame, name: str = "*.parquet",
@@ -26,62 +28,97 @@ def read_stream(spark: SparkSession, directory: str, like: DataFrame, name: str
     """Parquet files of a folder as a stream with the schema of ``like``."""
     return (
         spark.readStream.schema(like.schema).option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(directory)
+        .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
+        .parquet(directory)
     )
 
 
-def _version(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    return spark.read.parquet(f"{folder}/state/v={batch_id}") if batch_id >= 0 else None
-
-
-def _run(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None],
-         continuous: str | None) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(handle).option(
+def _run(rows: DataFrame, folder: str, continuous: str | None, *by: str) -> StreamingQuery:
+    # A clock calls for batches without rows, for timers that no job here sets: they would never end.
+    conf = rows.sparkSession.conf
+    usual = conf.get(_NO_DATA)
+    conf.set(_NO_DATA, "false")
+    writer = rows.writeStream.format("parquet").option("path", f"{folder}/out").option(
         "checkpointLocation", f"{folder}/offsets")
+    if by:
+        writer = writer.partitionBy(*by)
     writer = writer.trigger(processingTime=continuous) if continuous \
         else writer.trigger(availableNow=True)
-    return writer.start()
+    try:
+        return writer.start()
+    finally:
+        conf.set(_NO_DATA, usual)
 
 
 def smooth_stream(stream: DataFrame, folder: str, window: int = K.SMOOTHING_WINDOW,
-                  continuous: str | None = None) -> StreamingQuery:
-    """Votes per input row under ``folder/out``; state is the last rows of every slot."""
+                  continuous: str | None = None, ttl_ms: int | None = SLOT_TTL_MS) -> StreamingQuery:
+    """Votes per input row under ``folder/out/late=false``.
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("_new", F.lit(True))
-        held = _version(spark, folder, batch_id - 1)
-        if held is not None:
-            rows = rows.unionByName(held.withColumn("_new", F.lit(False)))
-        voted = smooth_predictions(rows, window)
-        voted.where("_new").drop("_new").write.mode("overwrite").parquet(
-            f"{folder}/out/v={batch_id}")
-        latest = Window.partitionBy("slot").orderBy(F.col("ts").desc(), F.col("seq").desc())
-        tail = rows.drop("_new").withColumn("_rn", F.row_number().over(latest)).where(
-            F.col("_rn") <= window - 1).drop("_rn")
-        tail.write.mode("overwrite").parquet(f"{folder}/state/v={batch_id}")
+    Rows that come after later ones of their slot, in a later batch, are the side output: they stand
+    without a vote under ``folder/out/late=true``. The state is the last rows of every slot.
+    """
+    names = stream.columns
+    schema = T.StructType([*stream.schema.fields, T.StructField("late", T.BooleanType())]).add(
+        "history", T.ArrayType(T.StructType().add("label", "string").add("class_id", "string").add(
+            "confidence", "double")))
+    held = keyed(stream.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))), "slot",
+                 RecentPredictions(window, ttl_ms), schema, expires=ttl_ms is not None)
+    vote = F.when(~F.col("late"), mode_vote(F.col("history")))
+    voted = held.withColumn("_vote", vote).select(
+        *names, F.col("_vote.label").alias("smoothed_label"),
+        F.col("_vote.class_id").alias("smoothed_class_id"),
+        F.col("_vote.confidence").alias("smoothed_confidence"), "late")
+    return _run(voted, folder, continuous, "late")
 
-    return _run(stream, folder, handle, continuous)
 
+def smoothed_rows(spark: SparkSession, folder: str, late: bool = False) -> DataFrame:
+    """The rows that ``smooth_stream`` wrote: those with votes, or the late ones."""
+    return spark.read.parquet(f"{folder}/out").where(F.col("late") == late).drop("late")
 
-def queue_stream(stream: DataFrame, folder: str, start: DataFrame,
-                 continuous: str | None = None) -> StreamingQuery:
-    """Queue snapshot after every batch of events; ``start`` is the queue before the first."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        held = _version(batch.sparkSession, folder, batch_id - 1)
-        fold_events(start if held is None else held, batch).write.mode("overwrite").parquet(
-            f"{folder}/state/v={batch_id}")
 
-    return _run(stream, folder, handle, continuous)
+def _micros(name: str) -> Column:
+    return F.timestamp_micros(F.col(name))
 
 
-def latest_state(spark: SparkSession, folder: str, query: StreamingQuery) -> DataFrame:
-    """Last snapshot a finished query wrote."""
-    versions = spark.read.parquet(f"{folder}/state").agg(F.max("v")).first()[0]
-    if query.isActive:
+def queue_stream(stream: DataFrame, folder: str, start: DataFrame,
+                 continuous: str | None = None) -> StreamingQuery:
+    """The queue rows that a batch of events changed, under ``folder/out``.
+
+    ``start`` is the queue before the first event; it is written to ``folder/start`` once and ignored
+    when the job is started again. ``latest_state`` makes the queue out of both.
+    """
+    spark = stream.sparkSession
+    try:
+        start = spark.read.parquet(f"{folder}/start")
+    except AnalysisException:
+        start.write.parquet(f"{folder}/start")
+        start = spark.read.parquet(f"{folder}/start")
+    first = start.select(
+        "url", "source", "kind", "status", "attempts", "last_error",
+        F.unix_micros("next_try_at").alias("next_us"), F.unix_micros("enqueued_at").alias("enqueued_us"),
+        F.unix_micros("claimed_at").alias("claimed_us"), F.lit(0).cast("bigint").alias("changes"))
+    events = stream.select("url", "source", "kind", "action", "error", F.unix_micros(
+        F.col("ts").cast("timestamp")).alias("us"), "seq")
+    changed = keyed(events, "url", QueueRow(), f"url string, {QueueRow.SCHEMA}", first)
+    return _run(changed, folder, continuous)
+
+
+def latest_state(spark: SparkSession, folder: str, query: StreamingQuery | None = None) -> DataFrame:
+    """The queue after the batches so far: the start, and the last change of every changed URL."""
+    if query is not None and query.isActive:
         raise RuntimeError("the query is still running")
-    return spark.read.parquet(f"{folder}/state/v={versions}")
+    start = spark.read.parquet(f"{folder}/start")
+    changes = spark.read.schema(f"url string, {QueueRow.SCHEMA}").parquet(f"{folder}/out")
+    last = changes.groupBy("url").agg(F.max_by(
+        F.struct(*[c for c in changes.columns if c != "url"]), "changes").alias("_c"))
+    moved = {
+        **{c: F.col(f"_c.{c}") for c in ("source", "kind", "status", "attempts", "last_error")},
+        "next_try_at": _micros("_c.next_us"), "enqueued_at": _micros("_c.enqueued_us"),
+        "claimed_at": _micros("_c.claimed_us")}
+    joined = start.join(last, "url", "full_outer")
+    return joined.select(*[
+        F.when(F.col("_c").isNotNull(), moved[c]).otherwise(F.col(c)).alias(c) if c in moved
+        else F.col(c) for c in start.columns])
 
 
 def dedupe_within(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
@@ -91,13 +128,6 @@ def dedupe_within(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame
 
 def ingest_stream(stream: DataFrame, folder: str, key: str, order: list[str],
                   continuous: str | None = None) -> StreamingQuery:
-    """Exact dedupe against everything written before, under ``folder/out``."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        known = batch.limit(0)
-        if batch_id:
-            # Versions from this batch on are left-overs of a replay.
-            known = batch.sparkSession.read.parquet(f"{folder}/out").where(F.col("v") < batch_id)
-        insert_new(known.select(key), batch, key, order).write.mode("overwrite").parquet(
-            f"{folder}/out/v={batch_id}")
-
-    return _run(stream, folder, handle, continuous)
+    """Exact dedupe over all batches, under ``folder/out``: of each key the first row by ``order`` of
+    the first batch that has it. The state is the set of keys; a batch asks it for its own keys only."""
+    return _run(keyed(stream, key, FirstRow(order), stream.schema), folder, continuous)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motorgrid.operators import crawlqueue, live
+from motorgrid.operators.skew import cut_by_ranges
 from motorgrid.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -121,7 +122,61 @@ def test_smoothing_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(PRED).option("recursiveFileLookup", True).option(
         "maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     jobs.smooth_stream(stream, str(tmp_path / "out")).awaitTermination()
-    assert _votes(spark.read.parquet(str(tmp_path / "out" / "out"))) == _vote_by_hand(rows)
+    assert _votes(jobs.smoothed_rows(spark, str(tmp_path / "out"))) == _vote_by_hand(rows)
+
+
+def _stream_of(spark, folder, batches, schema):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    return jobs.read_stream(spark, f"{folder}/in", spark.createDataFrame([], schema), files_per_batch=1)
+
+
+def test_late_predictions_go_to_the_side(spark, tmp_path):
+    def row(seq, label, second):
+        return ("s", T0 + timedelta(seconds=second), seq, label, "c" + label, 0.5)
+
+    batches = [[row(1, "a", 10), row(2, "b", 11)], [row(3, "a", 5), row(4, "a", 12), row(5, "b", 11)],
+               [row(6, "b", 13)], [("other", T0, 7, "x", "cx", 0.5)]]
+    stream = _stream_of(spark, tmp_path, batches, PRED)
+    jobs.smooth_stream(stream, str(tmp_path), ttl_ms=None).awaitTermination()
+    assert {r.seq for r in jobs.smoothed_rows(spark, str(tmp_path), late=True).collect()} == {3}
+    on_time = [r for b in batches for r in b if r[2] != 3]
+    assert _votes(jobs.smoothed_rows(spark, str(tmp_path))) == _vote_by_hand(on_time)
+
+
+def _state_bytes(folder):
+    return {str(p): p.stat().st_size for p in (folder / "offsets" / "state").rglob("*") if p.is_file()}
+
+
+def test_a_batch_writes_its_own_keys_only(spark, tmp_path):
+    """After 20,000 keys in the first batch, a batch of two keys adds few rows and few bytes of state."""
+    many = [(f"k{i}", i) for i in range(20_000)]
+    schema = "k string, n int"
+    stream = _stream_of(spark, tmp_path, [many, [("k5", -1), ("new", 1)]], schema)
+    jobs.ingest_stream(stream, str(tmp_path), "k", ["n"]).awaitTermination()
+    before = _state_bytes(tmp_path)
+    spark.createDataFrame([("new", 0), ("newer", 2), ("k7", -9)], schema).coalesce(1).write.parquet(
+        f"{tmp_path}/in/2")
+    again = jobs.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema), files_per_batch=1)
+    done = jobs.ingest_stream(again, str(tmp_path), "k", ["n"])
+    done.awaitTermination()
+    assert [p["numInputRows"] for p in done.recentProgress if p["numInputRows"]] == [3]
+    added = {p: n for p, n in _state_bytes(tmp_path).items() if p not in before}
+    assert sum(n for p, n in added.items() if p.endswith(".changelog")) < 20_000
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.count() == 20_002 and rows.where("n < 0").count() == 0
+
+
+def test_queue_stream_writes_touched_urls_only(spark, tmp_path):
+    start = _start(spark, [f"u{i}" for i in range(50)])
+    events = [(f"u{i}", "bat", "listing", "failed", "e", T0 + timedelta(hours=i), i) for i in range(4)]
+    stream = _stream_of(spark, tmp_path, [[e] for e in events], EVENTS)
+    jobs.queue_stream(stream, str(tmp_path), start).awaitTermination()
+    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [
+        "u0", "u1", "u2", "u3"]
+    left = jobs.latest_state(spark, str(tmp_path))
+    assert left.columns == start.columns and left.count() == 50
+    assert left.where("attempts = 1").count() == 4 and left.where("status = 'failed'").count() == 4
 
 
 def test_ingest_stream_across_batches(spark, tmp_path):
@@ -135,6 +190,27 @@ def test_ingest_stream_across_batches(spark, tmp_path):
     assert sorted((r.k, r.n) for r in got) == [("a", 0), ("b", 1), ("c", 11), ("d", 21)]
 
 
+def test_a_busy_second_is_dealt_out_evenly(spark):
+    """All rows of one slot at one time: ranges of like size, and the votes of one history."""
+    rows = spark.range(40_000).select(
+        F.lit("s").alias("slot"), F.lit(T0).alias("ts"), F.col("id").alias("seq"),
+        F.concat(F.lit("l"), F.pmod(F.hash("id"), F.lit(3))).alias("label"), F.lit("c").alias("class_id"),
+        F.lit(0.5).alias("confidence"))
+    # Spark would merge ranges as small as these.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = cut_by_ranges(rows, ["slot"], ["ts", "seq"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    pieces = [r["count"] for r in ranged.groupBy("_piece").count().collect()]
+    assert len(pieces) > 1 and max(pieces) < 3 * 40_000 / len(pieces)
+    got = {r.seq: r.smoothed_label for r in live.smooth_predictions(rows, block_rows=5000).collect()}
+    labels = [r.label for r in rows.orderBy("seq").collect()]
+    for i in (0, 5, 4999, 5000, 5001, 39_999):
+        last = labels[max(0, i - 7):i + 1]
+        assert got[i] == min(set(last), key=lambda x: (-last.count(x), x))
+
+
 def test_detection(spark):
     rows = [(1, 1, "car", 0.5, 2.0, 2.0), (1, 2, "truck", 0.9, 3.0, 1.0), (1, 3, "bird", 1.0, 9.0, 9.0),
             (2, 4, "bus", 0.14, 9.0, 9.0), (3, 6, "car", 0.15, 1.0, 1.0), (3, 5, "car", 0.15, 1.0, 1.0)]
