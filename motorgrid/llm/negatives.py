@@ -27,7 +27,7 @@ CLUSTERS = 4
 # Anchors that the centres are fitted on; the centres decide only how early a walk ends.
 SAMPLE = 4096
 # Anchors that one pass over a list serves, and scores held at once.
-GROUP = 1024
+GROUP = 512
 _CELLS = 1 << 20
 # Components are held as 32-bit integers; larger ones count as the largest.
 _LARGEST = 2**31 - 1
@@ -268,8 +268,11 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     groups = F.lit(1)
     for r in sizes:
         groups = F.when(F.col("cluster") == r["cluster"], F.lit(int(r["n"]))).otherwise(groups)
-    return assigned.withColumn("_group", F.pmod(F.xxhash64("vec_id"), groups)).groupBy(
-        "cluster", "_group").applyInArrow(
+    # A partition per group: groups are small in bytes, so Spark would merge them, but each of them
+    # walks a whole list.
+    grouped = assigned.withColumn("_group", F.pmod(F.xxhash64("vec_id"), groups)).repartitionByRange(
+        int(sum(r["n"] for r in sizes)), "cluster", "_group")
+    return grouped.groupBy("cluster", "_group").applyInArrow(
         _miner(_uri(path), width, positives, negatives, low, high), _RESULT)
 
 
