@@ -3,6 +3,7 @@
 The writer stores one gzip member per record. The reader checks every member (its gzip checksum, the
 record's framing, block and payload digests). After a failed check it searches for the next member or
 version line that starts a valid record, goes on from there, and reports the bytes in between as a gap.
+Members of many records are searched in the same way, in their unpacked bytes, as a stream.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ FILE_BYTES = 32 * 2**20
 MAX_RECORD = 2**30
 _HEAD = 1 << 16
 _STEP = 1 << 18
+_PIECE = 1 << 14
+_MAGIC = b"\x1f\x8b\x08"
+_VERSION = re.compile(rb"WARC/1\.")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
@@ -83,6 +87,7 @@ class Record:
     headers: dict[str, str] = field(default_factory=dict)
     payload: bytes = b""
     payload_bytes: int = 0
+    checked: bool = False
 
 
 class Source:
@@ -102,122 +107,197 @@ class Source:
                 self.block = self.file.read(max(n, _STEP))
         return self.block[skip:skip + n]
 
+    def release(self, pos: int) -> None:
+        """Bytes before ``pos`` are not asked for again."""
 
-def parse_record(data: bytes, offset: int, length: int | None = None) -> tuple[Record, int]:
-    """The record at the start of ``data`` and its size there; Bad if any check fails."""
-    cut = data.find(b"\r\n\r\n", 0, _HEAD)
-    if not data.startswith(b"WARC/1.") or cut < 0:
-        raise Bad("no record header")
-    headers = {}
-    for line in data[:cut].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
+
+class Member:
+    """Unpacked bytes of the gzip member at ``start``, read forwards; what is released is forgotten.
+
+    ``size`` is known at the end: then ``reason`` says what is wrong with the member (None if its
+    checksum holds) and ``next`` where it ends in the file. From ``careful`` on, the position before
+    the piece that an earlier attempt failed on, input is taken byte by byte, so that all that can
+    be unpacked before the damage is.
+    """
+
+    def __init__(self, source: Source, start: int, careful: int | None = None) -> None:
+        self.source, self.next, self.careful = source, start, careful
+        self.unpack = zlib.decompressobj(31)
+        self.low, self.held = 0, bytearray()
+        self.size: int | None = None
+        self.reason: str | None = None
+
+    def more(self) -> None:
+        data = self.unpack.unconsumed_tail
+        if not data:
+            step = _PIECE
+            if self.careful is not None:
+                step = max(1, min(step, self.careful - self.next))
+            data = self.source.at(self.next, step)
+            self.next += len(data)
+        try:
+            out = self.unpack.decompress(data, _STEP)
+        except zlib.error:
+            self.careful = self.next - len(data)
+            return self._close("damaged member")
+        self.held += out
+        if self.unpack.eof:
+            self.next -= len(self.unpack.unused_data)
+            self._close(None)
+        elif not data and not out:
+            self._close("truncated member")
+
+    def _close(self, reason: str | None) -> None:
+        self.reason, self.size = reason, self.low + len(self.held)
+
+    def at(self, pos: int, n: int) -> bytes:
+        while self.size is None and self.low + len(self.held) < pos + n:
+            self.more()
+        with memoryview(self.held) as view:
+            return bytes(view[pos - self.low:pos - self.low + n])
+
+    def release(self, pos: int) -> None:
+        del self.held[:pos - self.low]
+        self.low = pos
+
+
+def _headers(source: Source | Member, pos: int) -> tuple[dict[str, str], int]:
+    """Fields of the record header at ``pos``, of any length, and where its block begins."""
+    size, data, cut = _HEAD, b"", -1
+    while cut < 0:
+        data = source.at(pos, size)
+        cut = data.find(b"\r\n\r\n")
+        lines = data[:cut if cut >= 0 else data.rfind(b"\r\n") + 1].split(b"\r\n")
+        if not data.startswith(b"WARC/1.") or (cut < 0 and len(data) < size):
+            raise Bad("no record header")
+        if any(b":" not in line for line in lines[1:] if cut >= 0 or line.strip()):
             raise Bad("malformed header line")
+        if cut < 0 and size > MAX_RECORD:
+            raise Bad("record too long")
+        size *= 2
+    headers = {}
+    for line in lines[1:]:
+        name, _, value = line.partition(b":")
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    size = headers.get("content-length", "")
-    if not (size.isascii() and size.isdigit()):
+    return headers, pos + cut + 4
+
+
+def read_record(source: Source | Member, pos: int) -> tuple[Record, int]:
+    """The record at ``pos`` and where it ends; Bad if any check fails."""
+    headers, start = _headers(source, pos)
+    told = headers.get("content-length", "")
+    if not (told.isascii() and told.isdigit()):
         raise Bad("no content length")
-    end = cut + 4 + int(size)
-    if data[end:end + 4] != b"\r\n\r\n":
+    size = int(told)
+    if size > MAX_RECORD:
+        raise Bad("record too long")
+    end = start + size + 4
+    data = source.at(start, size + 4) if source.size is None or end <= source.size else b""
+    if data[size:] != b"\r\n\r\n":
         raise Bad("block does not end where its length says")
-    end += 4
-    block = data[cut + 4:end - 4]
+    block = data[:size]
     head, blank, payload = block.partition(b"\r\n\r\n")
     if not headers.get("content-type", "").startswith("application/http") or not blank:
         head, payload = b"", block
     kind = headers.get("warc-type", "")
-    if headers.get("warc-block-digest", base32_sha1(block)) != base32_sha1(block):
-        raise Bad("block digest differs", offset + end)
+    whole, part = (headers.get(f"warc-{n}-digest") for n in ("block", "payload"))
+    if whole is not None and whole != base32_sha1(block):
+        raise Bad("block digest differs", end)
     count = len(payload)
     if kind == "revisit":
         told = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", head)
-        count = int(told[1]) if told else 0
-    elif headers.get("warc-payload-digest", base32_sha1(payload)) != base32_sha1(payload):
-        raise Bad("payload digest differs", offset + end)
-    return Record(offset, length or end, headers, payload, count), end
+        count, part = int(told[1]) if told else 0, None
+    elif part is not None and part != base32_sha1(payload):
+        raise Bad("payload digest differs", end)
+    return Record(pos, end - pos, headers, payload, count, whole is not None), end
 
 
-def _gzip_records(source: Source, pos: int) -> tuple[list[Record], int]:
-    unpack = zlib.decompressobj(31)
-    out, total, at = [], 0, pos
-    while not unpack.eof:
-        data = source.at(at, 1 << 14)
-        if not data:
-            raise Bad("truncated member")
-        try:
-            out.append(unpack.decompress(data))
-        except zlib.error:
-            raise Bad("damaged member") from None
-        at += len(data)
-        total += len(out[-1])
-        if total > MAX_RECORD:
-            raise Bad("record too long")
-    end = at - len(unpack.unused_data)
-    data, found, start = b"".join(out), [], 0
-    while start < len(data) or not found:
-        try:
-            got, size = parse_record(data[start:] if start else data, pos, end - pos)
-        except Bad as bad:
-            raise Bad(bad.reason, end) from None
-        found.append(got)
-        start += size
-    return found, end
-
-
-def _plain_record(source: Source, pos: int) -> tuple[list[Record], int]:
-    head = source.at(pos, _HEAD)
-    told = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*\r\n", head)
-    cut = head.find(b"\r\n\r\n")
-    if cut < 0 or not told:
-        raise Bad("no record header")
-    size = cut + 8 + int(told[1])
-    if size > MAX_RECORD or pos + size > source.size:
-        raise Bad("block does not end where its length says")
-    got, end = parse_record(source.at(pos, size), pos)
-    return [got], pos + end
+Gap = tuple[int, int, str] | tuple[int, int, str, int, int]
 
 
-def salvage(source: Source) -> Iterator[Record | tuple[int, int, str]]:
-    """Records of a file in order, and (offset, length, reason) of the bytes given up."""
-    pos, gap, reason = 0, None, ""
-    while pos < source.size:
-        start = source.at(pos, 3)
-        try:
-            if start == b"\x1f\x8b\x08":
-                found, end = _gzip_records(source, pos)
-            elif start == b"WAR":
-                found, end = _plain_record(source, pos)
-            else:
-                raise Bad("no member or version line")
-        except Bad as bad:
-            if gap is None:
-                gap, reason = pos, bad.reason
-            if bad.end is not None:
-                pos = bad.end
-                yield gap, pos - gap, reason
-                gap = None
-                continue
-            pos = _next_start(source, pos + 1)
+def _in_member(source: Source, pos: int
+               ) -> tuple[Iterator[Record | Gap], int | None, str | None]:
+    """Records and gaps of the gzip member at ``pos``, its end and what is wrong with it.
+
+    The member is unpacked once to learn that, and a second time for its records unless it was short
+    enough to be kept. Of a damaged member only records count whose block digest holds.
+    """
+    member, whole = Member(source, pos), True
+    while member.size is None:
+        member.more()
+        if len(member.held) > _STEP:
+            member.release(member.low + len(member.held))
+            whole = False
+    end, reason = (None if member.reason else member.next), member.reason
+    unpacked = member.size
+    if reason or not whole:
+        member = Member(source, pos, member.careful if reason else None)
+
+    def items() -> Iterator[Record | Gap]:
+        length = 0 if end is None else end - pos
+        for item in _walk(member, False):
+            if isinstance(item, Record):
+                if reason is None or (item.checked and member.at(item.offset + item.length, 1)):
+                    item.offset, item.length = pos, length
+                    yield item
+            elif reason is None:
+                yield pos, length, item[2], *item[:2]
+        if not unpacked and reason is None:
+            yield pos, length, "empty member", 0, 0
+
+    return items(), end, reason
+
+
+def _walk(source: Source | Member, members: bool) -> Iterator[Record | Gap]:
+    pos, gap, told = 0, None, ""
+    while start := source.at(pos, 3):
+        source.release(pos)
+        items, end, reason = iter(()), None, "no member or version line"
+        if members and start == _MAGIC:
+            items, end, reason = _in_member(source, pos)
+        elif start == b"WAR":
+            try:
+                found, end = read_record(source, pos)
+                items, reason = iter([found]), None
+            except Bad as bad:
+                end, reason = bad.end, bad.reason
+        if reason is None and gap is not None:
+            yield gap, pos - gap, told
+            gap = None
+        yield from items
+        if reason is not None and gap is None:
+            gap, told = pos, reason
+        if end is None:
+            pos = _next_start(source, pos + 1, _START if members else _VERSION)
             continue
+        pos = end
         if gap is not None:
-            yield gap, pos - gap, reason
+            yield gap, pos - gap, told
             gap = None
-        yield from found
-        pos = end
     if gap is not None:
-        yield gap, source.size - gap, reason
+        yield gap, pos - gap, told
+
+
+def salvage(source: Source) -> Iterator[Record | Gap]:
+    """Records of a file in order, and the bytes given up: (offset, length, reason).
+
+    A record that fails inside a sound member is a gap of five values: range of the member, reason,
+    and offset and length in its unpacked bytes. A damaged member is part of a gap; the records that
+    its bytes still hold come before that gap, with a length of 0.
+    """
+    return _walk(source, True)
 
 
-def _next_start(source: Source, pos: int) -> int:
-    while pos < source.size:
-        block = source.at(pos, _STEP)
-        hit = _START.search(block)
+def _next_start(source: Source | Member, pos: int, start: re.Pattern) -> int:
+    while block := source.at(pos, _STEP):
+        source.release(pos)
+        hit = start.search(block)
         if hit:
             return pos + hit.start()
-        if pos + len(block) >= source.size:
+        if len(block) < _STEP:
             break
-        pos += max(1, len(block) - 8)
-    return source.size
+        pos += _STEP - 8
+    return pos + len(block)
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -291,25 +371,25 @@ def write_archives(pages: DataFrame, folder: str | None = None, file_bytes: int
 
 _READ = pa.schema([
     ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("reason", pa.string()),
-    ("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()),
-    ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
-    ("payload", pa.binary())])
-_READ_SQL = ("path string, offset long, length long, reason string, record_type string, "
-             "record_id string, target_uri string, refers_to string, payload_digest string, "
-             "payload_bytes long, payload binary")
+    ("inner_offset", pa.int64()), ("inner_length", pa.int64()), ("record_type", pa.string()),
+    ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()),
+    ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+_READ_SQL = ("path string, offset long, length long, reason string, inner_offset long, "
+             "inner_length long, record_type string, record_id string, target_uri string, "
+             "refers_to string, payload_digest string, payload_bytes long, payload binary")
 
 
 def _reader(with_payload: bool) -> Callable:
-    def row(path: str, item: Record | tuple[int, int, str]) -> tuple:
+    def row(path: str, item: Record | Gap) -> tuple:
         if isinstance(item, tuple):
-            return (path, *item, *[None] * 7)
+            return (path, *item, *[None] * (12 - len(item)))
         h = item.headers
         kind, digest = h.get("warc-type"), h.get("warc-payload-digest", "")
         try:
             digest = base64.b32decode(digest.removeprefix("sha1:")).hex()
         except ValueError:
             digest = None
-        return (path, item.offset, item.length, None, kind, h.get("warc-record-id"),
+        return (path, item.offset, item.length, None, None, None, kind, h.get("warc-record-id"),
                 h.get("warc-target-uri"), h.get("warc-refers-to"), digest, item.payload_bytes,
                 item.payload if with_payload and kind != "revisit" else None)
 
@@ -341,7 +421,8 @@ def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records and gaps of the archives in ``files`` (path), one task per few files.
 
     A gap has a ``reason`` and no record columns; ``offset`` and ``length`` are its bytes in the file
-    (for records, those of their member). The payload of a revisit is null, its ``payload_bytes`` are
+    (for records, those of their member). A record that failed inside a sound member has its bytes
+    in the unpacked member as ``inner_offset`` and ``inner_length``. The payload of a revisit is null, its ``payload_bytes`` are
     those of the full payload.
     """
     tasks = max(1, min(4096, files.count()))
