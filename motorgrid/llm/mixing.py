@@ -3,8 +3,10 @@
 Token counts are summed per cell (source, language, topic). Raking scales the cells to the target
 share of each source, then of each language, then of each topic, and again, until all three hold.
 A document is then sampled with the probability of its cell: raked share over present share, scaled
-so that the scarcest cell is taken whole. Hot cells need no care: the corpus is only summed with
-partial aggregation and joined with the cell table, whose rows are bounded by the categories.
+so that the scarcest cells are taken whole. Tiny cells do not set the scale: those of the highest
+ratios that hold at most ``CLIP`` of the raked weight together are clipped at 1, so they fall short
+of their targets by less than that. Hot cells need no care: the corpus is only summed with partial
+aggregation and joined with the cell table, whose rows are bounded by the categories.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ SWEEPS = 12
 PER_PLAN = 4
 # Exponent of the natural shares when no targets are given: below 1 lifts small categories.
 TEMPER = 0.9
+# Share of the raked weight whose cells may be clipped at probability 1.
+CLIP = 0.02
+# Ratios are compared in steps of a sixteenth of a power of two.
+STEPS = 16
 WORD = r"[^ \t\n\x0B\f\r]+"
 HASH_RANGE = float(16**8)
 
@@ -82,16 +88,46 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     return cells.select(*DIMENSIONS, "tokens", "weight")
 
 
+def full_ratio(raked: DataFrame, clip: float = CLIP) -> float:
+    """The ratio of weight to tokens that gets probability 1.
+
+    Cells are summed by steps of their ratio, a table of some hundred rows at any size. From the
+    highest step down, steps are clipped while they hold at most ``clip`` of the weight together.
+    """
+    steps = raked.where("weight > 0").withColumn("_ratio", F.col("weight") / F.col("tokens")).groupBy(
+        F.floor(F.log2("_ratio") * STEPS).alias("_step")).agg(
+        F.sum("weight").alias("_held"), F.max("_ratio").alias("_top"))
+    every = Window.partitionBy(F.lit(0))
+    reached = F.sum("_held").over(every.orderBy(F.desc("_step")))
+    return steps.select("_top", (reached > clip * F.sum("_held").over(every)).alias("_full")).where(
+        "_full").agg(F.max("_top")).first()[0] or 1.0
+
+
 def cell_probabilities(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None,
-                       sweeps: int = SWEEPS, temper: float = TEMPER) -> DataFrame:
-    """(source, lang, topic, probability) of the cells of ``keyed`` documents."""
+                       sweeps: int = SWEEPS, temper: float = TEMPER, clip: float = CLIP
+                       ) -> DataFrame:
+    """(source, lang, topic, tokens, weight, probability) of the cells of ``keyed`` documents."""
     cells = settle(docs.groupBy(*[F.col(f"_mix_{n}").alias(n) for n in DIMENSIONS]).agg(
         F.sum("_mix_tokens").alias("tokens")), "tokens")
-    raked = rake(cells, targets, sweeps, temper).withColumn(
-        "_ratio", F.col("weight") / F.col("tokens"))
-    top = raked.agg(F.max("_ratio")).first()[0] or 1.0
-    return settle(raked.select(*DIMENSIONS, (F.col("_ratio") / F.lit(float(top))).alias(
-        "probability")), "probabilities")
+    raked = rake(cells, targets, sweeps, temper)
+    share = F.col("weight") / F.col("tokens") / F.lit(float(full_ratio(raked, clip)))
+    return settle(raked.withColumn("probability", F.least(F.lit(1.0), share)), "probabilities")
+
+
+def shares_reached(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None
+                   ) -> DataFrame:
+    """(dimension, category, target, expected): share of the tokens that raking gives a category and
+    the share to expect in the sample; they differ by the clipped cells alone."""
+    cells = cell_probabilities(keyed(docs), targets)
+    total = Window.partitionBy("dimension")
+    return cells.select(
+        F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(n).alias("category"))
+                            for n in DIMENSIONS])).alias("_c"), "weight",
+        (F.col("tokens") * F.col("probability")).alias("_kept")).groupBy("_c").agg(
+        F.sum("weight").alias("_weight"), F.sum("_kept").alias("_kept")).select(
+        "_c.*", "_weight", "_kept").select(
+        "dimension", "category", (F.col("_weight") / F.sum("_weight").over(total)).alias("target"),
+        (F.col("_kept") / F.sum("_kept").over(total)).alias("expected"))
 
 
 def draw(doc_id: Column) -> Column:
@@ -101,22 +137,23 @@ def draw(doc_id: Column) -> Column:
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None,
-        sweeps: int = SWEEPS, temper: float = TEMPER) -> DataFrame:
+        sweeps: int = SWEEPS, temper: float = TEMPER, clip: float = CLIP) -> DataFrame:
     """``docs`` with _mix_probability and _mix_kept beside the columns of ``keyed``.
 
     A document of a cell without tokens has no share: its probability is 0. Rows of equal doc_id draw
     the same number, so repeated rows stay or go together. An empty table stays empty.
     """
     docs = keyed(docs)
-    cells = cell_probabilities(docs, targets, sweeps, temper).select(
-        *[F.col(n).alias(f"_cell_{n}") for n in DIMENSIONS], F.col("probability").alias("_p"))
+    cells = cell_probabilities(docs, targets, sweeps, temper, clip).select(
+        *[F.col(n).alias(f"_mix_cell_{n}") for n in DIMENSIONS],
+        F.col("probability").alias("_mix_share"))
     match = F.lit(True)
     for name in DIMENSIONS:
-        match = match & (F.col(f"_mix_{name}") == F.col(f"_cell_{name}"))
+        match = match & (F.col(f"_mix_{name}") == F.col(f"_mix_cell_{name}"))
     return docs.join(cells, match, "left").withColumn(
-        "_mix_probability", F.coalesce("_p", F.lit(0.0))).withColumn(
+        "_mix_probability", F.coalesce("_mix_share", F.lit(0.0))).withColumn(
         "_mix_kept", draw(F.col("doc_id")) < F.col("_mix_probability")).drop(
-        "_p", *[f"_cell_{n}" for n in DIMENSIONS])
+        "_mix_share", *[f"_mix_cell_{n}" for n in DIMENSIONS])
 
 
 def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
@@ -132,7 +169,7 @@ def report(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
         F.round("_mix_probability", 9).alias("probability"), F.col("_mix_kept").alias("kept"))
 
 
-def sql(sweeps: int = SWEEPS, temper: float = TEMPER) -> str:
+def sql(sweeps: int = SWEEPS, temper: float = TEMPER, clip: float = CLIP) -> str:
     """DuckDB SQL of ``report`` with tempered targets."""
     steps = ["""d AS (
     SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
@@ -156,8 +193,13 @@ def sql(sweeps: int = SWEEPS, temper: float = TEMPER) -> str:
         steps.append(f"""w{step + 1} AS MATERIALIZED (
     SELECT * REPLACE (w * g_{name} / sum(w) OVER (PARTITION BY {name}) AS w) FROM {last})""")
         last = f"w{step + 1}"
-    steps.append(f"""p AS MATERIALIZED (
-    SELECT source, lang, topic, (w / tokens) / (max(w / tokens) OVER ()) AS p FROM {last})""")
+    steps.append(f"""r AS MATERIALIZED (
+    SELECT floor(log2(w / tokens) * {STEPS}) AS step, sum(w) AS held, max(w / tokens) AS top
+    FROM {last} WHERE w > 0 GROUP BY ALL), f AS MATERIALIZED (
+    SELECT max(top) AS full_ratio
+    FROM (SELECT top, sum(held) OVER (ORDER BY step DESC) AS reached, sum(held) OVER () AS held FROM r)
+    WHERE reached > {clip} * held), p AS MATERIALIZED (
+    SELECT source, lang, topic, least(1.0, w / tokens / full_ratio) AS p FROM {last}, f)""")
     return "WITH " + ",\n".join(steps) + """
 SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(p, 0.0), 9) AS probability,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0
