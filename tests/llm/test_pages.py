@@ -7,6 +7,7 @@ import random
 import pyarrow as pa
 import pytest
 from motorgrid.llm import mixing, page_text, tool_calls, warc
+from pyspark.sql import functions as F
 
 PAGES = "page_id long, url string, html string, text int, record_type string"
 
@@ -91,6 +92,59 @@ def test_many_records_in_one_member():
     assert read(warc.member(data))[0] == [warc.record_id(i) for i in range(8)]
 
 
+def test_good_records_of_a_bad_member_stay():
+    good, names = parts(False), [warc.record_id(i) for i in range(8)]
+    hurt = [bytearray(g) for g in good]
+    hurt[3][-50] ^= 1
+    hurt[5][:4] = b"XXXX"
+    at = [sum(map(len, good[:i])) for i in range(9)]
+    packed = warc.member(b"".join(map(bytes, hurt)))
+    found, gaps = read(packed + warc.member(good[0]))
+    assert found == [n for i, n in enumerate(names) if i not in (3, 5)] + names[:1]
+    assert gaps == [(0, len(packed), "block digest differs", at[3], len(good[3])),
+                    (0, len(packed), "no member or version line", at[5], len(good[5]))]
+    # A damaged or cut member: records with a sound digest come out, all its bytes are a gap.
+    rng = random.Random(5)
+    whole = [warc.record(i, None, rng.randbytes(3000), None, False) for i in range(200)]
+    packed = bytearray(warc.member(b"".join(whole)))
+    for cut in (len(packed) // 2, len(packed) - 3):
+        found, gaps = read(bytes(packed[:cut]) + warc.member(good[7]))
+        assert gaps == [(0, cut, "truncated member")] or gaps == [(0, cut, "damaged member")]
+        assert found[-1] == names[7] and found[:-1] == [warc.record_id(i) for i in range(len(found) - 1)]
+        assert len(found) >= 200 * cut // len(packed) - 3
+    packed[len(packed) // 2] ^= 0x10
+    found, gaps = read(bytes(packed))
+    assert len(found) >= 95 and [g[:2] for g in gaps] == [(0, len(packed))]
+    assert read(warc.member(b""))[1] == [(0, len(warc.member(b"")), "empty member", 0, 0)]
+    other = warc.member(b"not an archive" * 50000)
+    assert read(other) == ([], [(0, len(other), "no member or version line", 0, 700000)])
+
+
+def test_long_members_are_streamed(monkeypatch):
+    monkeypatch.setattr(warc, "MAX_RECORD", 10**6)
+    rng = random.Random(6)
+    text = [rng.randbytes(2000) for _ in range(1500)]
+    whole = [warc.record(i, None, t, None, False) for i, t in enumerate(text)]
+    out = list(warc.salvage(warc.Source(pa.BufferReader(warc.member(b"".join(whole), 1)))))
+    assert [r.payload for r in out] == text
+    long = [*whole[:2], warc.record(7, None, b"x" * 10**6, None, False), *whole[2:4]]
+    found, gaps = read(warc.member(b"".join(long)))
+    assert found == [warc.record_id(i) for i in range(4)] and [g[2:] for g in gaps] == [
+        ("record too long", len(whole[0]) + len(whole[1]), len(long[2]))]
+    # A header without an end is given up at its first line that is none.
+    assert read(b"WARC/1.1\r\n" + b"junk\r\n" * 30000)[0] == []
+    assert read(b"WARC/1.1\r\n" + b"a: b\r\n" * 30000 + b"".join(whole[:2]))[0] == [
+        warc.record_id(0), warc.record_id(1)]
+
+
+@pytest.mark.parametrize("n", [65_400, 70_000, 300_000])
+def test_long_headers(spark, n):
+    rows = [(1, "data:" + "u" * n, "page"), (2, "http://b", "other")]
+    got = warc.read_archives(warc.write_archives(pages(spark, rows)))
+    assert {(r["record_id"], r["target_uri"], r["reason"]) for r in got.collect()} == {
+        (warc.record_id(i), u, None) for i, u, _ in rows}
+
+
 ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
 <header>Site</header><nav><ul><li><a href=x>Menu</a></ul></nav><!-- <p>ad</p> -->
 <div class="top ad-box">Buy</div><main><article><header><h1>Caf&eacute; &#8217;x</h1></header>
@@ -302,6 +356,22 @@ def test_sampling(spark):
     assert mixing.sample(docs.limit(0)).count() == 0
 
 
+def test_tiny_cells_do_not_set_the_scale(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(50, 90)), rng.choice("ab"), "en", 1, "p") for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("_p", F.lit(1)).withColumn("_ratio", F.lit(2))
+    tiny = docs.limit(1).withColumns({"doc_id": F.lit(9000).cast("long"), "source": F.lit("z"), "text": F.lit("w w")})
+    targets = {"source": {"a": 0.5, "b": 0.49, "z": 0.01}}
+    both = docs.unionByName(tiny)
+    left = mixing.sample(both, targets)
+    assert left.columns == docs.columns and left.count() > 2700
+    assert left.where("doc_id = 9000").count() == 1
+    for r in mixing.shares_reached(both, targets).collect():
+        assert abs(r["target"] - r["expected"]) < mixing.CLIP
+    # Without clipping the tiny cell would take nearly all others away.
+    assert mixing.mix(both, targets, clip=0.0).where("_mix_kept").count() < 300
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
     import duckdb
