@@ -14,51 +14,48 @@ def _step(position: str) -> Column:
     return F.lpad(F.col(position).cast("string"), 9, "0")
 
 
-def _arrivals(links: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
-    """Every way from a root to a document: root, document, path, parent, parent_path."""
-    none = F.lit(None).cast("string")
-    index = links.where("root = 'sitemapindex'").select(
-        F.col("document").alias("_doc"), "position", "loc")
-    level = roots.distinct().select(
-        F.col("document").alias("root"), "document", F.lit("").alias("path"),
-        none.alias("parent"), none.alias("parent_path"),
-        F.array("document").alias("_trail"))
-    reached = None
-    for depth in range(max_depth + 1):
-        level = cut_lineage(level)
-        reached = level if reached is None else reached.unionByName(level)
-        if depth == max_depth or level.isEmpty():
-            break
-        level = level.join(index, F.col("document") == F.col("_doc")).where(
-            ~F.array_contains("_trail", F.col("loc"))
-        ).select(
-            "root", F.col("loc").alias("document"),
-            F.concat("path", F.lit("/"), _step("position")).alias("path"),
-            F.col("document").alias("parent"), F.col("path").alias("parent_path"),
-            F.array_append("_trail", F.col("loc")).alias("_trail"))
-    return reached.drop("_trail")
-
-
-def _first_visits(arrivals: DataFrame) -> DataFrame:
-    """root, document, path of the visit that a depth-first walk makes.
-
-    The walk enters a document once, so ways through a later arrival do not exist. Starting from
-    all ways, drop those whose parent is entered elsewhere until nothing changes.
+def _named(visits: DataFrame, index: DataFrame, max_depth: int) -> DataFrame:
+    """root, document, entry (path, depth): what the indexes of ``visits`` name at their depth."""
+    return visits.where(F.col("entry.depth") < max_depth).join(
+        index, F.col("document") == F.col("_doc")).select(
+        "root", F.col("loc").alias("document"), F.struct(
+            F.concat("entry.path", F.lit("/"), _step("position")).alias("path"),
+            (F.col("entry.depth") + 1).alias("depth")).alias("entry"))
+
+
+def _first_visits(links: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """root, document, entry: where a depth-first walk enters each document.
+
+    The walk enters a document once, at the least path that leads to it from an entered index above
+    the depth limit. A path is greater than its beginnings, so just one set of entries fits this rule.
+    Starting from the roots, entries are drawn anew from those of the round before until nothing
+    changes: one path per root and document is held, not every way. A wrong entry lasts until the
+    first wrong one on its own path is mended, so the rounds end; without detours that the walk has
+    entered before there are at most ``max_depth`` + 2. Rounds run over indexes only; other documents
+    name nothing and are added in the end.
     """
-    def firsts(rows: DataFrame) -> DataFrame:
-        return rows.where("alive").groupBy("root", "document").agg(F.min("path").alias("path"))
-
-    rows = arrivals.withColumn("alive", F.lit(True))
+    index = cut_lineage(links.where("root = 'sitemapindex' and loc is not null").select(
+        F.col("document").alias("_doc"), "position", "loc"))
+    inner = index.join(
+        index.select(F.col("_doc").alias("loc")).distinct(), "loc", "left_semi")
+    start = cut_lineage(roots.distinct().select(
+        F.col("document").alias("root"), "document",
+        F.struct(F.lit("").alias("path"), F.lit(0).alias("depth")).alias("entry")))
+
+    def entered(visits: DataFrame, edges: DataFrame) -> DataFrame:
+        return start.unionByName(_named(visits, edges, max_depth)).groupBy("root", "document").agg(
+            F.min("entry").alias("entry"))
+
+    visits, held = start, start.count()
     while True:
-        entered = firsts(rows).select(
-            "root", F.col("document").alias("parent"), F.col("path").alias("_first"))
-        updated = cut_lineage(rows.join(entered, ["root", "parent"], "left").select(
-            "root", "document", "path", "parent", "parent_path", F.col("alive").alias("_was"),
-            (F.col("parent").isNull()
-             | F.coalesce(F.col("_first") == F.col("parent_path"), F.lit(False))).alias("alive")))
-        rows = updated.drop("_was")
-        if updated.where("alive <> _was").isEmpty():
-            return firsts(rows)
+        updated = cut_lineage(entered(visits, inner))
+        found = updated.join(
+            visits.withColumn("_old", F.lit(True)), ["root", "document", "entry"], "left").agg(
+            F.count("*").alias("n"), F.count("_old").alias("same")).first()
+        visits = updated
+        if found["n"] == found["same"] == held:
+            return cut_lineage(entered(visits, index))
+        held = found["n"]
 
 
 def expand_sitemaps(links: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH,
@@ -70,13 +67,13 @@ def expand_sitemaps(links: DataFrame, roots: DataFrame, max_depth: int = MAX_DEP
     of the walk) and url. ``max_urls`` limits the walk of each root, if given. Indexes below
     ``max_depth`` are not opened; ``not_followed`` lists them.
 
-    The loops run over sitemap documents only; each pass starts from a checkpoint.
+    The rounds run over sitemap indexes only; each starts from a checkpoint.
     """
-    visits = _first_visits(_arrivals(links, roots, max_depth))
+    visits = _first_visits(links, roots, max_depth)
     pages = links.where("root = 'urlset'").select(
         F.col("document").alias("_doc"), "position", "loc")
     found = visits.join(pages, F.col("document") == F.col("_doc")).select(
-        "root", F.concat("path", F.lit("/"), _step("position")).alias("path"),
+        "root", F.concat("entry.path", F.lit("/"), _step("position")).alias("path"),
         F.col("loc").alias("url"))
     if max_urls is None:
         return found
@@ -86,11 +83,10 @@ def expand_sitemaps(links: DataFrame, roots: DataFrame, max_depth: int = MAX_DEP
 
 
 def not_followed(links: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(root, document) that an index at ``max_depth`` names and no visited one does."""
-    arrivals = cut_lineage(_arrivals(links, roots, max_depth))
-    visited = arrivals.select("root", "document").distinct()
+    """(root, document) that an index at ``max_depth`` names and the walk never enters."""
+    visits = _first_visits(links, roots, max_depth)
     named = links.where("root = 'sitemapindex'").select(
         F.col("document").alias("_doc"), F.col("loc").alias("_loc"))
-    return visited.join(named, F.col("document") == F.col("_doc")).select(
-        "root", F.col("_loc").alias("document")).distinct().join(
-        visited, ["root", "document"], "left_anti")
+    return visits.join(named, F.col("document") == F.col("_doc")).select(
+        "root", F.col("_loc").alias("document")).where("document is not null").distinct().join(
+        visits, ["root", "document"], "left_anti")

@@ -205,6 +205,57 @@ def test_sitemap_walk(spark, tmp_path, seed):
     assert sitemaps.expand_sitemaps(df, roots, max_urls=2).count() == min(2, len(got))
 
 
+def test_sitemap_walk_of_many_ways(spark):
+    # 30 layers of two documents, each of which names both of the next layer: 2 ** 30 ways.
+    links = [(f"{side}{layer}", "sitemapindex", pos, f"{name}{layer + 1}") for layer in range(30)
+             for side in "ab" for pos, name in enumerate("ba")]
+    links += [(f"{side}30", "urlset", pos, f"http://p/{side}/{pos}") for side in "ab" for pos in range(2)]
+    df = spark.createDataFrame(links, SITEMAP)
+    roots = spark.createDataFrame([("a0",)], "document string")
+    got = [r.url for r in sitemaps.expand_sitemaps(df, roots, 30).orderBy("path").collect()]
+    assert got == _walk(links, "a0", 30) and len(got) == 4
+    assert sitemaps.expand_sitemaps(df, roots, 29).count() == 0
+
+
+@pytest.mark.parametrize("depth", [0, 2, 4])
+def test_sitemap_walk_below_its_limit(spark, depth):
+    import random
+
+    # A document that is entered at the limit is not opened, though a later way to it is shorter.
+    rng = random.Random(depth)
+    links = [(f"d{i}", "sitemapindex", pos, rng.choice([f"d{rng.randrange(14)}", "missing", None]))
+             for i in range(10) for pos in range(4)]
+    links += [(f"d{i}", "urlset", 0, f"http://p/{i}") for i in range(10, 14)]
+    df = spark.createDataFrame(links, SITEMAP)
+    names = ["d0", "d3", "d11", "absent"]
+    roots = spark.createDataFrame([(n,) for n in [*names, "d3"]], "document string")
+    got = {n: [] for n in names}
+    for r in sitemaps.expand_sitemaps(df, roots, depth).orderBy("root", "path").collect():
+        got[r["root"]].append(r["url"])
+    whole = [link for link in links if link[3] is not None]
+    assert got == {n: _walk(whole, n, depth) for n in names}
+    seen = {n: _entered(whole, n, depth) for n in names}
+    assert {tuple(r) for r in sitemaps.not_followed(df, roots, depth).collect()} == {
+        (n, loc) for n in names for doc, kind, _, loc in whole
+        if kind == "sitemapindex" and doc in seen[n] and loc not in seen[n]}
+
+
+def _entered(links, root, max_depth):
+    """Documents that the walk enters."""
+    seen = set()
+
+    def visit(doc, depth):
+        if doc in seen or depth > max_depth:
+            return
+        seen.add(doc)
+        for _, loc in sorted((pos, loc) for d, kind, pos, loc in links
+                             if d == doc and kind == "sitemapindex"):
+            visit(loc, depth + 1)
+
+    visit(root, 0)
+    return seen
+
+
 def test_sitemap_files(spark, tmp_path):
     (tmp_path / "a.xml").write_text(
         '<?xml version="1.0"?><s:urlset xmlns:s="x"><s:url><s:loc> http://p/1?a=1&amp;b=2 </s:loc></s:url>'
