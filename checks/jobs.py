@@ -9,7 +9,7 @@ from checks.base import (
     stamp, table,
 )
 from checks.scalars import _CLASS_FORMS, _SPACED_FORMS, _form
-from checks.tables import _COHERENT, _EXT
+from checks.tables import _COHERENT, _EXT, _SUMMARY
 from checks.vectors import protos, view_protos
 from checks.web import _catalog_rows
 from motorgrid import constants as K
@@ -390,15 +390,11 @@ def _(spark, sf):
     return done.select("image_id", F.coalesce("split", F.lit("none")).alias("split"))
 
 
-@query("make_splits_report", over("v_canonical v_images", _COHERENT + f"""
-    SELECT 'eligible' AS metric, count(*) AS n FROM assigned UNION ALL
-    SELECT s.split, count(a.image_id) FROM (SELECT unnest(['train', 'val', 'test']) AS split) s
-      LEFT JOIN assigned a USING (split) GROUP BY 1
-    UNION ALL SELECT 'excluded', count(*) FROM v_images JOIN v_canonical USING (listing_id)
+@query("make_splits_report", over("v_canonical v_images", _SUMMARY + f"""
+    UNION ALL SELECT 'excluded', NULL, NULL, count(*) FROM v_images JOIN v_canonical USING (listing_id)
       WHERE source = 'ECONOMY' AND NOT coalesce(view IN {_EXT}, false)"""))
 def _(spark, sf):
-    report = labelling.make_splits(images(spark, sf), canonical(spark, sf), "ECONOMY")["report"]
-    return report.where("view is null and metric not in ('small_group', 'class_p10')").select("metric", "n")
+    return labelling.make_splits(images(spark, sf), canonical(spark, sf), "ECONOMY")["report"]
 
 
 @query("gate_manifest", over("v_images", f"""

@@ -435,7 +435,7 @@ def _(spark, sf):
         "vec_id", r6(vec.cosine(F.col("embedding"), F.col("other"))).alias("cosine"))
 
 
-@query("search_url_templates", over("v_listings", """
+@query("search_url_templates", over("v_listings", f"""
     SELECT listing_id, 'https://www.cars.com/shopping/results/?makes[]=' || mk || '&models[]=' || mk ||
         '-' || lower(model) || '&year_min=' || year || '&year_max=' || (year + 3) || '&stock_type=all'
         AS cars_com,
@@ -447,13 +447,14 @@ def _(spark, sf):
         '?YearFrom=' || year || '&YearTo=' || (year + 3) AS hemmings,
       'https://carsandbids.com/search?q=' || q || '&year_min=' || year || '&year_max=' || (year + 3)
         AS carsandbids,
-      'https://sfbay.craigslist.org/search/cta?auto_make_model=' || q || '&min_auto_year=' || year ||
-        '&max_auto_year=' || (year + 3) || '&query=' || q AS craigslist
+      array_to_string(list_transform({sql_list(K.CRAIGSLIST_CITIES)}, lambda c:
+        'https://' || c || '.craigslist.org/search/cta?auto_make_model=' || q || '&min_auto_year=' || year ||
+        '&max_auto_year=' || (year + 3) || '&query=' || q), ' ') AS craigslist
     FROM (SELECT *, replace(lower(make), ' ', '-') AS mk, replace(make || ' ' || model, ' ', '+') AS q
       FROM v_listings WHERE year IS NOT NULL)"""))
 def _(spark, sf):
     rows = listings(spark, sf).where("year is not null")
     args = (F.col("make"), F.col("model"), F.col("year"), F.col("year") + 3)
     return rows.select("listing_id", *[
-        F.get(urls.search_urls(site, *args), F.lit(2 if site == "craigslist" else 0)).alias(site)
+        F.array_join(urls.search_urls(site, *args), " ").alias(site)
         for site in ("cars_com", "autotrader", "bat", "hemmings", "carsandbids", "craigslist")])

@@ -341,7 +341,7 @@ def _(spark, sf):
     return splits.split_by_hash(table(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
-@query("split_summary", over("v_canonical v_images", _COHERENT + f"""
+_SUMMARY = _COHERENT + f"""
     , grid AS (SELECT v.view, s.split, count(a.image_id) AS n
       FROM (SELECT unnest({sql_list(K.EXTERIOR_VIEWS)}) AS view) v
       CROSS JOIN (SELECT unnest({sql_list(K.SPLITS)}) AS split) s
@@ -352,7 +352,10 @@ def _(spark, sf):
       AS split) s LEFT JOIN assigned a USING (split) GROUP BY ALL
     UNION ALL SELECT 'small_group', NULL, NULL, count(*) FROM assigned WHERE small_cell
     UNION ALL SELECT 'class_p10', NULL, NULL, quantile_disc(n, 0.1) FROM (SELECT count(*) AS n
-      FROM assigned GROUP BY canonical_make, canonical_model, generation_year)"""))
+      FROM assigned GROUP BY canonical_make, canonical_model, generation_year)"""
+
+
+@query("split_summary", over("v_canonical v_images", _SUMMARY))
 def _(spark, sf):
     return splits.split_summary(splits.assign_by_listing(_economy(spark, sf)))
 
