@@ -187,14 +187,23 @@ def exact_groups(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they came."""
+    """``docs`` with one row of each group of equal texts, all columns as they came.
+
+    A null text counts as empty. The row with the largest doc_id stays, a null doc_id only where there
+    is no other; of rows that repeat text and doc_id one stays. An empty table stays empty. The digest
+    that rows are matched by gets a name that no column of ``docs`` has.
+    """
     found = settle(exact_groups(docs), "dedup-groups")
     digest = F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
-    marked = docs.withColumn("_text_sha", digest)
+    taken = {c.lower() for c in docs.columns}
+    name = "_text_sha"
+    while name in taken or f"_gone_{name}" in taken:
+        name += "_"
+    marked = docs.withColumn(name, digest)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(
-        "doc_id", F.col("text_sha256").alias("_text_sha"))
-    left = drop_rows(marked, gone, ["doc_id", "_text_sha"])
+        "doc_id", F.col("text_sha256").alias(name))
+    left = drop_rows(marked, gone, ["doc_id", name])
     repeated = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept"))
     if repeated.take(1):
-        left = left.dropDuplicates(["doc_id", "_text_sha"])
-    return left.drop("_text_sha")
+        left = left.dropDuplicates(["doc_id", name])
+    return left.drop(name)

@@ -67,6 +67,16 @@ def test_drop_exact_copies(spark):
         (2, "same text"), (4, ""), (5, "Äb"), (6, "äb"), (8, "long long"), (9, "long long")]
 
 
+def test_drop_exact_copies_keeps_columns_of_internal_names(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA).selectExpr(
+        "*", "kept AS _text_sha", "keep_id AS _Text_Sha_", "doc_id AS _gone_doc_id", "1 AS _sha")
+    left = exact_dedup.drop_exact_copies(docs)
+    assert left.schema == docs.schema
+    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 2, 4, 5, 6, 8, 9]
+    assert all(r["_text_sha"] == r["kept"] and r["_gone_doc_id"] == r["doc_id"]
+               for r in left.collect())
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.exact_groups(docs).count() == 0
