@@ -10,7 +10,7 @@ from checks.base import (
 )
 from checks.scalars import _CLASS_FORMS, _SPACED_FORMS, _form
 from checks.tables import _COHERENT, _EXT, _SUMMARY
-from checks.vectors import protos, view_protos
+from checks.vectors import _long, _long_sql, protos, view_protos
 from checks.web import _catalog_rows
 from motorgrid import constants as K
 from motorgrid.operators import catalog, crawlqueue, live
@@ -409,15 +409,20 @@ def _(spark, sf):
 
 
 @query("train_prototypes", over("v_canonical v_images", """
-    SELECT generation_year || '|' || lower(canonical_make) || '|' || lower(canonical_model) AS class_id, count(*) AS n
+    , q AS (SELECT generation_year || '|' || lower(canonical_make) || '|' || lower(canonical_model) AS class_id,
+      embedding::DOUBLE[] AS e
     FROM v_images JOIN v_canonical USING (listing_id) JOIN embeddings ON vec_id = listing_id::BIGINT
-    WHERE source = 'PROMO' AND split = 'train' AND local_path <> '' AND generation_year IS NOT NULL GROUP BY 1"""))
+    WHERE source = 'PROMO' AND split = 'train' AND local_path <> '' AND generation_year IS NOT NULL),
+    m AS (SELECT class_id, list(a ORDER BY pos) AS mean, max(n) AS n FROM (
+      SELECT class_id, pos, avg(e[pos]) AS a, count(*) AS n FROM q, range(1, 65) t(pos) GROUP BY ALL) GROUP BY class_id),
+    tp AS (SELECT class_id, n, list_transform(mean, lambda x: x / sqrt(list_inner_product(mean, mean))) AS p FROM m)
+    """ + _long_sql("tp", "class_id, n")))
 def _(spark, sf):
     img = images(spark, sf)
     vecs = img.select("image_id", F.col("listing_id").cast("bigint").alias("vec_id")).join(
         table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").select(
         "image_id", "embedding").dropDuplicates(["image_id"])
-    return retrieval.train_prototypes(img, canonical(spark, sf), vecs, "PROMO").select("class_id", "n")
+    return _long(retrieval.train_prototypes(img, canonical(spark, sf), vecs, "PROMO"), "class_id", "n")
 
 
 @query("evaluate_images", over("v_canonical v_images", """
