@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from motorgrid import constants as K
 from motorgrid import schemas
 from motorgrid.functions.calc import backoff_seconds, plus_seconds
-from motorgrid.operators.lookups import first_per_key, insert_new
+from motorgrid.operators.lookups import first_per_key, insert_new, merge_join
 from motorgrid.operators.skew import cut_by_ranges, running_total
 
 
@@ -69,7 +69,7 @@ def budgeted_batch(queue: DataFrame, budgets: DataFrame, now: Column) -> DataFra
 
 def mark_claimed(queue: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     taken = batch.select("url", F.lit(True).alias("_taken"))
-    return queue.join(taken, "url", "left").withColumn(
+    return merge_join(queue, taken, "url", "left").withColumn(
         "status", F.when(F.col("_taken"), "in_progress").otherwise(F.col("status"))).withColumn(
         "claimed_at", F.when(F.col("_taken"), now).otherwise(F.col("claimed_at"))
     ).select(*queue.columns)
@@ -84,9 +84,8 @@ def claim_batch(queue: DataFrame, n: int, now: Column, source: str | None = None
 def _applied(queue: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     attempts = F.when(F.col("_action") == "failed", F.col("attempts") + 1).when(
         F.col("_action") == "requeue", 0).otherwise(F.col("attempts"))
-    staged = queue.join(
-        outcomes.select("url", F.col("action").alias("_action"), F.col("error").alias("_error")),
-        "url", "left").withColumn("_a", attempts)
+    effects = outcomes.select("url", F.col("action").alias("_action"), F.col("error").alias("_error"))
+    staged = merge_join(queue, effects, "url", "left").withColumn("_a", attempts)
     action = F.col("_action")
     changes = {
         "attempts": F.col("_a").cast("int"),
@@ -171,7 +170,7 @@ def fold_events(queue: DataFrame, events: DataFrame) -> DataFrame:
         .alias("_error"),
     )
     state = queue.join(
-        lasts.join(known, "url", "left")
+        merge_join(lasts, known, "url", "left")
         .where("_known or _born is not null").drop("_known"), "url", "full_outer")
     fresh = F.col("status").isNull()
     # Events of a new URL count from its birth on.

@@ -37,6 +37,15 @@ def resolve_two_hop(df: DataFrame, hop: DataFrame, names: DataFrame, id_col: str
     )
 
 
+def merge_join(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join of tables that grow with the crawl, never by broadcast.
+
+    Spark takes 20 bytes for any computed text, a page of HTML as well, so its estimate calls such
+    a table small and the driver would have to hold it.
+    """
+    return df.join(other.hint("merge"), on, how)
+
+
 def decode_class_index(df: DataFrame, names: DataFrame, text_col: str, index_col: str,
                        out: str) -> DataFrame:
     """A usable text label wins, else the name of the integer label."""
@@ -54,7 +63,7 @@ def first_per_key(df: DataFrame, keys: Iterable[str], order: Iterable) -> DataFr
 
 def insert_new(target: DataFrame, incoming: DataFrame, key: str, order: Iterable) -> DataFrame:
     """Incoming rows whose key is new, the first of each key."""
-    return first_per_key(incoming, [key], order).join(target.select(key), key, "left_anti")
+    return merge_join(first_per_key(incoming, [key], order), target.select(key), key, "left_anti")
 
 
 def upsert_new(target: DataFrame, incoming: DataFrame, key: str, order: Iterable) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from motorgrid import constants as K
 from motorgrid import schemas
 from motorgrid.operators import crawlqueue, pages
-from motorgrid.operators.lookups import first_per_key, upsert_new
+from motorgrid.operators.lookups import first_per_key, merge_join, upsert_new
 from motorgrid.session import cut_lineage
 
 
@@ -30,14 +30,14 @@ def apply_page_results(queue: DataFrame, listings: DataFrame, fetched: DataFrame
     """
     claimed = queue.select(
         F.col("url").alias("queue_url"), "source", "kind", *pages.HINTS)
-    batch = fetched.join(claimed, "queue_url")
+    batch = merge_join(fetched, claimed, "queue_url")
     readable = batch.where("html is not null")
     # Both results need the parsed pages; parse them once.
     parsed = cut_lineage(pages.parse_listings(readable, current_year))
     rows = parsed.where("listing_id is not null")
     # A URL already held by another listing is no new row either.
-    fresh = upsert_columns(rows, listings.columns, now).join(
-        listings.select("url"), "url", "left_anti")
+    fresh = merge_join(
+        upsert_columns(rows, listings.columns, now), listings.select("url"), "url", "left_anti")
     # Of several listings with one final URL the first by its own columns counts, in every retry.
     new_rows = first_per_key(fresh, ["url"], ["listing_id", *[
         c for c in listings.columns if c not in ("url", "listing_id")]])

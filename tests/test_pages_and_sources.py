@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motorgrid import schemas
-from motorgrid.operators import catalog, filters, lookups, pages, sitemaps
+from motorgrid.operators import catalog, crawlqueue, filters, lookups, pages, sitemaps
 from motorgrid.plans import ingest
 from motorgrid.plans.batches import apply_page_results
 from motorgrid.sources import catalog as catalog_source
@@ -161,6 +161,20 @@ def test_page_batch(spark):
     assert again["queue"].count() == 7
 
 
+def test_page_batch_broadcasts_no_pages(spark):
+    """Computed pages look small to Spark: 20 bytes each, whatever their length."""
+    rows = spark.range(20)
+    url = F.concat(F.lit("https://bringatrailer.com/"), "id", F.lit("/"))
+    queue = crawlqueue.new_items(rows.select(
+        url.alias("url"), F.lit("bat").alias("source"), F.lit("search").alias("kind")), NOW)
+    fetched = rows.select(url.alias("queue_url"), url.alias("url"), F.repeat(F.lit("<p>x"), 2000).alias("html"),
+                          F.lit(None).cast("string").alias("error"))
+    done = apply_page_results(queue, spark.createDataFrame([], schemas.LISTINGS), fetched, NOW, 2026)
+    for out in (done["queue"], done["listings"], crawlqueue.mark_claimed(queue, queue.select("url"), NOW)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.status for r in done["queue"].collect()} == {"done"}
+
+
 SITEMAP = "document string, root string, position int, loc string"
 
 
