@@ -55,12 +55,13 @@ def synthetic_url(source: str) -> Column:
 def _new_ids(rows: DataFrame, order: list[str], known_images: DataFrame) -> DataFrame:
     """First row of every unknown image, marked ``_new``.
 
-    Copies are reduced before the look-up, and the result joins back on id and path, so many
-    copies of one image never meet in one task.
+    Copies are reduced before the look-up, and the result joins back on id and row number, so many
+    copies of one image never meet in one task and a file that is listed twice is new once.
     """
-    first = first_per_key(rows.select("image_id", *order), ["image_id"], order)
-    return first.join(known_images.select("image_id"), "image_id", "left_anti").withColumn(
-        "_new", F.lit(True))
+    first = first_per_key(
+        rows.select("image_id", "_row", *order), ["image_id"], [*order, "_row"])
+    return first.join(known_images.select("image_id"), "image_id", "left_anti").select(
+        "image_id", "_row", F.lit(True).alias("_new"))
 
 
 def ingest_labelled_images(files: DataFrame, source: str, known_images: DataFrame, split: str,
@@ -71,10 +72,11 @@ def ingest_labelled_images(files: DataFrame, source: str, known_images: DataFram
     the hash of the bytes: known ids and repeats inside the batch are skipped. The bytes are read
     and hashed once; everything else works on the short rows written then.
     """
-    hashed = store(files.withColumn("image_id", F.sha2("content", 256)).drop("content"), "hashed")
+    hashed = store(files.withColumn("image_id", F.sha2("content", 256)).drop("content").withColumn(
+        "_row", F.monotonically_increasing_id()), "hashed")
     parsed = hashed.where("reason is null")
     fresh_ids = _new_ids(parsed, ["path"], known_images)
-    marked = hashed.join(fresh_ids, ["image_id", "path"], "left").withColumn("outcome", F.when(
+    marked = hashed.join(fresh_ids, ["image_id", "_row"], "left").withColumn("outcome", F.when(
         F.col("reason").isNotNull(), F.col("reason")).when(F.col("_new").isNull(), "existing"))
     fresh = marked.where("outcome is null").withColumn(
         "listing_id", labels.listing_key(F.lit(source), F.col("image_id"))).withColumn(
@@ -118,9 +120,10 @@ def ingest_category_files(files: DataFrame, known_images: DataFrame, now: Column
         .when(F.col("_ext").isNull(), "unsupported type")
     )
     # The bytes are read and hashed once; everything else works on these short rows.
-    staged = store(staged.withColumn("_reason", reason), "hashed")
+    staged = store(staged.withColumn("_reason", reason).withColumn(
+        "_row", F.monotonically_increasing_id()), "hashed")
     fresh_ids = _new_ids(staged.where("_reason is null"), ["title"], known_images)
-    marked = staged.join(fresh_ids, ["image_id", "title"], "left").withColumn("outcome", F.when(
+    marked = staged.join(fresh_ids, ["image_id", "_row"], "left").withColumn("outcome", F.when(
         F.col("_reason").isNotNull(), F.col("_reason")).when(F.col("_new").isNull(), "existing"))
     source = F.lit("wikimedia_commons")
     fresh = marked.where("outcome is null").withColumn(

@@ -33,3 +33,28 @@ def test_query(spark, duck, name):
     if name in MAY_BE_EMPTY and found == "no rows at all":
         return
     assert found is None, found
+
+
+def test_spaced_classes_of_a_text_in_two_languages(spark, tmp_path):
+    docs = [(1, "ab", "en"), (25, "ab", "de"), (0, "ab", "en"), (6, "ab", "en"), (4, "x", "fr"), (16, "x", "es")]
+    spark.createDataFrame([(i, t, lang, "src0", len(t)) for i, t, lang in docs],
+                          "doc_id long, text string, lang string, source string, n_chars long"
+                          ).coalesce(1).write.parquet(f"{tmp_path}/written")
+    (next(tmp_path.glob("written/*.parquet"))).rename(tmp_path / "documents.parquet")
+    (tmp_path / "region.parquet").symlink_to(f"{SF}/region.parquet")
+    assert oracle.difference(spark, oracle.connect(tmp_path), str(tmp_path), QUERIES["ingest_spaced_classes"],
+                             SQL["ingest_spaced_classes"]) is None
+
+
+def test_a_file_listed_twice_is_inserted_once(spark):
+    from pyspark.sql import functions as F
+
+    from motorgrid.plans import ingest
+
+    files = spark.createDataFrame([("a/Kia_Rio/1.jpg", "Kia_Rio", ".jpg", 1, b"x")] * 2,
+                                  "path string, class_dir string, ext string, length long, content binary")
+    done = ingest.ingest_labelled_images(
+        ingest.label_underscore(files), "vmmrdb", spark.createDataFrame([], "image_id string"), "train",
+        F.lit("2020-01-01").cast("timestamp"))
+    assert done["images"].count() == done["listings"].count() == 1
+    assert {r.outcome: r.n for r in done["audit"].collect()} == {"inserted": 1, "existing": 1}
