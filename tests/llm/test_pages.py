@@ -202,6 +202,22 @@ def test_differencing_deletes_the_shared_frame(spark):
     assert page_text.main_text(pages(spark, [])).count() == 0
 
 
+def test_neighbours_are_sought_in_the_whole_host(spark):
+    """Copies on both sides, more of them than any slice holds, hide the neighbour that shows the frame."""
+    def page(body):
+        return f"<div>Home</div><div>About us</div><div>{body}</div>"
+
+    rows = [(i, f"http://h.org/n/{i:03}", page("Same story " * 9)) for i in range(60)]
+    rows += [(i, f"http://h.org/n/{i:03}", page(f"Near {i} " + "words " * 99)) for i in range(100, 140)]
+    rows += [(200, "http://h.org/zz", page("Other text")), (300, "http://i.org/1", page("Alone"))]
+    for pages_per_slice in (4, 128):
+        got = {r["page_id"]: r["text"] for r in page_text.main_text(pages(spark, rows), pages_per_slice).collect()}
+        assert len(got) == len(rows)
+        assert all(got[i] == ("Same story " * 9).strip() for i in range(60))
+        assert all(got[i] == (f"Near {i} " + "words " * 99).strip() for i in range(100, 140))
+        assert got[200] == "Other text" and got[300] == "Home\nAbout us\nAlone"
+
+
 def test_pages_of_the_small_table(spark):
     """The pages were made from texts of documents: each main text is one, below its heading."""
     sf = "/root/testdata/sf0.01"
