@@ -1,8 +1,9 @@
 """Keyed state of the streaming jobs: recent predictions per slot, a queue row per URL, keys seen.
 
-The state lives in Spark's RocksDB store, keyed like the stream. A micro-batch loads and writes the keys
-that occur in it and no others; its changes are logged, so a replayed batch gives the same rows.
-A key's rows of one micro-batch are handled together, so the trigger bounds them.
+The state lives in Spark's RocksDB store. A micro-batch loads and writes the keys that occur in it and no
+others; its changes are logged, so a replayed batch gives the same rows. Python is called once per bucket of
+keys, not per key: a bucket is a map state, whose entries are the keys. A bucket's rows of one micro-batch
+are handled together, so the trigger bounds them.
 """
 
 from __future__ import annotations
@@ -10,14 +11,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from motorgrid import constants as K
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SECOND = 1_000_000
+# Buckets of a keyed state; a checkpoint is bound to the number.
+BUCKETS = 1024
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -26,41 +33,77 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def _together(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
+def _by_key(frame: pd.DataFrame, key: str, order: list[str]) -> tuple[pd.DataFrame, np.ndarray, list]:
+    """The rows sorted by key and order, the number of each row's key, and the keys as the state takes them."""
+    codes, keys = pd.factorize(frame[key], use_na_sentinel=False)
+    at = frame.assign(_code=codes).sort_values(["_code", *order], kind="stable", ignore_index=True)
+    plain = [_plain(k) for k in keys.tolist()]
+    whole = [int(k) if isinstance(k, float) else k for k in plain] if frame[key].dtype.kind == "f" else plain
+    return at.drop(columns="_code"), at["_code"].to_numpy(), whole
 
 
 class RecentPredictions(StatefulProcessor):
     """Adds to every prediction the last ones of its slot, itself included, and whether it is late.
 
-    A prediction is late if it comes, by (us, seq), no later than one of an earlier batch; it gets no
-    history and changes none. A slot that stays silent for ``ttl_ms`` is forgotten.
+    ``_label0`` and so on is the prediction itself, ``_label1`` the one before it; ``_n`` tells how many
+    there are. A prediction is late if it comes, by (us, seq), no later than one of an earlier batch; it
+    gets no history and changes none. A slot that stays silent for ``ttl_ms`` is forgotten.
     """
 
-    def __init__(self, window: int, ttl_ms: int | None) -> None:
-        self.window, self.ttl_ms = window, ttl_ms
+    FIELDS = ("label", "class_id", "confidence", "us", "seq")
+    HISTORY = {"label": "string", "class_id": "string", "confidence": "double"}
+
+    def __init__(self, window: int, ttl_ms: int | None, slot: T.DataType) -> None:
+        self.window, self.ttl_ms, self.slot = window, ttl_ms, slot
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState(
-            "recent", "label string, class_id string, confidence double, us bigint, seq bigint",
-            ttlDurationMs=self.ttl_ms)
+        self.recent = handle.getMapState(
+            "recent", T.StructType().add("slot", self.slot), "label array<string>, class_id array<string>, "
+            "confidence array<double>, us array<bigint>, seq array<bigint>", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
                         ) -> Iterator[pd.DataFrame]:
-        frame = _together(rows, ["us", "seq"])
-        held = [tuple(r) for r in self.recent.get()]
-        known = held[-1][3:] if held else None
-        late, histories = [], []
-        for row in zip(*(frame[c] for c in ("label", "class_id", "confidence", "us", "seq"))):
-            late.append(known is not None and row[3:] <= known)
-            if late[-1]:
-                histories.append([])
-                continue
-            held = [*held[-(self.window - 1):], row] if self.window > 1 else [row]
-            histories.append([{"label": h[0], "class_id": h[1], "confidence": h[2]} for h in held])
-        kept = held[-max(1, self.window - 1):]
-        self.recent.put([(h[0], h[1], float(h[2]), int(h[3]), int(h[4])) for h in kept])
-        yield frame.drop(columns="us").assign(late=late, history=histories)
+        frame, codes, slots = _by_key(pd.concat(list(rows), ignore_index=True), "slot", ["us", "seq"])
+        us, seq = frame["us"].to_numpy(), frame["seq"].to_numpy()
+        held: dict[str, list] = {name: [] for name in self.FIELDS}
+        held_code: list[int] = []
+        known_us, known_seq = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
+        known = np.zeros(len(slots), bool)
+        for code, slot in enumerate(slots):
+            before = self.recent.getValue((slot,))
+            if before is not None:
+                for name, values in zip(self.FIELDS, before):
+                    held[name] += values
+                held_code += [code] * len(before[3])
+                known[code], known_us[code], known_seq[code] = True, before[3][-1], before[4][-1]
+        first = known_us[codes]
+        late = known[codes] & ((us < first) | ((us == first) & (seq <= known_seq[codes])))
+        # Held rows come before the new ones of their slot, as those that do not are late.
+        n_held, fresh = len(held_code), np.flatnonzero(~late)
+        code = np.concatenate((np.array(held_code, np.int64), codes[fresh]))
+        columns = {name: np.concatenate((
+            np.array(held[name], frame[name].to_numpy().dtype), frame[name].to_numpy()[fresh])) for name in self.FIELDS}
+        order = np.argsort(code, kind="stable")
+        code, source = code[order], order - n_held
+        columns = {name: values[order] for name, values in columns.items()}
+        starts = np.searchsorted(code, np.arange(len(slots) + 1))
+        place = np.arange(len(code)) - starts[code]
+        mine = source >= 0
+        target = fresh[source[mine]]
+        added: dict[str, Any] = {"late": late, "_n": np.zeros(len(frame), np.int32)}
+        added["_n"][target] = np.minimum(place[mine] + 1, self.window)
+        for k in range(self.window):
+            has = mine & (place >= k)
+            for name in self.HISTORY:
+                values = np.full(len(frame), np.nan) if name == "confidence" else np.full(len(frame), None, object)
+                values[fresh[source[has]]] = columns[name][np.flatnonzero(has) - k]
+                added[f"_{name}{k}"] = values
+        lists = {name: values.tolist() for name, values in columns.items()}
+        for number, slot in enumerate(slots):
+            end = int(starts[number + 1])
+            begin = max(int(starts[number]), end - max(1, self.window - 1))
+            self.recent.updateValue((slot,), tuple(lists[name][begin:end] for name in self.FIELDS))
+        yield pd.concat([frame.drop(columns=["us", "_bucket"], errors="ignore"), pd.DataFrame(added)], axis=1)
 
     def close(self) -> None:
         pass
@@ -79,32 +122,38 @@ class QueueRow(StatefulProcessor):
               "next_us bigint, enqueued_us bigint, claimed_us bigint, changes bigint")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("row", self.SCHEMA)
+        self.row = handle.getMapState("row", "url string", self.SCHEMA)
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        first = initialState.iloc[0]
-        self.row.update(tuple(_plain(first[f]) for f in self.FIELDS))
+        for url, *values in zip(*(initialState[c].tolist() for c in ("url", *self.FIELDS))):
+            self.row.updateValue((_plain(url),), _whole(values))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
                         ) -> Iterator[pd.DataFrame]:
-        frame = _together(rows, ["us", "seq"])
-        state = dict(zip(self.FIELDS, self.row.get())) if self.row.exists() else None
-        touched = False
-        for source, kind, action, error, us in zip(
-                *(frame[c] for c in ("source", "kind", "action", "error", "us"))):
-            if state is None:
-                if action == "enqueue":
-                    state = dict(source=source, kind=kind, status="pending", attempts=0,
-                                 last_error=None, next_us=us, enqueued_us=us, claimed_us=None, changes=0)
+        frame, codes, urls = _by_key(pd.concat(list(rows), ignore_index=True), "url", ["us", "seq"])
+        events = list(zip(*(frame[c].tolist() for c in ("source", "kind", "action", "error", "us"))))
+        starts = np.searchsorted(codes, np.arange(len(urls) + 1)).tolist()
+        changed = []
+        for code, url in enumerate(urls):
+            held = self.row.getValue((url,))
+            state = None if held is None else dict(zip(self.FIELDS, held))
+            touched = False
+            for source, kind, action, error, us in events[starts[code]:starts[code + 1]]:
+                if state is None:
+                    if action == "enqueue":
+                        state = dict(source=source, kind=kind, status="pending", attempts=0, last_error=None,
+                                     next_us=us, enqueued_us=us, claimed_us=None, changes=0)
+                        touched = True
+                elif action != "enqueue":
+                    state.update(_after(action, _plain(error), us, state))
                     touched = True
-            elif action != "enqueue":
-                state.update(_after(action, _plain(error), int(us), state))
-                touched = True
-        if touched:
-            state["changes"] += 1
-            values = tuple(_plain(state[f]) for f in self.FIELDS)
-            self.row.update(values)
-            yield pd.DataFrame([(key[0], *values)], columns=["url", *self.FIELDS]).astype(
+            if touched:
+                state["changes"] += 1
+                values = _whole([state[f] for f in self.FIELDS])
+                self.row.updateValue((url,), values)
+                changed.append((url, *values))
+        if changed:
+            yield pd.DataFrame(changed, columns=["url", *self.FIELDS]).astype(
                 {f: "Int64" for f in ("next_us", "enqueued_us", "claimed_us", "changes", "attempts")})
 
     def close(self) -> None:
@@ -118,6 +167,11 @@ def _plain(value: Any) -> Any:
     return value.item() if hasattr(value, "item") else value
 
 
+def _whole(row: list) -> tuple:
+    """A queue row as the state takes it: pandas makes floats of whole numbers beside nulls."""
+    return tuple(int(v) if isinstance(v, float) else v for v in map(_plain, row))
+
+
 def _after(action: str, error: str | None, us: int, row: dict) -> dict:
     """What an event changes in the row of a known URL."""
     if action == "done":
@@ -134,35 +188,43 @@ def _after(action: str, error: str | None, us: int, row: dict) -> dict:
     return {}
 
 
-class FirstRow(StatefulProcessor):
-    """The first row of a key by ``order``, of the batch in which the key comes first."""
+def first_of_batch(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of every key by ``order`` in each micro-batch; nulls come last.
 
-    def __init__(self, order: list[str]) -> None:
-        self.order = order
+    All rows of a key in a micro-batch lie in one task, which holds one row per key, and as many more
+    before it sorts them again.
+    """
+    names = stream.columns
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "known boolean")
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        sorted_rows = 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in held) > max(2 * sorted_rows, 100_000):
+                held = [reduced(held)]
+                sorted_rows = held[0].num_rows
+        if held:
+            yield from reduced(held).to_batches()
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-                        ) -> Iterator[pd.DataFrame]:
-        best = None
-        for frame in rows:  # one row is held, however many copies come
-            first = frame.sort_values(self.order, kind="stable").head(1)
-            best = first if best is None else pd.concat([best, first]).sort_values(
-                self.order, kind="stable").head(1)
-        if not self.seen.exists():
-            self.seen.update((True,))
-            yield best
+    def reduced(tables: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(tables).sort_by([(c, "ascending") for c in order])
+        places = rows.select([key]).append_column("_place", pa.array(np.arange(rows.num_rows)))
+        return rows.take(places.group_by(key).aggregate([("_place", "min")])["_place_min"]).select(names)
 
-    def close(self) -> None:
-        pass
+    return stream.repartition(F.col(key)).mapInArrow(firsts, stream.schema)
 
 
 def keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: Any,
           start: DataFrame | None = None, expires: bool = False) -> DataFrame:
-    """``stream`` through ``processor``, one state per value of ``key``; ``expires`` if states have a
-    time to live."""
+    """``stream`` through ``processor``, one entry of its map state per value of ``key``; ``expires`` if
+    entries have a time to live. The rows have their bucket in ``_bucket``."""
     use_rocksdb(stream.sparkSession)
-    return stream.groupBy(key).transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+    def grouped(rows: DataFrame) -> Any:
+        return rows.withColumn("_bucket", bucket).groupBy("_bucket")
+
+    return grouped(stream).transformWithStateInPandas(
         processor, schema, "Append", "ProcessingTime" if expires else "None",
-        initialState=None if start is None else start.groupBy(key))
+        initialState=None if start is None else grouped(start))
