@@ -91,25 +91,30 @@ def parse_underscore_class(col: Column) -> Column:
 
 def parse_id_path(col: Column) -> Column:
     """``[…/]image/<make>/<model>/<year>/<name>.jpg`` → struct(make_id, model_id, year, reason)."""
-    pattern = r"^image/(\d+)/(\d+)/([^/]+)/([^/]+)\.jpg$"
-    path = F.when(col.startswith("image/"), col).otherwise(
-        F.regexp_replace(col, r"(?s)^.*/(image/)", "$1")
-    )
-    make_id = text.extract(path, pattern, 1).try_cast("bigint")
-    model_id = text.extract(path, pattern, 2).try_cast("bigint")
-    token = F.regexp_extract(path, pattern, 3)
-    year = token.try_cast("int")
-    reason = (
-        F.when(path.isNull() | ~path.rlike(pattern), "not an image path")
-        .when((make_id <= 0) | (model_id <= 0), "non-positive id")
-        .when((token == "5008") | ~token.rlike(r"^\d{4}$"), "unusable year")
-        .when(~year.between(1900, 2099), "year out of range")
-    )
-    good = reason.isNull()
-    return F.struct(
-        F.when(good, make_id).alias("make_id"), F.when(good, model_id).alias("model_id"),
-        F.when(good, year).alias("year"), reason.alias("reason"),
-    )
+    path = F.when(col.startswith("image/") | ~col.contains("/image/"), col).otherwise(
+        F.concat(F.lit("image/"), F.substring_index(col, "/image/", -1)))
+    found = F.regexp_extract(path, r"^image/(\d+/\d+/[^/]+)/[^/]+\.jpg$", 1)
+
+    def fields(part: Column) -> Column:
+        make_id, model_id = part["make"].try_cast("bigint"), part["model"].try_cast("bigint")
+        token = part["token"]
+        year = token.try_cast("int")
+        reason = (
+            F.when(token.isNull(), "not an image path")
+            .when((make_id <= 0) | (model_id <= 0), "non-positive id")
+            .when((token == "5008") | ~token.rlike(r"^\d{4}$"), "unusable year")
+            .when(~year.between(1900, 2099), "year out of range")
+        )
+        good = reason.isNull()
+        return F.struct(
+            F.when(good, make_id).alias("make_id"), F.when(good, model_id).alias("model_id"),
+            F.when(good, year).alias("year"), reason.alias("reason"),
+        )
+
+    # The path is matched once per row, however many fields are taken.
+    return text.let(F.split(found, "/"), lambda parts: text.let(F.struct(
+        F.get(parts, F.lit(0)).alias("make"), F.get(parts, F.lit(1)).alias("model"),
+        F.get(parts, F.lit(2)).alias("token")), fields))
 
 
 def parse_spaced_class(df: DataFrame, column: str, makes: DataFrame) -> DataFrame:

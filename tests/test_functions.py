@@ -269,3 +269,18 @@ def test_long_markup_takes_linear_time(spark):
     assert time.time() - began < 60
     found = {r.i: (r.n, r.links) for r in rows}
     assert found[0] == (n, 0) and found[1] == (1, 0) and found[10] == (0, n // 10)
+
+
+def test_id_path_is_matched_once(spark):
+    rows = spark.range(3).select(labels.parse_id_path(F.concat(F.lit("x/image/1/2/2012/a"), "id", F.lit(".jpg"))).alias("c"))
+    plan = rows.select("c.make_id", "c.year", "c.reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1 and "regexp_replace" not in plan
+
+
+def test_id_paths_with_odd_parts(evaluate):
+    got = evaluate(labels.parse_id_path(V), [
+        "/image/1/2/2012/a.jpg", "x/image/image/1/2/2012/a.jpg", "image/9/image/1/2/2012/a.jpg",
+        "a\nb/image/1/2/2012/a.jpg", "ximage/1/2/2012/a.jpg", "image/99999999999999999999/2/2012/a.jpg", "", None])
+    assert [(r["make_id"], r["reason"]) for r in got] == [
+        (1, None), (1, None), (None, "not an image path"), (1, None), (None, "not an image path"), (None, None),
+        (None, "not an image path"), (None, "not an image path")]
