@@ -246,3 +246,46 @@ def test_enqueue_first_wins(spark):
     out = crawlqueue.enqueue(_start(spark, ["a"]), rows, NOW, ["parent_listing_id"])
     got = {r.url: (r.kind, r.parent_listing_id, r.enqueued_at) for r in out.collect()}
     assert got["b"][:2] == ("image", "p1") and got["a"][2] == T0 and len(got) == 2
+
+
+class _Entries(dict):
+    """A map state in memory."""
+
+    def getMapState(self, *args, **options):  # noqa: N802
+        return self
+
+    getValue = dict.get  # noqa: N815
+    updateValue = dict.__setitem__  # noqa: N815
+
+
+def test_one_call_handles_all_keys_of_a_bucket():
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from motorgrid.streaming import state
+
+    fold = state.QueueRow()
+    entries = _Entries()
+    fold.init(entries)
+    rows = pd.DataFrame([(u, "bat", "listing", a, None, i, i) for i, (u, a) in enumerate(
+        [("u", "enqueue"), ("v", "enqueue"), ("u", "failed"), ("w", "done")])],
+        columns=["url", "source", "kind", "action", "error", "us", "seq"])
+    changed = pd.concat(list(fold.handleInputRows((1,), iter([rows]), None)))
+    assert dict(zip(changed["url"], changed["status"])) == {"u": "failed", "v": "pending"}
+    assert set(entries) == {("u",), ("v",)}
+    recent = state.RecentPredictions(3, None, T.StringType())
+    entries = _Entries()
+    recent.init(entries)
+    rows = pd.DataFrame([(s, "l" + s, "c", 0.5, i, i) for i, s in enumerate("abaabb")],
+                        columns=["slot", "label", "class_id", "confidence", "us", "seq"])
+    got = pd.concat(list(recent.handleInputRows((1,), iter([rows]), None)))
+    assert dict(zip(got["seq"], got["_n"])) == {0: 1, 1: 1, 2: 2, 3: 3, 4: 2, 5: 3}
+    assert set(entries) == {("a",), ("b",)} and entries["b",][4] == [4, 5]
+
+
+def test_first_of_a_batch_with_null_keys(spark):
+    from motorgrid.streaming.state import first_of_batch
+
+    rows = spark.createDataFrame([("a", 3), (None, 5), ("a", 1), (None, 4), ("b", None), ("b", 9)], "k string, n int")
+    assert sorted((str(r.k), r.n) for r in first_of_batch(rows, "k", ["n"]).collect()) == [
+        ("None", 4), ("a", 1), ("b", 9)]
