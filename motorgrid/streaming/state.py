@@ -8,6 +8,8 @@ are handled together, so the trigger bounds them.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from typing import Any
 
@@ -25,6 +27,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 SECOND = 1_000_000
 # Buckets of a keyed state; a checkpoint is bound to the number.
 BUCKETS = 1024
+# Slots of a bucket that share an entry of its state, at most on average.
+CHUNK_SLOTS = 64
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -69,8 +73,7 @@ class RecentPredictions(StatefulProcessor):
         held_code: list[int] = []
         known_us, known_seq = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
         known = np.zeros(len(slots), bool)
-        for code, slot in enumerate(slots):
-            before = self.recent.getValue((slot,))
+        for code, before in enumerate(self._load(slots, timerValues)):
             if before is not None:
                 for name, values in zip(self.FIELDS, before):
                     held[name] += values
@@ -99,15 +102,76 @@ class RecentPredictions(StatefulProcessor):
                 values[fresh[source[has]]] = columns[name][np.flatnonzero(has) - k]
                 added[f"_{name}{k}"] = values
         lists = {name: values.tolist() for name, values in columns.items()}
-        for number, slot in enumerate(slots):
-            end = int(starts[number + 1])
-            begin = max(int(starts[number]), end - max(1, self.window - 1))
-            self.recent.updateValue((slot,), tuple(lists[name][begin:end] for name in self.FIELDS))
+        ends = starts[1:].tolist()
+        begins = np.maximum(starts[:-1], starts[1:] - max(1, self.window - 1)).tolist()
+        self._save(slots, [tuple(lists[name][begin:end] for name in self.FIELDS) for begin, end in zip(begins, ends)])
         yield pd.concat([frame.drop(columns=["us", "_bucket"], errors="ignore"), pd.DataFrame(added)], axis=1)
 
     def close(self) -> None:
         pass
 
+    def _load(self, slots: list, timer: Any) -> list[tuple | None]:
+        """What is held of each slot."""
+        return [self.recent.getValue((slot,)) for slot in slots]
+
+    def _save(self, slots: list, values: list[tuple]) -> None:
+        for slot, value in zip(slots, values):
+            self.recent.updateValue((slot,), value)
+
+
+class PackedPredictions(RecentPredictions):
+    """The same with up to ``CHUNK_SLOTS`` slots in one entry of the state, as a call per slot would be most
+    of the work. Entries are split in two when the slots of the bucket become more, one at a time, so a slot
+    costs no more than its entry, however many there are."""
+
+    SIZE = -1  # the entry that tells the number of chunks and of slots
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.chunks = handle.getMapState("chunks", "chunk int", "packed binary", ttlDurationMs=self.ttl_ms)
+
+    def _get(self, chunk: int) -> Any:
+        held = self.chunks.getValue((chunk,))
+        return None if held is None else pickle.loads(bytes(held[0]))
+
+    def _put(self, chunk: int, held: Any) -> None:
+        self.chunks.updateValue((chunk,), (pickle.dumps(held, protocol=4),))
+
+    def _alive(self, chunk: int) -> tuple[dict, int]:
+        """The slots of a chunk that are not forgotten, and how many are; the entry outlives them."""
+        held = self._get(chunk) or {}
+        alive = {slot: (ms, value) for slot, (ms, value) in held.items()
+                 if self.ttl_ms is None or ms + self.ttl_ms > self.now}
+        return alive, len(held) - len(alive)
+
+    def _load(self, slots: list, timer: Any) -> list[tuple | None]:
+        self.n_chunks, self.n_slots = self._get(self.SIZE) or (1, 0)
+        self.now = timer.getCurrentProcessingTimeInMs() if self.ttl_ms is not None else 0
+        self.places = [_place(slot) % self.n_chunks for slot in slots]
+        self.open = {}
+        for chunk in sorted(set(self.places)):
+            self.open[chunk], gone = self._alive(chunk)
+            self.n_slots -= gone
+        return [self.open[chunk].get(slot, (0, None))[1] for chunk, slot in zip(self.places, slots)]
+
+    def _save(self, slots: list, values: list[tuple]) -> None:
+        for chunk, slot, value in zip(self.places, slots, values):
+            self.n_slots += slot not in self.open[chunk]
+            self.open[chunk][slot] = (self.now, value)
+        for chunk, held in self.open.items():
+            self._put(chunk, held)
+        while self.n_slots > CHUNK_SLOTS * self.n_chunks:
+            # Forgotten slots may still be counted.
+            self.n_slots = sum(len(self._alive(chunk)[0]) for chunk in range(self.n_chunks))
+            if self.n_slots <= CHUNK_SLOTS * self.n_chunks // 2:
+                break
+            for chunk in range(self.n_chunks):
+                held, _ = self._alive(chunk)
+                for part in (chunk, chunk + self.n_chunks):
+                    self._put(part, {slot: entry for slot, entry in held.items()
+                                     if _place(slot) % (2 * self.n_chunks) == part})
+            self.n_chunks *= 2
+        self._put(self.SIZE, (self.n_chunks, self.n_slots))
+
 
 class QueueRow(StatefulProcessor):
     """Folds the events of a URL into its queue row and returns the row where it changed.
@@ -160,6 +224,11 @@ class QueueRow(StatefulProcessor):
         pass
 
 
+def _place(slot: Any) -> int:
+    """A number for a slot that is the same in every process."""
+    return zlib.crc32(repr(slot).encode())
+
+
 def _plain(value: Any) -> Any:
     """A value that the state takes: null for what pandas calls missing, Python's own numbers."""
     if value is None or value is pd.NaT or value is pd.NA or value != value:

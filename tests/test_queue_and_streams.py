@@ -289,3 +289,51 @@ def test_first_of_a_batch_with_null_keys(spark):
     rows = spark.createDataFrame([("a", 3), (None, 5), ("a", 1), (None, 4), ("b", None), ("b", 9)], "k string, n int")
     assert sorted((str(r.k), r.n) for r in first_of_batch(rows, "k", ["n"]).collect()) == [
         ("None", 4), ("a", 1), ("b", 9)]
+
+
+def test_slots_share_entries_of_the_state():
+    """500 slots over three batches: the rows of a call per slot, by far fewer calls; silent slots are forgotten."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from motorgrid.streaming import state
+
+    class Clock:
+        ms = 0
+
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return self.ms
+
+    class Counted(_Entries):
+        calls = 0
+
+        def getValue(self, key):  # noqa: N802
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.calls += 1
+            self[key] = value
+
+    rng = random.Random(5)
+    one, packed = state.RecentPredictions(3, None, T.StringType()), state.PackedPredictions(3, 1000, T.StringType())
+    entries, clock = Counted(), Clock()
+    one.init(_Entries())
+    packed.init(entries)
+
+    def both(rows):
+        frame = pd.DataFrame(rows, columns=["slot", "label", "class_id", "confidence", "us", "seq"])
+        return [pd.concat(list(p.handleInputRows((1,), iter([frame]), clock))) for p in (one, packed)]
+
+    for batch in range(3):
+        clock.ms = 400 * batch
+        slots = [None if i == 7 else f"s{i}" for i in range(500) if batch == 0 or i % (batch + 1) == 1] * 2
+        before = entries.calls
+        rows = [(s, rng.choice("abc"), "c", 0.5, 100 * batch + i, i) for i, s in enumerate(slots)]
+        left, right = both(rows)
+        pd.testing.assert_frame_equal(left, right)
+        assert entries.calls - before < 150
+    assert (packed.n_slots, packed.n_chunks) == (500, 8)
+    clock.ms = 1500
+    row = [(s, "a", "c", 0.5, 10_000, 0) for s in ("s3", "s4", "s0", "new")]
+    assert list(both(row)[1].sort_values("slot")["_n"]) == [1, 1, 1, 3]
