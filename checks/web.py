@@ -304,7 +304,7 @@ def _(spark, sf):
     FROM (SELECT *, {_SRC_SQL} AS source FROM part), range(2) t(i)
     WHERE {_RICH} OR source = 'craigslist'""")
 def _(spark, sf):
-    return pages.image_items(pages.parse_listings(listing_pages(spark, sf), 2026))
+    return pages.image_items(pages.listing_images(listing_pages(spark, sf), 2026))
 
 
 @query("jsonld_blocks", """

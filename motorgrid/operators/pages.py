@@ -136,6 +136,25 @@ def gallery_images(marked: Column) -> Column:
         lambda u: u.startswith("https://") & u.contains(K.GALLERY_HOST)))
 
 
+def _classified_images(url: Column, marked: Column) -> Column:
+    """https or http images of a marked-up classified page: thumbs, then the gallery."""
+    thumbs = F.transform(
+        F.filter(H.tags(marked, "a"), lambda t: H.has_class(t, "thumb")),
+        lambda t: H.attribute(t, "href"))
+    shown = F.transform(H.tags_within(
+        marked, "div", lambda tag: H.attribute(tag, "class").rlike(r"\b(?:gallery|swipe)\b"), "img"),
+        lambda t: H.attribute(t, "src"))
+    return F.filter(
+        _normalized(url, F.filter(F.concat(thumbs, shown), lambda u: u.isNotNull())),
+        lambda u: u.rlike("^https?://"))
+
+
+def _post_id(marked: Column) -> Column:
+    notes = F.transform(H.sections(marked, "p", "postinginfo"), lambda p: F.regexp_extract(
+        F.lower(H.inner_text(p)), r"post id:\s*(\d{6,})", 1))
+    return F.get(F.filter(notes, lambda n: n != ""), F.lit(0))
+
+
 def classified_fields(url: Column, marked: Column, current_year: int) -> Column:
     """struct of a marked-up classified page: title parts, attributes, VIN, images, post id."""
     heading = H.element(marked, "h[12]", lambda tag: H.has_class(tag, "postingtitle"))
@@ -150,24 +169,12 @@ def classified_fields(url: Column, marked: Column, current_year: int) -> Column:
     attrs = F.lower(F.array_join(spans, " | "))
     body = F.coalesce(H.inner_text(H.element(
         marked, "section", lambda tag: H.attribute(tag, "id") == "postingbody")), F.lit(""))
-    thumbs = F.transform(
-        F.filter(H.tags(marked, "a"), lambda t: H.has_class(t, "thumb")),
-        lambda t: H.attribute(t, "href"))
-    shown = F.transform(H.tags_within(
-        marked, "div", lambda tag: H.attribute(tag, "class").rlike(r"\b(?:gallery|swipe)\b"), "img"),
-        lambda t: H.attribute(t, "src"))
-    images = F.filter(
-        _normalized(url, F.filter(F.concat(thumbs, shown), lambda u: u.isNotNull())),
-        lambda u: u.rlike("^https?://"))
-    notes = F.transform(H.sections(marked, "p", "postinginfo"), lambda p: F.regexp_extract(
-        F.lower(H.inner_text(p)), r"post id:\s*(\d{6,})", 1))
-    post_id = F.get(F.filter(notes, lambda n: n != ""), F.lit(0))
     return F.struct(
         title.alias("title"), titles.free_title(title, current_year).alias("parsed"),
         text.parse_digits(text.key_value(attrs, "odometer")).alias("mileage"),
         text.title_case(text.key_value(attrs, "type")).alias("body_style"),
-        titles.vin(attrs, body).alias("vin"), images.alias("image_urls"),
-        post_id.alias("post_id"),
+        titles.vin(attrs, body).alias("vin"), _classified_images(url, marked).alias("image_urls"),
+        _post_id(marked).alias("post_id"),
     )
 
 
@@ -183,6 +190,52 @@ def unescaped_title(marked: Column) -> Column:
     return H.inner_text(H.element(marked, "title", lambda _: F.lit(True)), "")
 
 
+def _images(src: Column, classified: Column, linked: Column) -> Column:
+    return (
+        F.when(src == "craigslist", classified)
+        .when((src == "cars_com") & (F.coalesce(F.size(linked), F.lit(0)) <= 0), F.col("_photos"))
+        .otherwise(F.coalesce(linked, F.array().cast("array<string>")))
+    )
+
+
+def _failure(src: Column, year: Column, make: Column) -> Column:
+    """Why a page gives no listing, null if it gives one."""
+    no_vehicle = F.when(
+        src == "cars_com",
+        F.col("_node").isNull() & F.col("_state").isNull() & (year.isNull() | make.isNull())
+    ).when(src == "craigslist", False).otherwise(F.col("_node").isNull())
+    return (
+        F.when(~src.isin(*K.QUEUE_SOURCES) | src.isNull(), "no parser for the source")
+        .when(F.col("_id").isNull(), "no listing id in the URL")
+        .when(no_vehicle, "no vehicle data on the page")
+    )
+
+
+def listing_images(pages: DataFrame, current_year: int) -> DataFrame:
+    """listing_id, source and image_urls as ``parse_listings`` gives them, without the other fields."""
+    src, url = F.col("source"), F.col("url")
+    marked, shown = F.col("_marked"), F.col("_shown")
+    classified = src == "craigslist"
+    staged = text.with_once(_shown(pages.where("kind = 'listing'").select("source", "url", "html")).drop("html"), {
+        "_node": F.when(~classified, jsonld.find_vehicle(jsonld.blocks(marked))),
+        "_state": F.when(src == "cars_com", jsonld.page_state(marked)),
+    }).drop("_marked")
+    # A title makes a listing only where nothing else does.
+    bare = (src == "cars_com") & F.col("_node").isNull() & F.col("_state").isNull()
+    staged = text.with_once(staged, {
+        "_cl": F.when(classified, _classified_images(url, shown)),
+        "_ld": F.when(F.col("_node").isNotNull(), jsonld.image_urls(jsonld.child(F.col("_node"), "$.image"))),
+        "_photos": F.when(src == "cars_com", gallery_images(shown)),
+        "_head": F.when(bare, titles.page_title(page_heading(shown), current_year)),
+        "_id": F.coalesce(urls.native_id(url, src), F.when(classified, _post_id(shown))),
+    }).drop("_shown")
+    good = _failure(src, F.col("_head.year"), F.col("_head.make")).isNull()
+    return text.with_once(staged, {
+        "listing_id": F.when(good, F.concat(src, F.lit(":"), F.col("_id"))),
+        "image_urls": F.when(good, _images(src, F.col("_cl"), F.col("_ld")))}).select(
+        "listing_id", "source", "image_urls")
+
+
 def parse_listings(pages: DataFrame, current_year: int) -> DataFrame:
     """Listing pages → one row each: listing fields, image_urls and note.
 
@@ -253,24 +306,10 @@ def parse_listings(pages: DataFrame, current_year: int) -> DataFrame:
         "mileage": F.coalesce("_ld.mileage", "_st.mileage", "_cl.mileage").cast("int"),
         "vin": F.coalesce("_ld.vin", "_st.vin", "_cl.vin"),
     }
-    images = (
-        F.when(classified, F.col("_cl.image_urls"))
-        .when((src == "cars_com") & (F.coalesce(F.size("_ld.image_urls"), F.lit(0)) <= 0),
-              F.col("_photos"))
-        .otherwise(F.coalesce(F.col("_ld.image_urls"), F.array().cast("array<string>")))
-    )
+    images = _images(src, F.col("_cl.image_urls"), F.col("_ld.image_urls"))
     filled = text.with_once(
         staged, {**{f"_{name}": value for name, value in fields.items()}, "_images": images})
-    no_vehicle = F.when(
-        src == "cars_com",
-        F.col("_node").isNull() & F.col("_state").isNull()
-        & (F.col("_year").isNull() | F.col("_make").isNull())
-    ).when(classified, False).otherwise(F.col("_node").isNull())
-    failure = (
-        F.when(~src.isin(*K.QUEUE_SOURCES) | src.isNull(), "no parser for the source")
-        .when(F.col("_id").isNull(), "no listing id in the URL")
-        .when(no_vehicle, "no vehicle data on the page")
-    )
+    failure = _failure(src, F.col("_year"), F.col("_make"))
     remark = (
         F.when((src == "cars_com") & F.col("_node").isNull(), "page state used")
         .when(classified & F.col("_cl.title").isNull(), "no title")

@@ -379,3 +379,24 @@ def test_orderings(spark):
     assert [r.listing_id for r in filters.list_by_class(listings).collect()] == ["2", "3", "1"]
     assert [r.listing_id for r in filters.list_by_class(listings, make="Kia", model="Rio", limit=1).collect()] == ["2"]
     assert filters.list_by_class(listings, year=1).count() == 0
+
+
+def test_images_of_listings_without_their_other_fields(spark):
+    """The rows of ``parse_listings``, for pages with and without a listing, and no hash of the page."""
+    photo = '<img slot="image" src="https://platform.cstatic-images.com/1.jpg">'
+    cars, post = "https://www.cars.com/vehicledetail/{}/", "https://sfbay.craigslist.org/eby/cto/d/x/{}.html"
+    thumb = '<a class="thumb" href="/t.jpg"></a><p class="postinginfo">post id: 7654321</p>'
+    rows = [(cars.format("a1"), "cars_com", photo + _ld(VEHICLE)), (cars.format("a2"), "cars_com", photo),
+            (cars.format("a3"), "cars_com", f"<title>2019 Honda Civic LX | Cars.com</title>{photo}"),
+            (post.format(7654321), "craigslist", thumb), ("https://x.craigslist.org/z", "craigslist", thumb),
+            ("https://bringatrailer.com/listing/lot-1/", "bat", "<p>nothing</p>"),
+            ("https://www.autotrader.com/cars-for-sale/vehicle/1000001", "autotrader", _ld(VEHICLE)),
+            ("https://other/1", "other", _ld(VEHICLE)), ("https://other/2", None, _ld(VEHICLE)),
+            (cars.format("a4"), "cars_com", None)]
+    df = spark.createDataFrame([(u, s, "listing", h, None, None, None) for u, s, h in rows], PAGE)
+    found = pages.listing_images(df, 2026)
+    names = ["listing_id", "source", "image_urls"]
+    assert sorted(map(repr, found.collect())) == sorted(
+        map(repr, pages.parse_listings(df, 2026).select(*names).collect()))
+    assert found.where("listing_id is not null and size(image_urls) > 0").count() == 5
+    assert "sha2" not in found._jdf.queryExecution().executedPlan().toString()
