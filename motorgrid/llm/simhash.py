@@ -4,16 +4,22 @@ The top of the tree is built from a bounded sample and sends fingerprints to sha
 searched by one task with a tree of its own. Fingerprints near a boundary visit the neighbour shard as
 guests, so no pair is lost. A task returns one link per fingerprint that it can join to another, not
 all pairs; contraction then gives the components over all shards.
+
+Near copies (fingerprints within a wide reach and similar shingle sets) meet in other shards, as a wide reach
+visits nearly all of the tree: a shard is a shingle, and a set visits those of its rarest shingles that are so
+many that two similar sets have one in common.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorgrid.llm.common import drop_rows, regroup, settle
@@ -35,8 +41,12 @@ TASK_ROWS = 2_000_000
 TASK_ITEMS = 8_000_000
 _PAIRS = 4096
 ROUTED_ROWS = 1 << 16
-# Bits of the first comparison of near copies, which spares pairs of the full reach.
-NEAREST = 8
+# Documents whose shingles are counted, and the most shingles that are taken from them as frequent ones.
+COUNTED = 8_192
+FREQUENT = 65_536
+# Rows of a shard of near copies that are compared without a tree, and rows of the shards in one task.
+SHORT = 64
+BUCKET_ROWS = 1 << 18
 _HASHES = 1 << 16
 
 
@@ -127,10 +137,12 @@ def _nearest(reach: int) -> Callable:
 
 
 class _Open:
-    """Rows that have a linked row of another group, of a size that allows ``similarity``."""
+    """Rows that have a linked row of another group, of a size that allows ``similarity``; links are of rows from
+    ``base`` on."""
 
     def __init__(self, group: np.ndarray, size: np.ndarray, similarity: float) -> None:
         self.group, self.size, self.similarity = group, size, similarity
+        self.classes, self.base = Classes(len(group)), 0
         self.open = np.zeros(len(group), bool)
 
     def _fitting(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +152,9 @@ class _Open:
         return left[fits], right[fits]
 
     def link(self, left: np.ndarray, right: np.ndarray) -> None:
-        for rows in self._fitting(left, right):
-            self.open[rows] = True
+        left, right = self._fitting(left + self.base, right + self.base)
+        self.open[left] = self.open[right] = True
+        self.classes.link(left, right)
 
 
 class _Similar(_Open):
@@ -151,7 +164,6 @@ class _Similar(_Open):
                  sets: pa.ListArray) -> None:
         first, own = np.unique(group, return_index=True)[1], np.unique(group, return_inverse=True)[1]
         super().__init__(first[own], size, similarity)
-        self.classes = Classes(len(size))
         self.classes.label = self.group
         # Numbers in place of hashes, so that a set can be marked in a table.
         self.starts = sets.offsets.to_numpy()
@@ -184,13 +196,26 @@ class _Similar(_Open):
 
 
 def _opener(reach: int, similarity: float) -> Callable:
-    """The visits of a shard that have a pair left to compare."""
-    def run(key: tuple, shard: pa.Table) -> pa.Table:
-        fp = shard.column("fp").to_numpy().view(np.uint64)
-        found = _Open(*(shard.column(c).to_numpy() for c in ("group", "size")), similarity)
-        search(fp, shard.column("guest").to_numpy(zero_copy_only=False), reach, found)
-        kept = shard.filter(pa.array(found.open)).select(["fp", "node", "group", "size", "guest"])
-        return kept.append_column("leaf", pa.array(np.full(len(kept), key[0].as_py(), np.int32)))
+    """Rows with a pair left to compare; ``leaf`` is the smallest node that such pairs of a shard lead to."""
+    def run(shards: pa.Table) -> pa.Table:
+        shards = shards.sort_by([("leaf", "ascending"), ("node", "ascending")])
+        leaf, node, group, size = (shards.column(c).to_numpy() for c in ("leaf", "node", "group", "size"))
+        fp = shards.column("fp").to_numpy().view(np.uint64)
+        found = _Open(group, size, similarity)
+        cuts = np.flatnonzero(np.diff(leaf)) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(leaf)]))
+        for found.base, end in zip(*(x[ends - starts > SHORT].tolist() for x in (starts, ends))):
+            part = fp[found.base:end]
+            search(part, np.zeros(len(part), bool), reach, found)
+        found.base = 0
+        last = np.repeat(np.where(ends - starts > SHORT, 0, ends), ends - starts)
+        left, step = np.flatnonzero(last), 1
+        while len(left := left[left + step < last[left]]):
+            near = left[np.bitwise_count(fp[left] ^ fp[left + step]) <= reach]
+            found.link(near, near + step)
+            step += 1
+        kept = shards.filter(pa.array(found.open)).select(["fp", "node", "group", "size"])
+        return kept.append_column("leaf", pa.array(node[found.classes.label[found.open]]))
 
     return run
 
@@ -204,27 +229,29 @@ def _joiner(reach: int, similarity: float) -> Callable:
         joined = _Similar(shard.column("group").to_numpy(), np.diff(sets.offsets.to_numpy()),
                           similarity, sets)
         before = joined.group.copy()
-        search(shard.column("fp").to_numpy().view(np.uint64),
-               shard.column("guest").to_numpy(zero_copy_only=False), reach, joined)
+        search(shard.column("fp").to_numpy().view(np.uint64), np.zeros(len(node), bool), reach, joined)
         moved = np.flatnonzero(joined.group != before)
         return pa.table({"src": node[moved], "dst": node[joined.group[moved]]})
 
     return run
 
 
-def similar_links(prints: DataFrame, sets: Callable[[DataFrame], DataFrame], reach: int,
-                  similarity: float, sample: int = SAMPLE, depth: int = LEVELS,
+def similar_links(visits: DataFrame, sets: Callable[[DataFrame], DataFrame], reach: int, similarity: float,
                   task_rows: int = TASK_ROWS, task_items: int = TASK_ITEMS) -> DataFrame:
-    """Links (src, dst) that join, beyond their groups, all ``prints`` (fp, node, group, size) within
-    ``reach`` bits whose shingle sets are ``similarity`` alike.
+    """Links (src, dst) that join, beyond their groups, all nodes of a shard within ``reach`` bits whose shingle
+    sets are ``similarity`` alike; ``visits`` has leaf (the shard), fp, node, group and size, all long.
 
-    A first search finds the visits to shards that have a pair of unlike groups whose sizes allow it.
-    Only these get their sets (``sets`` makes them for given nodes) and are searched again; pairs are
-    compared inside the task, which returns links that join classes and never a pair.
+    A first search finds the nodes that have a pair of unlike groups whose sizes allow it. Shards that
+    find the same nodes become one by the smallest of these. Only they get their sets (``sets`` makes them
+    for given nodes) and are searched again; pairs are compared inside the task, which returns links that
+    join classes and never a pair.
     """
-    left = settle(_in_shards(
-        prints, reach, sample, depth, task_rows, _opener(reach, similarity),
-        "fp long, node long, group long, size long, guest boolean, leaf int").distinct(), "near-open")
+    full = visits.groupBy("leaf").count().where(F.col("count") > task_rows).collect()
+    met = _in_slices(visits, {r["leaf"]: -(-r["count"] // (task_rows // 2)) for r in full})
+    buckets = 1 + visits.count() // BUCKET_ROWS
+    met = met.withColumn("_bucket", F.pmod(F.xxhash64("leaf"), F.lit(buckets)))
+    left = settle(met.groupBy("_bucket", "_low", "_high").applyInArrow(
+        _opener(reach, similarity), "fp long, node long, group long, size long, leaf long").distinct(), "near-open")
     whole = sets(left.select("node").distinct())
     full = left.groupBy("leaf").agg(F.sum("size").alias("n")).where(F.col("n") > task_items).collect()
     met = _in_slices(left, {r["leaf"]: -(-r["n"] // (task_items // 2)) for r in full})
@@ -273,7 +300,7 @@ def _in_shards(prints: DataFrame, reach: int, sample: int, depth: int, task_rows
 def _in_slices(visits: DataFrame, slices: dict[int, int]) -> DataFrame:
     """``visits`` with ``_low`` and ``_high``: the rows of slice s meet those of every slice t in task
     (min, max), and each other in (s, s). Shards without an entry are one slice."""
-    counts = visits.sparkSession.createDataFrame(list(slices.items()), "leaf int, _slices long")
+    counts = visits.sparkSession.createDataFrame(list(slices.items()), "leaf long, _slices long")
     spread = visits.join(counts, "leaf", "left").withColumn(
         "_slices", F.coalesce("_slices", F.lit(1).cast("long")))
     spread = spread.withColumn("_s", F.pmod(F.xxhash64("fp"), F.col("_slices"))).withColumn(
@@ -306,47 +333,84 @@ def near_groups(docs: DataFrame, words: int = WORDS, reach: int = REACH) -> Data
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _set_prints(words: int, whole: bool) -> Callable:
-    """doc_id, sig (digest of the shingle set), and the set itself, or fp and size of the set."""
+def rarest(shingles: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The rarest of ``shingles`` (a set, ascending), so many that two sets of ``similarity`` have one in common.
+
+    Two such sets share at least similarity * size shingles of either. So in any order that holds for all
+    sets, the first size - similarity * size + 1 of both have one in common. The order here: shingles that
+    are not in ``frequent`` (ascending) by hash, then those of ``frequent`` by ``rank``.
+    """
+    count = len(shingles) + 1 - max(1, math.ceil(similarity * len(shingles) - 1e-6))
+    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+    known = frequent[at] == shingles if len(frequent) else np.zeros(len(shingles), bool)
+    late = at[known]
+    return np.concatenate((shingles[~known], frequent[late[np.argsort(rank[late])]]))[:count]
+
+
+def _set_prints(words: int, whole: bool, rare: Callable | None = None) -> Callable:
+    """doc_id, sig (digest of the shingle set), and the set itself, or fp and size of the set and what ``rare``
+    takes of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, prints, sets = [], [], []
+            sigs, prints, sizes, sets = [], [], [], []
             for text in batch.column("_text"):
                 hashes = shingle_hashes(text.as_py(), words)
-                sets.append(np.unique(hashes))
-                sigs.append(xxhash.xxh3_128_digest(sets[-1].tobytes()))
+                found = np.unique(hashes)
+                sigs.append(xxhash.xxh3_128_digest(found.tobytes()))
+                sizes.append(len(found))
                 if not whole:
                     prints.append(majority(hashes))
-                    sets[-1] = len(sets[-1])
-            first = [batch.column("doc_id"), pa.array(sigs, pa.binary())]
-            if whole:
-                yield pa.RecordBatch.from_arrays(
-                    [*first, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
-                    names=["doc_id", "sig", "shingles"])
-            else:
-                yield pa.RecordBatch.from_arrays(
-                    [*first, pa.array(np.array(prints, np.uint64).view(np.int64)),
-                     pa.array(sets, pa.int64())], names=["doc_id", "sig", "fp", "size"])
+                if whole or rare:
+                    sets.append((found if whole else rare(found)).view(np.int64))
+            columns = {"doc_id": batch.column("doc_id"), "sig": pa.array(sigs, pa.binary())}
+            if not whole:
+                columns |= {"fp": pa.array(np.array(prints, np.uint64).view(np.int64)),
+                            "size": pa.array(sizes, pa.int64())}
+            if whole or rare:
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                columns["shingles" if whole else "rare"] = pa.ListArray.from_arrays(
+                    pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def near_copies(docs: DataFrame, words: int, reach: int, similarity: float,
-                every_pair: bool = False, task_items: int = TASK_ITEMS) -> DataFrame:
+def _by_rarity(texts: DataFrame, words: int, similarity: float) -> Callable:
+    """``rarest`` with the frequent shingles of a bounded sample of ``texts``; the sample decides only how many rows
+    meet in a shard."""
+    share = min(1.0, COUNTED / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < int(HASHES * share))
+    counts = some.mapInArrow(
+        _set_prints(words, True), "doc_id long, sig binary, shingles array<long>").select(
+        F.explode("shingles").alias("s")).groupBy("s").count().where("count > 2")
+    often = [r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(FREQUENT).collect()]
+    frequent = np.array(often[::-1], np.int64).view(np.uint64)
+    order = np.argsort(frequent)
+    return functools.partial(rarest, similarity=similarity, frequent=frequent[order], rank=order)
+
+
+def near_copies(docs: DataFrame, words: int, reach: int, similarity: float, every_pair: bool = False,
+                task_rows: int = TASK_ROWS, task_items: int = TASK_ITEMS) -> DataFrame:
     """(doc_id, keep_id) of documents to drop: each is linked to one that stays by similar texts.
 
     With ``every_pair`` all pairs of documents whose fingerprints differ in at most ``reach`` bits are
-    linked if their shingle sets have a Jaccard similarity of ``similarity`` or more; of each group
-    that links connect the smallest doc_id stays. Equal sets are one node. Each node is first compared
-    with its nearest smaller one within NEAREST bits; then all pairs that those links do not connect
-    already are (see ``similar_links``), so a group of copies costs about a link each. Of several texts
-    of one doc_id one decides. Without ``every_pair`` a node is compared with its nearest smaller one
-    only, which misses similar pairs.
+    linked if their shingle sets have a Jaccard similarity of ``similarity`` (above 0) or more; of each
+    group that links connect the smallest doc_id stays. Equal sets are one node. Nodes meet in the shards
+    of their rarest shingles (see ``rarest``), so no similar pair is lost. Each node is first compared with
+    the smallest one of most of its shards; then all pairs that those links do not connect already are
+    (see ``similar_links``), so a group of copies costs about a link each. Of several texts of one
+    doc_id one decides. Without ``every_pair`` a node is compared with its nearest smaller one only, which
+    misses similar pairs.
     """
     texts = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
-    prints = settle(texts.mapInArrow(
-        _set_prints(words, False), "doc_id long, sig binary, fp long, size long").groupBy("doc_id").agg(
+    schema = "doc_id long, sig binary, fp long, size long"
+    if every_pair:
+        rows = settle(texts.mapInArrow(_set_prints(words, False, _by_rarity(texts, words, similarity)),
+                                       f"{schema}, rare array<long>"), "near-rows")
+    else:
+        rows = texts.mapInArrow(_set_prints(words, False), schema)
+    prints = settle(rows.groupBy("doc_id").agg(
         F.max(F.struct("sig", "fp", "size")).alias("p")).select("doc_id", "p.*"), "near-prints")
     nodes = settle(prints.groupBy("sig").agg(
         F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size")),
@@ -371,18 +435,31 @@ def near_copies(docs: DataFrame, words: int, reach: int, similarity: float,
         return settle(met.where((either == 0) | (both >= similarity * either)).select(
             F.col("doc_id").alias("src"), F.col("near").alias("dst")), "near-alike")
 
-    near = settle(nearest_smaller(
-        nodes.select("fp", "node"), min(reach, NEAREST) if every_pair else reach).select(
-        F.col("node").alias("doc_id"), "near"), "near-pairs")
-    found = alike(near)
     if every_pair:
+        shard = Window.partitionBy("leaf")
+        # Shards of a single document, nearly all of them, end here.
+        shared = settle(rows.select(F.col("doc_id").alias("node"), F.explode("rare").alias("leaf")).select(
+            "leaf", "node", F.min("node").over(shard).alias("low"), F.max("node").over(shard).alias("_high")).where(
+            "low < _high").drop("_high"), "near-shared")
+        votes = shared.where("low < node").groupBy("node", "low").count()
+        near = votes.groupBy("node").agg(F.max_by("low", F.struct("count", -F.col("low"))).alias("near"))
+        theirs = nodes.select(F.col("node").alias("near"), F.col("fp").alias("_fp"))
+        found = alike(settle(near.join(nodes.hint("merge"), "node").join(theirs.hint("merge"), "near").where(
+            F.bit_count(F.col("fp").bitwiseXOR(F.col("_fp"))) <= reach).select(
+            F.col("node").alias("doc_id"), "near"), "near-pairs"))
         groups = components(found).select("node", F.col("component").alias("group"))
-        grouped = settle(nodes.join(groups.hint("merge"), "node", "left").select(
-            "fp", "node", F.coalesce("group", "node").alias("group"), "size"), "near-groups")
+        grouped = nodes.join(groups.hint("merge"), "node", "left").select(
+            "fp", "node", F.coalesce("group", "node").alias("group"), "size")
+        visits = settle(shared.select("leaf", "node").join(grouped.hint("merge"), "node").select(
+            "leaf", "fp", "node", "group", "size", F.min("group").over(shard).alias("_low"),
+            F.max("group").over(shard).alias("_high")).where("_low < _high").drop("_low", "_high"), "near-visits")
         rest = similar_links(
-            grouped, lambda wanted: sets_of(wanted.select(F.col("node").alias("doc_id"))).select(
-                F.col("doc_id").alias("node"), "shingles"), reach, similarity, task_items=task_items)
+            visits, lambda wanted: sets_of(wanted.select(F.col("node").alias("doc_id"))).select(
+                F.col("doc_id").alias("node"), "shingles"), reach, similarity, task_rows, task_items)
         found = found.unionByName(settle(rest, "near-rest"))
+    else:
+        found = alike(settle(nearest_smaller(nodes.select("fp", "node"), reach).select(
+            F.col("node").alias("doc_id"), "near"), "near-pairs"))
     return components(found.unionByName(equal)).where("node <> component").select(
         F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
 

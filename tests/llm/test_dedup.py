@@ -226,6 +226,66 @@ def test_near_copies_are_all_similar_pairs(spark, task_items):
     assert len(staying(rows, 5, 24, 0.8)) > len(rows) - len(got)
 
 
+def test_rarest_shingles_of_similar_sets_meet():
+    rng = np.random.default_rng(4)
+    frequent = rng.choice(3000, 200, replace=False).astype(np.uint64)
+    order = np.argsort(frequent)
+    met = 0
+    for _ in range(3000):
+        one = np.unique(rng.integers(0, 3000, rng.integers(1, 60)).astype(np.uint64))
+        two = np.unique(np.concatenate((one[rng.random(len(one)) < 0.93], rng.integers(0, 3000, 3).astype(np.uint64))))
+        both = len(np.intersect1d(one, two))
+        for share in (0.5, 0.8, 1.0):
+            if both >= share * (len(one) + len(two) - both):
+                rare = [simhash.rarest(x, share, frequent[order], order) for x in (one, two)]
+                assert len(np.intersect1d(*rare)) > 0
+                met += 1
+    assert met > 2000
+    assert simhash.rarest(one[:0], 0.8, frequent[order], order).tolist() == []
+    assert simhash.rarest(one, 0.01, frequent[:0], order[:0]).tolist() == one.tolist()
+
+
+def test_near_copies_of_full_shards(spark):
+    """Shards of more rows than a task takes, most of whose pairs are not alike."""
+    rng = random.Random(21)
+    rows = []
+    for _ in range(2):
+        base = [f"w{rng.randrange(500)}" for _ in range(120)]
+        for _ in range(90):
+            edited = list(base)
+            for _ in range(rng.randint(0, 9)):
+                edited[rng.randrange(120)] = f"v{rng.randrange(500)}"
+            rows.append((rng.randrange(10**6), " ".join(edited)))
+    sets = [{" ".join(p[i:i + 5]) for i in range(len(p) - 4)} for p in (t.split() for _, t in rows)]
+    low, before = [d for d, _ in rows], None
+    while before != low:
+        before = list(low)
+        for i, a in enumerate(sets):
+            low[i] = min(low[j] for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b))
+    assert 5 < len(set(low)) < len(rows)
+    docs = spark.createDataFrame([(*r, 0, "a") for r in rows], SCHEMA)
+    for task_rows in (40, 10**6):
+        found = simhash.near_copies(docs, 5, 64, 0.8, every_pair=True, task_rows=task_rows)
+        assert {r["doc_id"]: r["keep_id"] for r in found.collect()} == {
+            d: k for (d, _), k in zip(rows, low) if d != k}
+
+
+def test_unlike_texts_do_not_meet(spark, monkeypatch):
+    """Work on near copies grows with the texts, not with their pairs: no step makes more rows than texts."""
+    rng, made, settle = random.Random(8), {}, simhash.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "settle", counted)
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(60)), 0, "a") for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert simhash.near_copies(docs, 5, 14, 0.8, every_pair=True).count() == 0
+    assert max(made.values()) == 400
+
+
 def test_components_of_a_long_chain(spark):
     nodes = list(range(300))
     random.Random(2).shuffle(nodes)
