@@ -218,6 +218,24 @@ def test_neighbours_are_sought_in_the_whole_host(spark):
         assert got[200] == "Other text" and got[300] == "Home\nAbout us\nAlone"
 
 
+def test_differencing_decides_on_pages_with_an_article(spark):
+    """Lines outside an article stay unless the nearest page has them as well, however large the frame is."""
+    def page(body, article):
+        return f"<div>{'Menu ' * 50}</div><div>{body}</div><article><p>{article}</p></article><p>Imprint</p>"
+
+    rows = [(i, f"http://h.org/n/{i:03}", page(f"Body {i}", f"Card {i}")) for i in range(30)]
+    # Copies of an article, pages without lines beside them, and a host with no other page.
+    rows += [(i, f"http://h.org/p/{i:03}", page(f"Place {i}", "Same card")) for i in range(40, 60)]
+    rows += [(i, f"http://h.org/p/{i - 20:03}", html) for i, html in ((60, None), (61, ""), (62, "<nav>x</nav>"))]
+    rows += [(70, "http://i.org/", "<div>Alone</div><main>Text</main>")]
+    for pages_per_slice in (4, 128):
+        got = {r["page_id"]: r["text"] for r in page_text.main_text(pages(spark, rows), pages_per_slice).collect()}
+        assert len(got) == len(rows)
+        assert all(got[i] == f"Body {i}\nCard {i}" for i in range(30))
+        assert all(got[i] == f"Place {i}\nSame card" for i in range(40, 60))
+        assert got[60] == got[61] == got[62] == "" and got[70] == "Alone\nText"
+
+
 def test_pages_of_the_small_table(spark):
     """The pages were made from texts of documents: each main text is one, below its heading."""
     sf = "/root/testdata/sf0.01"
