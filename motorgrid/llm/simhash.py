@@ -46,7 +46,7 @@ COUNTED = 8_192
 FREQUENT = 65_536
 # Rows of a shard of near copies that are compared without a tree, and rows of the shards in one task.
 SHORT = 64
-BUCKET_ROWS = 1 << 18
+BUCKET_ROWS = 1 << 12
 _HASHES = 1 << 16
 
 
